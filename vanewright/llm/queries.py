@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, urls
+from . import bpe, secrets, urls
 from .tables import table
 
 
@@ -16,8 +16,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages", "page_id", "url"), table(spark, sf_dir, "labels"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan, op6_url_filter)}
+    return {f.__name__: f for f in (op2_secret_scan, op6_url_filter, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
