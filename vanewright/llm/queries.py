@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, urls
+from . import bpe, secrets, substring, urls
 from .tables import table
 
 
@@ -20,8 +20,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeat_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan, op6_url_filter, op9_bpe)}
+    return {f.__name__: f for f in (op2_secret_scan, op6_url_filter, op9_bpe, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
