@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, substring, urls
+from . import bpe, secrets, substring, suffix, urls
 from .tables import table
 
 
@@ -16,6 +16,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages", "page_id", "url"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeat_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -25,7 +29,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan, op6_url_filter, op9_bpe, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_secret_scan, op6_url_filter, op7_suffix_dedup, op9_bpe, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
