@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, secrets, substring, suffix, urls
+from . import bpe, decontam, jaccard, secrets, substring, suffix, urls
 from .tables import table
 
 
@@ -24,6 +24,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -33,7 +37,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan, op5_jaccard_join, op6_url_filter, op7_suffix_dedup, op9_bpe, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_secret_scan, op5_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_decontaminate, op9_bpe, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
