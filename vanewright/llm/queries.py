@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, secrets, substring, suffix, urls
+from . import bpe, decontam, fingerprints, jaccard, secrets, substring, suffix, urls
 from .tables import table
 
 
@@ -12,6 +12,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_scan(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -37,7 +41,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan, op5_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_decontaminate, op9_bpe, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_secret_scan, op4_fingerprint, op5_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_decontaminate, op9_bpe, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
