@@ -74,12 +74,13 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         yield i, j, data[where[i] : where[j]], where[i : j + 1] - where[i]
 
 
-def words(buf: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+, and each row's first word (one more entry than rows)."""
+def words(buf: np.ndarray, where: np.ndarray, separators: np.ndarray = SEPARATORS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ (or between other separators), and each row's first word (one
+    more entry than rows)."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(where), np.int64)
-    gap = SEPARATORS[buf]
+    gap = separators[buf]
     inside = ~gap
     start, end = inside.copy(), inside.copy()
     start[1:] &= gap[:-1]

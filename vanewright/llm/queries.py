@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprints, jaccard, secrets, substring, suffix, urls
+from . import bpe, decontam, fingerprints, jaccard, langid, secrets, substring, suffix, toxicity, urls
 from .tables import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_scan(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).drop("spans")
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -41,7 +49,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan, op4_fingerprint, op5_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_decontaminate, op9_bpe, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_language, op4_fingerprint, op5_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_decontaminate, op9_bpe, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
