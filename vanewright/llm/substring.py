@@ -7,6 +7,9 @@ quarter as many keys are counted. Second pass: only windows estimated to occur t
 by 64-bit fingerprints; none that repeats is lost. A window repeats an earlier one if it starts in a document with
 a smaller id as well; the words that such windows cover go.
 
+Equal texts are found first, by SHA-256; only the one with the smallest id is counted and grouped, and the others
+repeat it throughout.
+
 Defined results: a null or empty text has no words and its kept text is empty; equal ids are one document for
 "smaller"; rows that repeat are each returned; a null id is never smaller than another and loses no words; an empty
 table gives an empty result; other columns are ignored.
@@ -22,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import copies, sketches
 from . import kernels as K
-from . import sketches
 from .spans import covered
 from .tables import text_of, written
 
@@ -45,20 +48,27 @@ def window_anchors(buf: np.ndarray, where: np.ndarray, window: int, gram: int) -
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth: int = sketches.DEPTH, bits: int = sketches.BITS) -> DataFrame:
-    """(doc_id, starts array<int>): starts (in words) of windows that also start in a document with a smaller id."""
+    """(doc_id, starts array<int>): starts (in words) of windows that also start in a document with a smaller id;
+    -1 for all windows."""
     texts = text_of(docs).filter(F.col("doc_id").isNotNull())
+    share = texts.sparkSession.sparkContext.broadcast
+    chosen = copies.representatives(docs)
+    first_copies = share(copies.filter_of(chosen, "kept"))
+
+    def distinct_texts(batch):
+        return batch.filter(pa.array(sketches.contains(first_copies.value, batch.column("doc_id").to_numpy().view(np.uint64))))
 
     def keys_of(batch):
-        for _, _, buf, where in K.text_slices(batch.column("text")):
+        for _, _, buf, where in K.text_slices(distinct_texts(batch).column("text")):
             _, _, _, at, grams = window_anchors(buf, where, window, gram)
             if len(at):
                 yield grams[at[np.concatenate(([True], at[1:] != at[:-1]))]]
 
     sketch = sketches.merged(sketches.sketch_tasks(texts, keys_of, depth, bits))
-    planes = texts.sparkSession.sparkContext.broadcast(sketches.collected(sketch, "twice", depth, bits))
+    planes = share(sketches.collected(sketch, "twice", depth, bits))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(distinct_texts, batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for i, j, buf, where in K.text_slices(batch.column("text")):
                 codes, first, start, at, grams = window_anchors(buf, where, window, gram)
@@ -73,7 +83,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, de
 
     rows = written(texts.mapInArrow(candidates, "code long, doc_id long, start int"), "window-candidates")
     several = rows.groupBy("code").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("code", "least")
-    later = rows.join(several.hint("merge"), "code").filter("doc_id > least")
+    later = rows.join(several.hint("merge"), "code").filter("doc_id > least").select("doc_id", "start")
+    whole = copies.all_copies(docs, chosen).filter("doc_id > kept").select("doc_id", F.lit(-1).alias("start"))
+    later = later.unionByName(whole)
     return later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
 
 
@@ -95,6 +107,8 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int):
             for r in range(j - i):
                 a, b = int(first[r]), int(first[r + 1])
                 own = values[bounds[i + r] : bounds[i + r + 1]].astype(np.int64)
+                if len(own) and own.min() < 0:
+                    own = np.arange(max(0, b - a - window + 1))
                 keep = ~covered(own, own + window, b - a) if len(own) else np.ones(b - a, bool)
                 ss, ee = s[a:b][keep].tolist(), e[a:b][keep].tolist()
                 n.append(b - a)
