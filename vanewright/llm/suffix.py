@@ -10,14 +10,15 @@ Spark deals suffixes to tasks by content: every string of `length` bytes has an
 grams, at the same place in all of its copies, so suffixes with long common prefixes share their anchor's code.
 
 1. Every distinct text yields its anchors; codes that occur once are done with (an aggregate of longs).
-2. Consecutive suffixes with one anchor that occurs repeatedly are sent, as one piece of text, to the task that
-   orders all suffixes with that anchor. Pieces that are equal byte for byte are told by their place alone.
-3. Anchors that occur more often than a task should hold are taken apart further: their suffixes are grouped one by
-   one by the fingerprint of their `length` bytes, aggregated before the shuffle. This path is as exact.
+2. Consecutive suffixes with one repeated anchor form a piece of text. Pieces are grouped by anchor and fingerprint:
+   all suffixes of a piece that occurs again are repeats, with the first place of the group as the earlier one.
+3. The distinct pieces of an anchor that has several are sent, one copy each, to the task that orders their suffixes.
+4. Anchors with more distinct pieces than a task should hold are taken apart further: their suffixes are grouped one
+   by one by the fingerprint of their `length` bytes, aggregated before the shuffle. This path is as exact.
 
 Equal texts are found first, by SHA-256, and represented by the smallest id; others of them are repeats throughout.
-Two Bloom filters of fixed size tell the second pass which codes and documents to look at; what they let through in
-error costs time, not exactness.
+Bloom filters of fixed size tell the later passes which codes, places and documents to look at; what they let through
+in error costs time, not exactness.
 
 Defined results: a null or empty text, or one of fewer than `length` bytes, loses nothing; documents with a null id
 lose nothing and repeat nothing; rows that repeat an id and its text count as copies of each other; matches may
@@ -34,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import copies, sketches
 from . import kernels as K
-from . import sketches
 from .spans import merged_runs
 from .tables import text_of, written
 
 LENGTH, GRAM = 200, 64
-#: Anchors that occur more often than this take the second path; suffixes ordered at once in a task; filter bits.
-OFTEN, BATCH_SUFFIXES, FILTER_BITS = 2000, 150_000, 25
+#: Anchors with more distinct pieces than this take the last path; suffixes ordered at once in a task; filter bits.
+OFTEN, BATCH_SUFFIXES, FILTER_BITS = 2000, 150_000, copies.FILTER_BITS
 
 
 def anchor_runs(buf: np.ndarray, where: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -63,26 +64,6 @@ def byte_codes(buf: np.ndarray) -> np.ndarray:
     return K.BYTE_CODES[buf]
 
 
-def text_codes(docs: DataFrame) -> DataFrame:
-    return text_of(docs).select("doc_id", "text", F.sha2("text", 256).alias("sha"))
-
-
-def representatives(docs: DataFrame, length: int) -> DataFrame:
-    """(sha, doc_id, copies) of every distinct text that is long enough, with its smallest id."""
-    long = text_codes(docs).filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
-    return long.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-
-
-def filter_of(frame: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of a long column: 4 * 2^bits bits."""
-
-    def keys_of(batch):
-        yield batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64)
-
-    parts = sketches.sketch_tasks(frame.select(column), keys_of, 4, bits)
-    return sketches.collected(sketches.merged(parts), "once", 4, bits)
-
-
 def suffix_order(text: np.ndarray, start: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes (by where they start in `text`) in order of their first `length` bytes, equal ones by place; and
     for each entry whether its common prefix with the entry before has `length` bytes."""
@@ -173,63 +154,103 @@ def ordered_pieces(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, often: int = OFTEN, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, start, end, earlier): bytes covered by strings of `length` bytes that start elsewhere too; earlier:
-    also at an earlier place (a smaller id, or before in the document). Spans may overlap. Copies of whole texts have
-    one span over all (end null)."""
-    texts = text_of(docs).filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
-    chosen = written(representatives(docs, length), "distinct-texts")
-    distinct = filter_of(chosen, "doc_id", bits)
-    share = texts.sparkSession.sparkContext.broadcast
+def place_codes(doc: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix(doc.astype(np.int64).view(np.uint64)) + begin.astype(np.uint64))
+
 
-    def anchor_rows(batches):
+def anchor_rows(length: int, gram: int):
+    """(text, sha) -> (code, unit) of every anchor; the unit tells apart places in distinct texts."""
+
+    def run(batches):
         for batch in batches:
-            shas = K.flat(batch.column("sha"))[0].reshape(-1, 64) if batch.num_rows else None
+            if not batch.num_rows:
+                continue
+            shas = K.flat(batch.column("sha"))
+            shas = shas[0][shas[1][0] : shas[1][-1]].reshape(-1, 64)
             for i, j, buf, where in K.text_slices(batch.column("text")):
                 _, _, at, code = anchor_runs(buf, where, length, gram)
                 if len(at):
                     row = np.searchsorted(where, at, "right") - 1
-                    text = np.ascontiguousarray(shas[i:j, :8]).view(np.uint64).ravel()[row]
-                    unit = K.mix(text + (at - where[row]).astype(np.uint64) * K.BASE)
+                    text = K.mix(np.ascontiguousarray(shas[i:j, :16]).view(np.uint64).reshape(-1, 2) @ np.array([K.BASE, 1], np.uint64))
+                    unit = K.mix(text[row] + (at - where[row]).astype(np.uint64) * K.BASE)
                     yield pa.RecordBatch.from_arrays([pa.array(K.signed(code)), pa.array(K.signed(unit))], ["code", "unit"])
 
-    named = text_codes(docs).filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).select("text", "sha")
-    counts = named.mapInArrow(anchor_rows, "code long, unit long").groupBy("code").agg(F.min("unit").alias("a"), F.max("unit").alias("b"), F.count("*").alias("n"))
-    repeated = written(counts.filter("a <> b").select("code", "n"), "repeated-anchors")
-    # two filters: all repeated codes, and those too frequent for one task
-    some, hot, reps = share(filter_of(repeated, "code", bits)), share(filter_of(repeated.filter(F.col("n") > often), "code", bits)), share(distinct)
+    return run
+
 
-    def pieces(batches, frequent: bool):
+def candidate_runs(length: int, gram: int, reps, some):
+    """Batches of (doc_id, text) -> for each slice (bytes, offsets, row, doc, begin, count, code) of the runs of
+    representatives with a repeated anchor."""
+
+    def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            chosen_row = sketches.contains(reps.value, ids.view(np.uint64))
+            ids = batch.column("doc_id").to_numpy()
+            chosen = sketches.contains(reps.value, ids.view(np.uint64))
             for i, j, buf, where in K.text_slices(batch.column("text")):
-                start, count, at, code = anchor_runs(buf, where, length, gram)
-                row = np.searchsorted(where, at, "right") - 1
-                use = chosen_row[i:j][row] if len(row) else np.zeros(0, bool)
+                start, count, _, code = anchor_runs(buf, where, length, gram)
+                row = np.searchsorted(where, start, "right") - 1
+                use = chosen[i:j][row] if len(row) else np.zeros(0, bool)
                 use[use] = sketches.contains(some.value, code[use])
-                use[use] = sketches.contains(hot.value, code[use]) == frequent
-                start, count, code, row = start[use], count[use], code[use], row[use]
-                if not len(start):
-                    continue
-                doc, begin = ids[i:j][row], (start - where[row]).astype(np.int32)
-                if frequent:
-                    each = K.ragged(start, count)
-                    prefix = K.running(byte_codes(buf))
-                    row = np.repeat(row, count)
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(K.span_codes(prefix, each, each + length))), pa.array(ids[i:j][row]), pa.array((each - where[row]).astype(np.int32))], ["code", "doc_id", "begin"])
-                else:
-                    size = count + length - 1
-                    text = buf[K.ragged(start, size)]
-                    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                    piece = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(code)), pa.array(doc), pa.array(begin), pa.array(count.astype(np.int32)), piece], ["code", "doc_id", "begin", "count", "piece"])
+                if use.any():
+                    start, count, code, row = start[use], count[use], code[use], row[use]
+                    yield buf, start, ids[i:j][row], (start - where[row]).astype(np.int32), count.astype(np.int32), code
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, often: int = OFTEN, bits: int = FILTER_BITS) -> DataFrame:
+    """(doc_id, start, end, earlier): bytes covered by strings of `length` bytes that start elsewhere too; earlier:
+    also at an earlier place (a smaller id, or before in the document). Spans may overlap. Copies of whole texts have
+    one span over all (end null)."""
+    texts = text_of(docs).filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
+    share = texts.sparkSession.sparkContext.broadcast
+    chosen = copies.representatives(docs, length)
+    reps = share(copies.filter_of(chosen, "kept", bits))
+    counts = copies.addressed(docs, length).select("text", "sha").mapInArrow(anchor_rows(length, gram), "code long, unit long")
+    counts = counts.groupBy("code").agg(F.min("unit").alias("a"), F.max("unit").alias("b")).filter("a <> b").select("code")
+    some = share(copies.filter_of(written(counts, "repeated-anchors"), "code", bits))
+    runs = candidate_runs(length, gram, reps, some)
+
+    def piece_rows(batches):
+        for buf, start, doc, begin, count, code in runs(batches):
+            whole = K.mix(K.span_codes(K.running(byte_codes(buf)), start, start + count + length - 1) ^ code)
+            unit = place_codes(doc, begin)
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(code)), pa.array(K.signed(whole)), pa.array(doc), pa.array(begin), pa.array(count), pa.array(K.signed(unit))], ["anchor", "code", "doc_id", "begin", "count", "unit"])
+
+    rows = written(texts.mapInArrow(piece_rows, "anchor long, code long, doc_id long, begin int, count int, unit long"), "pieces")
+    first = F.min(F.struct("doc_id", "begin", "unit")).alias("first")
+    groups = written(rows.groupBy("anchor", "code").agg(first, F.count("*").alias("n")), "distinct-pieces")
+    again = rows.join(groups.filter("n > 1").select("code", "first").hint("merge"), "code")
+    place = F.struct("doc_id", "begin")
+    out = again.select("doc_id", F.col("begin").alias("start"), (F.col("begin") + F.col("count") + (length - 1)).alias("end"), (place > F.struct("first.doc_id", "first.begin")).alias("earlier"))
+
+    several = groups.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
+    several = written(groups.join(several.hint("merge"), "anchor").select("anchor", "m", F.col("first.unit").alias("unit")), "pieces-to-order")
+    wanted, hot = share(copies.filter_of(several, "unit", bits)), share(copies.filter_of(several.filter(F.col("m") > often), "anchor", bits))
+
+    def pieces(batches, frequent: bool):
+        for buf, start, doc, begin, count, code in runs(batches):
+            use = sketches.contains(wanted.value, place_codes(doc, begin))
+            use[use] = sketches.contains(hot.value, code[use]) == frequent
+            if not use.any():
+                continue
+            start, doc, begin, count, code = (x[use] for x in (start, doc, begin, count, code))
+            if frequent:
+                each = K.ragged(start, count)
+                begin = K.ragged(begin.astype(np.int64), count).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(K.span_codes(K.running(byte_codes(buf)), each, each + length))), pa.array(np.repeat(doc, count)), pa.array(begin)], ["code", "doc_id", "begin"])
+            else:
+                size = count + length - 1
+                text = buf[K.ragged(start, size)]
+                offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                piece = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(code)), pa.array(doc), pa.array(begin), pa.array(count), piece], ["code", "doc_id", "begin", "count", "piece"])
 
     few = texts.mapInArrow(lambda b: pieces(b, False), "code long, doc_id long, begin int, count int, piece binary")
     few = few.repartition("code").sortWithinPartitions("code", "doc_id", "begin").mapInArrow(ordered_pieces(length), SPANS)
-    out = few.unionByName(frequent_spans(texts, lambda b: pieces(b, True), length))
-    copies = text_codes(docs).filter(F.col("doc_id").isNotNull()).select("doc_id", "sha").join(chosen.filter("copies > 1").withColumnRenamed("doc_id", "kept").hint("merge"), "sha")
-    return out.unionByName(copies.select("doc_id", F.lit(0).alias("start"), F.lit(None).cast("int").alias("end"), (F.col("doc_id") > F.col("kept")).alias("earlier")))
+    out = out.unionByName(few).unionByName(frequent_spans(texts, lambda b: pieces(b, True), length))
+    whole = copies.all_copies(docs, chosen, length)
+    return out.unionByName(whole.select("doc_id", F.lit(0).alias("start"), F.lit(None).cast("int").alias("end"), (F.col("doc_id") > F.col("kept")).alias("earlier")))
 
 
 def frequent_spans(texts: DataFrame, suffixes, length: int) -> DataFrame:
