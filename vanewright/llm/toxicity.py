@@ -20,10 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +27,8 @@ from . import kernels as K
 from .tables import text_of, written
 
 MOST_ROWS, TREES, DEPTH, STEP, SEED = 20_000, 20, 4, 0.3, 7
+#: Partitions of the sample's features (most_rows rows of a few numbers each), which every tree is grown over.
+FIT_TASKS = 6
 #: A learned word is in so many toxic texts (a number, and a share of them), and its share of toxic ones has this lower bound.
 LEAST_TEXTS, LEAST_SHARE, LEAST_BOUND = 5, 0.02, 0.5
 MOST_WORDS, NEAR = 5000, 5
@@ -195,16 +193,24 @@ class Scorer:
         return made.select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))).alias("score"))
 
 
-def assembler() -> VectorAssembler:
+# Spark's estimators are imported where they are used: tasks import this module too and don't need them
+def assembler():
+    from pyspark.ml.feature import VectorAssembler
+
     return VectorAssembler(inputCols=FEATURES, outputCol="features")
 
 
 def raw_probability() -> Column:
+    from pyspark.ml.functions import vector_to_array
+
     return vector_to_array("probability")[1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Scorer:
     """A model from the labels (doc_id, toxic) given; leave out of them what is to be held out."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import IsotonicRegression
+
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     marks = marks.withColumn("_order", F.xxhash64("doc_id", F.lit(SEED))).orderBy("_order", "doc_id").limit(most_rows).select("doc_id", "toxic")
     # at most most_rows ids and labels, so the texts need not move
@@ -215,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Score
     lexicon = learned_lexicon(sample)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     rows = sample.mapInArrow(feature_rows(shared, ("doc_id", "toxic")), f"doc_id long, toxic int, {SCHEMA}")
-    rows = written(assembler().transform(rows).select("doc_id", "features", F.col("toxic").cast("double").alias("label")), "labelled-features")
+    rows = written(assembler().transform(rows).select("doc_id", "features", F.col("toxic").cast("double").alias("label")).repartition(FIT_TASKS), "labelled-features")
     fifth = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(5)) == 0
     grow, hold = rows.filter(~fifth), rows.filter(fifth)
     if grow.select("label").distinct().count() < 2:
