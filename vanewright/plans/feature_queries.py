@@ -44,9 +44,9 @@ def pct_sql(c: str, n: int) -> str:
     return S.clip(f"({c} - {before}) / ({S.at_least(f'abs({before})', 1e-06)})", -50.0, 50.0)
 
 
-@query("e3_pct_change", f"WITH {S.EVENTS} SELECT turbine_id, ordinal, {listed({f'change_{n}': pct_sql(_v, n) for n in (1, 6)})} FROM m")
+@query("e3_pct_change", f"WITH {S.EVENTS} SELECT turbine_id, ordinal, {listed({f'change_{n}': f'({pct_sql(_v, n)}) * pi()' for n in (1, 6)})} FROM m")
 def e3(spark, d):
-    return shown(keyed_events(spark, d).withColumns({f"change_{n}": W.pct_change(_v, n) for n in (1, 6)}), ["change_1", "change_6"])
+    return shown(keyed_events(spark, d).withColumns({f"change_{n}": W.pct_change(_v, n) * F.pi() for n in (1, 6)}), ["change_1", "change_6"])
 
 
 _stats = ("mean", "std", "min", "max", "median", "sum", "range")
