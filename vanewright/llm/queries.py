@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprints, jaccard, langid, secrets, substring, suffix, toxicity, urls
+from . import bpe, decontam, fingerprints, jaccard, langid, oracles, secrets, substring, suffix, toxicity, urls
 from .tables import table
 
 
@@ -53,4 +53,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secret_scan": oracles.secret_scan(), "op6_url_filter": oracles.url_filter(), "op10_substring_dedup": oracles.substring_dedup()}

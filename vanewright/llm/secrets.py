@@ -125,15 +125,16 @@ def digest(found: DataFrame, rules: tuple = RULES) -> DataFrame:
 
 def masked(docs: DataFrame, found: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """The input with every found span of its text replaced by a mask; columns and null texts stay as they are.
-    Overlapping spans become one mask."""
-    some = found.filter(F.size("findings") > 0).select(F.col("doc_id").alias("_found_id"), "findings")
+    Overlapping spans become one mask. Rows with a null id stay as they are; rows that repeat an id are taken to
+    repeat its text."""
+    some = found.filter((F.size("findings") > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_found_id"), F.col("findings").alias("_findings")).dropDuplicates(["_found_id"])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def fold(acc, x):
-        gap = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
+        gap = F.substring(docs["text"], acc["at"] + 1, x["start"] - acc["at"])
         text = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), text.alias("out"))
 
-    clean = F.aggregate("findings", start, fold, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2147483647))))
+    clean = F.aggregate("_findings", start, fold, lambda acc: F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.lit(2147483647))))
     joined = docs.join(some.hint("shuffle_hash"), docs["doc_id"] == some["_found_id"], "left")
-    return joined.select(*(F.when(F.col("findings").isNotNull(), clean).otherwise(docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns))
+    return joined.select(*(F.when(F.col("_findings").isNotNull(), clean).otherwise(docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns))
