@@ -91,11 +91,13 @@ def interactions() -> Block:
 
 def with_relative(frame: DataFrame, sensors=DYNAMIC, normal_sensors=DETAILED[:3], least: int = 48) -> tuple[DataFrame, list[str]]:
     """Against the machine's own past: medians, means, robust z, and medians over rows of normal status."""
-    block = {f"{c}_off_median": F.col(c) - W.expanding(c, "median", least) for c in sensors}
-    block |= {f"{c}_off_past": F.col(c) - W.expanding(c, "mean", least) for c in sensors}
-    block |= {f"{c}_off_normal": F.col(c) - W.expanding(F.when(F.col("operational_status") == "normal", F.col(c)), "median", least) for c in normal_sensors}
-    frame = W.with_robust_z(frame.withColumns(block), {c: c for c in sensors}, least, suffix="_robust_z")
-    return frame, [*block, *(f"{c}_robust_z" for c in sensors)]
+    normal = {f"{c}_normal": F.when(F.col("operational_status") == "normal", F.col(c)) for c in normal_sensors}
+    past = {f"{c}_off_past": F.col(c) - W.expanding(c, "mean", least) for c in sensors}
+    frame = W.with_medians(frame.withColumns(past), {c: c for c in sensors} | normal, least)
+    block = {f"{c}_off_median": F.col(c) - F.col(f"_median_{c}") for c in sensors}
+    block |= {f"{c}_off_normal": F.col(c) - F.col(f"_median_{c}_normal") for c in normal_sensors}
+    block |= {f"{c}_robust_z": W.robust_z(c, c) for c in sensors}
+    return frame.withColumns(block), [*past, *block]
 
 
 TIME_PARTS = {"hour": lambda t: F.hour(t), "day_of_week": lambda t: F.weekday(t), "month": lambda t: F.month(t)}
@@ -192,10 +194,9 @@ def with_shape(frame: DataFrame, sensors=SHAPED, hours: int = 24, steps=int) ->
 def with_regime_relative(frame: DataFrame, mask: Column, sensors=RELATIVE, least: int = 72) -> tuple[DataFrame, list[str]]:
     """Against the machine's own past while it was producing."""
     masked = {c: F.when(mask, F.col(c)) for c in sensors}
-    frame = frame.withColumns({f"{c}_off_producing": F.col(c) - W.expanding(m, "median", least) for c, m in masked.items()})
-    frame = W.with_robust_z(frame.withColumns({f"_p_{c}": m for c, m in masked.items()}), {f"_p_{c}": f"_p_{c}" for c in sensors}, least, suffix="_z")
-    frame = frame.withColumnsRenamed({f"_p_{c}_z": f"{c}_producing_z" for c in sensors}).drop(*(f"_p_{c}" for c in sensors))
-    return frame, [*(f"{c}_off_producing" for c in sensors), *(f"{c}_producing_z" for c in sensors)]
+    block = {f"{c}_off_producing": F.col(c) - F.col(f"_median_{c}") for c in sensors} | {f"{c}_producing_z": W.robust_z(m, c) for c, m in masked.items()}
+    frame = W.with_medians(frame, masked, least).withColumns(block)
+    return frame.drop(*(f"_{kind}_{c}" for c in sensors for kind in ("median", "mad"))), list(block)
 
 
 def anomaly_features(frame: DataFrame, sensors=CONDITION, steps=int) -> tuple[DataFrame, list[str]]:

@@ -6,6 +6,10 @@ any number of them costs one shuffle and one sort.
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,14 +80,61 @@ def expanding(x: Column | str, stat: str, least: int, *partition: str) -> Column
     return F.when(F.count(x).over(frame) >= least, STATS[stat](x).over(frame))
 
 
+def past_medians(values: list, state: tuple[list, list], least: int) -> tuple[list, list]:
+    """For each value the median of those before it, and the median of their distances from the medians before them.
+    State: the values so far and their distances, each sorted. Missing values (NaN) count in neither."""
+    seen, away = state
+    medians, spreads = [], []
+    for x in values:
+        n, m = len(seen), len(away)
+        mid = (seen[(n - 1) // 2] + seen[n // 2]) / 2 if n >= least else None
+        medians.append(mid)
+        spreads.append((away[(m - 1) // 2] + away[m // 2]) / 2 if m >= least else None)
+        if x == x:
+            insort(seen, x)
+            if mid is not None:
+                insort(away, abs(x - mid))
+    return medians, spreads
+
+
+def with_medians(frame: DataFrame, columns: dict[str, Column | str], least: int) -> DataFrame:
+    """Adds _median_<name> and _mad_<name> over strictly earlier rows. A percentile window sorts its whole frame again
+    for every row; here each machine's rows pass once, in order, and go into sorted lists, so a task holds the floats
+    of one machine."""
+    names = list(columns)
+    inputs = frame.withColumns({f"_in_{n}": col(x).cast("double") for n, x in columns.items()})
+    at = inputs.columns.index
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, state = None, {}
+        for batch in batches:
+            owner = batch.column(at(ENTITY)).to_pylist()
+            cuts = [0, *(i for i in range(1, len(owner)) if owner[i] != owner[i - 1]), len(owner)] if owner else [0]
+            made = {n: ([], []) for n in names}
+            values = {n: batch.column(at(f"_in_{n}")).to_numpy(zero_copy_only=False).astype(float).tolist() for n in names}
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if owner[i] != machine:
+                    machine, state = owner[i], {n: ([], []) for n in names}
+                for n in names:
+                    for have, new in zip(made[n], past_medians(values[n][i:j], state[n], least)):
+                        have += new
+            extra = [pa.array(x, pa.float64()) for n in names for x in made[n]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *(f"_{k}_{n}" for n in names for k in ("median", "mad"))])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields] + [f"`_{k}_{n}` double" for n in names for k in ("median", "mad")]
+    dealt = inputs.repartition(ENTITY).sortWithinPartitions(ENTITY, TIME)
+    return dealt.mapInArrow(run, ", ".join(fields)).drop(*(f"_in_{n}" for n in names))
+
+
+def robust_z(x: Column | str, name: str, floor: float = TINY) -> Column:
+    """(x - median) / max(1.4826 * median absolute deviation, floor), by the columns of with_medians."""
+    return ratio(col(x) - F.col(f"_median_{name}"), floor_of(1.4826 * F.col(f"_mad_{name}"), floor))
+
+
 def with_robust_z(frame: DataFrame, columns: dict[str, Column | str], least: int, floor: float = TINY, suffix: str = "_z") -> DataFrame:
-    """(x - median) / max(1.4826 * median absolute deviation, floor), both over strictly earlier rows. `columns` maps
-    names to inputs; the deviation's window stands on the median's, both in one ordering."""
-    medians = {f"_median_{n}": expanding(x, "median", least) for n, x in columns.items()}
-    frame = frame.withColumns(medians).withColumns({f"_dev_{n}": F.abs(col(x) - F.col(f"_median_{n}")) for n, x in columns.items()})
-    frame = frame.withColumns({f"_mad_{n}": expanding(f"_dev_{n}", "median", least) for n in columns})
-    scores = {f"{n}{suffix}": ratio(col(x) - F.col(f"_median_{n}"), floor_of(1.4826 * F.col(f"_mad_{n}"), floor)) for n, x in columns.items()}
-    return frame.withColumns(scores).drop(*(f"_{kind}_{n}" for n in columns for kind in ("median", "dev", "mad")))
+    """Robust z scores against strictly earlier rows; `columns` maps names to inputs."""
+    out = with_medians(frame, columns, least).withColumns({f"{n}{suffix}": robust_z(x, n, floor) for n, x in columns.items()})
+    return out.drop(*(f"_{kind}_{n}" for n in columns for kind in ("median", "mad")))
 
 
 def with_masked_z(frame: DataFrame, columns: dict[str, Column | str], mask: Column, least: int, *partition: str, suffix: str = "_drift_z") -> DataFrame:
