@@ -1,19 +1,21 @@
 """Exact n-gram Jaccard join with a token-group matrix.
 
-A document's tokens are its distinct word shingles. Documents with equal sets are one class. Classes are partitioned
-into groups by the least hash of their sets, which similar sets share with a probability of their similarity. The
-matrix holds, for every token, the groups whose members have it. For a query and a group, the number of the query's
+A document's tokens are its distinct word shingles. Documents with equal sets are one class, and one of each stands for
+it from then on. Classes are partitioned into groups by the least of their tokens that other classes have as well, so
+that what an edit adds to a copy does not move it to a group of its own. The matrix holds, for every token, the groups whose members have it. For a query and a group, the number of the query's
 tokens in the matrix's column bounds its overlap with every member from above; only groups whose bound reaches what
 the similarity needs are opened, and members of opened groups are compared exactly.
 
 The matrix needs prefixes alone: with tokens in one order for all, two sets that overlap in t tokens share l tokens
 within their first |A| - t + l and |B| - t + l. Tokens that a count-min sketch shows to occur once come first in that
 order (no partner has them, so they need no entry), so sets with many tokens of their own have few entries or none.
-What the sketch lets through in error costs time, not exactness. The grouping, too, only decides what is compared.
+The most frequent tokens, a list of bounded length, come last, so a passage that many documents share brings together
+only those that are little else. Any order gives the same links; what a list or sketch gets wrong costs time alone. The grouping, too, only decides what is compared.
 
-Comparisons run in two steps. First the leader (least id) of each group is compared with all groups that it
-qualifies for, which links most copies of a text. Then the rest, without (query, group) pairs that lie in one
-component already. Large groups and their queries are dealt in blocks, so no task holds a whole one, and what tasks
+Comparisons run in two steps. First the leader of each group, the member with the largest share of tokens that others
+have (a text rather than an edited copy of it), is compared with all groups that it qualifies for, which links most
+copies of a text. Then those queries that lie outside the main component of the group
+asked, or of their own: of two similar sets in different components, one at least is such a query. Large groups and their queries are dealt in blocks, so no task holds a whole one, and what tasks
 return are spanning edges, not all pairs.
 
 Defined results: a null or empty text (or one of white space alone) has no tokens, is linked with nothing and is its
@@ -31,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import copies, sketches
 from . import kernels as K
-from . import sketches
 from .components import components
 from .tables import text_of, written
 
@@ -40,6 +42,8 @@ SHINGLE = 5
 #: Similarity as a fraction; classes and queries of a block; a prefix shares 1 + n / EXTRA tokens.
 NUMERATOR, DENOMINATOR, BLOCK, EXTRA = 75, 100, 128, 16
 SKETCH_DEPTH, SKETCH_BITS = 3, 27
+#: Sets with a token in their prefix from which it counts as frequent, and the most that are listed.
+OFTEN, MOST_FREQUENT = 64, 200_000
 
 
 def shingle_sets(buf: np.ndarray, where: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -87,34 +91,62 @@ def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(np.diff(first)), pa.array(K.signed(a)), pa.array(K.signed(b))], ["doc_id", "n", "sig", "sig2"])
 
 
-def sketch_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+def standing_for_classes(batch: pa.RecordBatch, chosen) -> pa.RecordBatch:
+    return batch.filter(pa.array(sketches.contains(chosen.value, batch.column("doc_id").to_numpy().view(np.uint64))))
+
+
+def sketch_keys(chosen):
     """Every second token (by its lowest bit): half the sketch, and still enough tokens known to occur once."""
-    for _, _, buf, where in K.text_slices(batch.column("text")):
-        tokens, _ = shingle_sets(buf, where)
-        yield tokens[tokens & K.U64(1) == 0]
+
+    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, buf, where in K.text_slices(standing_for_classes(batch, chosen).column("text")):
+            tokens, _ = shingle_sets(buf, where)
+            yield tokens[tokens & K.U64(1) == 0]
+
+    return run
+
+
+def frequent_tokens(postings: DataFrame) -> np.ndarray:
+    """Codes of the most frequent tokens, sorted; at most MOST_FREQUENT."""
+    often = postings.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > OFTEN)
+    rows = often.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()
+    return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
 
 
-def posting_rows(planes):
-    """(token, sig, gkey, n) for the tokens of each set's prefix that others may have."""
+def posting_rows(chosen, planes, frequent=None):
+    """(token, sig, gkey, n, common) for the tokens of each set's prefix that others may have; common: how many in a
+    thousand of the set's tokens others have, of those that were counted."""
 
     def run(batches):
         for batch in batches:
+            batch = standing_for_classes(batch, chosen)
             for _, _, buf, where in K.text_slices(batch.column("text")):
                 tokens, first = shingle_sets(buf, where)
                 n = np.diff(first)
                 sig, _ = set_codes(tokens, first)
                 row = np.repeat(np.arange(len(n)), n)
-                single = tokens & K.U64(1) == 0
-                single[single] = ~sketches.contains(planes.value, tokens[single])
+                counted = tokens & K.U64(1) == 0
+                single = counted.copy()
+                single[counted] = ~sketches.contains(planes.value, tokens[counted])
+                group = tokens[np.minimum(first[:-1], max(len(tokens) - 1, 0))] if len(tokens) else np.zeros(len(n), K.U64)
+                again = np.flatnonzero(counted & ~single)
+                with_again, least = np.unique(row[again], return_index=True)
+                group[with_again] = tokens[again[least]]
+                total = np.bincount(row[counted], minlength=len(n))
+                common = 1000 * np.bincount(row[again], minlength=len(n)) // np.maximum(total, 1)
                 prefix = n - least_overlap(n) + 1 + n // EXTRA
                 left = prefix - np.bincount(row[single], minlength=len(n))
                 others = np.flatnonzero(~single)
+                if frequent is not None and len(frequent.value) and len(others):
+                    spot = np.minimum(np.searchsorted(frequent.value, tokens[others]), len(frequent.value) - 1)
+                    last = frequent.value[spot] == tokens[others]
+                    others = others[np.lexsort((last, row[others]))]
                 own = row[others]
                 rank = np.arange(len(others)) - np.searchsorted(own, own)
                 use = others[rank < left[own]]
                 if len(use):
                     r = row[use]
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(tokens[use])), pa.array(K.signed(sig[r])), pa.array(K.signed(tokens[first[r]])), pa.array(n[r])], ["token", "sig", "gkey", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(tokens[use])), pa.array(K.signed(sig[r])), pa.array(K.signed(group[r])), pa.array(n[r]), pa.array(common[r])], ["token", "sig", "gkey", "n", "common"])
 
     return run
 
@@ -225,31 +257,39 @@ def similar_components(docs: DataFrame) -> DataFrame:
     rows = written(texts.mapInArrow(class_rows, "doc_id long, n long, sig long, sig2 long"), "shingle-sets")
     classes = written(rows.filter("n > 0 and doc_id is not null").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("cid")), "set-classes")
 
-    sketch = sketches.merged(sketches.sketch_tasks(texts, sketch_keys, SKETCH_DEPTH, SKETCH_BITS))
-    planes = texts.sparkSession.sparkContext.broadcast(sketches.collected(sketch, "twice", SKETCH_DEPTH, SKETCH_BITS))
-    postings = written(texts.filter("doc_id is not null").mapInArrow(posting_rows(planes), "token long, sig long, gkey long, n long").distinct(), "postings")
+    share = texts.sparkSession.sparkContext.broadcast
+    known = texts.filter("doc_id is not null")
+    chosen = share(copies.filter_of(classes, "cid"))
+    sketch = sketches.merged(sketches.sketch_tasks(known, sketch_keys(chosen), SKETCH_DEPTH, SKETCH_BITS))
+    planes = share(sketches.collected(sketch, "twice", SKETCH_DEPTH, SKETCH_BITS))
+    schema = "token long, sig long, gkey long, n long, common long"
+    frequent = share(frequent_tokens(known.mapInArrow(posting_rows(chosen, planes), schema).select("token")))
+    postings = written(known.mapInArrow(posting_rows(chosen, planes, frequent), schema).distinct(), "postings")
 
-    # the token-group matrix, and (query, group) pairs whose bound qualifies; a pair of groups is asked one way
+    # the token-group matrix, and (query, group) pairs whose bound qualifies
     matrix = postings.groupBy("token", F.col("gkey").alias("group")).agg(F.min("sig").alias("s1"), F.max("sig").alias("s2"))
-    shared = postings.join(matrix.hint("merge"), "token").filter("gkey > group or (gkey = group and s1 <> s2)")
-    bounds = shared.groupBy("sig", F.col("group").alias("gkey")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    shared = postings.join(matrix.hint("merge"), "token").filter("gkey <> group or s1 <> s2")
+    bounds = shared.groupBy("sig", F.col("group").alias("gkey")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("gkey").alias("own"))
     need = 1 + F.floor(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) / EXTRA)
     ids = classes.select("sig", "cid")
-    asked = written(bounds.filter(F.col("c") >= need).join(ids.hint("merge"), "sig").select("cid", "gkey"), "asked")
-    members = postings.select("gkey", "sig").distinct().join(asked.select("gkey").distinct().hint("merge"), "gkey", "left_semi")
-    members = written(members.join(ids.hint("merge"), "sig").select("gkey", "cid"), "members")
+    asked = written(bounds.filter(F.col("c") >= need).join(ids.hint("merge"), "sig").select("cid", "gkey", "own"), "asked")
+    members = postings.select("gkey", "sig", "common").distinct().join(asked.select("gkey").distinct().hint("merge"), "gkey", "left_semi")
+    members = written(members.join(ids.hint("merge"), "sig").select("gkey", "cid", "common"), "members")
 
     wanted = asked.select("cid").union(members.select("cid")).distinct().join(classes.hint("merge"), "cid").withColumnRenamed("cid", "doc_id")
     texts_wanted = texts.join(wanted.select("doc_id", "sig", "sig2").hint("shuffle_hash"), "doc_id").withColumnRenamed("doc_id", "cid")
     sets = written(texts_wanted.mapInArrow(set_rows, "cid long, tokens binary").dropDuplicates(["cid"]), "token-sets")
 
-    leaders = members.groupBy("gkey").agg(F.min("cid").alias("cid"))
-    first = asked.join(leaders.select("cid").distinct().hint("merge"), "cid", "left_semi").unionByName(leaders.select("cid", "gkey")).distinct()
+    leaders = members.groupBy("gkey").agg(F.max_by("cid", F.struct("common", -F.col("cid"))).alias("cid"))
+    first = asked.select("cid", "gkey").join(leaders.select("cid").distinct().hint("merge"), "cid", "left_semi").unionByName(leaders.select("cid", "gkey")).distinct()
     edges = written(compare(first, members, sets), "edges")
     joined = components(edges)
     label = lambda frame: frame.join(joined.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    groups = label(members).groupBy("gkey").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
-    rest = label(asked).join(groups.hint("merge"), "gkey").filter("not (root = r1 and root = r2)").select("cid", "gkey")
+    main = label(members).groupBy("gkey", "root").agg(F.count("*").alias("n")).groupBy("gkey").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    main = written(main, "main-components")
+    placed = label(asked).join(main.select(F.col("gkey").alias("own"), F.col("main").alias("own_main")).hint("merge"), "own", "left")
+    inside = (F.col("root") == F.col("main")) & (F.col("root") == F.coalesce("own_main", "root"))
+    rest = placed.join(main.hint("merge"), "gkey").filter(~inside).select("cid", "gkey")
     rest = written(rest.join(first.hint("merge"), ["cid", "gkey"], "left_anti"), "asked")
     if not rest.isEmpty():
         joined = components(edges.unionByName(compare(rest, members, sets)))
