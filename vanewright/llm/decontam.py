@@ -6,8 +6,9 @@ often it occurs. Windows are fingerprinted by a 64-bit SimHash of their words an
 eight blocks of eight bits and a radius r, two fingerprints within r differ in some block by r // 8 bits at most, so
 probing every block within that distance finds all fingerprints within the radius. Those are then verified exactly.
 
-A window can't reach the similarity unless six sevenths of its shingles are shingles of items of its size. That bound
-is exact, and is taken first by counting, so that fingerprints are made only where an item can be.
+A window as long as the item can't reach the similarity unless six sevenths of its shingles are shingles of items of
+its size; a shorter text, unless it has three quarters of the item's. Those bounds are exact, and are taken first by
+counting, so that fingerprints are made only where an item can be.
 
 Items are held in blocks of bounded size, by total bytes; documents are read once for each block.
 
@@ -95,7 +96,8 @@ class Items:
             self.by_size[np.searchsorted(self.known, np.array([t for t, _ in every], np.uint64)), [k for _, k in every]] = True
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.known >> K.U64(64 - TABLE_BITS)] = True
-        self.least = min((self.need(n - SHINGLE + 1, n) for n in self.sizes), default=1 << 60)
+        #: a whole text shorter than the item has as few shingles as the similarity lets it
+        self.least = min((-(-NUMERATOR * (n - SHINGLE + 1) // DENOMINATOR) for n in self.sizes), default=1 << 60)
         self.short = {n: own for n, (own, _) in self.index.items() if n < SHINGLE}
 
     @staticmethod
