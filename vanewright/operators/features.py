@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import TINY, clip, cyclical, floor_of, one_hot, ratio
 from ..sources.telemetry import SENSORS, STATUSES
+from . import drift, rules
 from . import windows as W
-from .regimes import RATED_POWER, REGIMES, reference_power
+from .regimes import RATED_POWER, REGIMES, producing, reference_power
 
 #: Channels by use, and windows in hours.
 DYNAMIC = ("vibration", "gearbox_temperature", "bearing_temperature", "oil_pressure", "generator_temperature", "oil_temperature", "power_output", "rotor_speed", "hydraulic_pressure")
@@ -132,10 +133,13 @@ def failure_features(frame: DataFrame, blocks=BLOCKS, steps=int) -> tuple[DataFr
     """The feature matrix of these blocks and its specification (block -> names in order)."""
     made = {"raw": raw(frame), "lag": lags(steps=steps), "rolling": rollings(steps=steps), "trend": trends(steps=steps), "interaction": interactions(), "time": time_parts()}
     spec: dict[str, list[str]] = {}
-    out = W.with_position(frame) if "trend" in blocks else frame
+    out = frame
+    if "relative" in blocks:  # first, as its rows pass through Arrow while they are narrow
+        out, relative = with_relative(out)
+    out = W.with_position(out) if "trend" in blocks else out
     for b in blocks:
         if b == "relative":
-            out, spec[b] = with_relative(out)
+            spec[b] = relative
         else:
             out = out.withColumns(made[b])
             spec[b] = list(made[b])
@@ -199,6 +203,54 @@ def with_regime_relative(frame: DataFrame, mask: Column, sensors=RELATIVE, least
     return frame.drop(*(f"_{kind}_{c}" for c in sensors for kind in ("median", "mad"))), list(block)
 
 
+def physical() -> Block:
+    c = F.col
+    power, expected, load = c("power_output"), reference_power(), clip(c("power_output") / RATED_POWER, 0, 1.5)
+    hot = WARM[:3]
+    return {f"{x}_above_ambient": c(x) - c("ambient_temperature") for x in WARM} | {
+        "power_residual": power - expected,
+        "power_ratio": F.when(expected > 1, clip(power / floor_of(expected, 1.0), -2, 3)),
+        "load": load,
+        "vibration_per_load": c("vibration") / (load + 0.1),
+        "oil_pressure_per_load": c("oil_pressure") / (load + 0.1),
+        "oil_pressure_per_temperature": c("oil_pressure") / floor_of(F.abs("oil_temperature"), 1.0),
+        "thermal_stress": mean_of(hot) - c("ambient_temperature"),
+        "thermal_spread": F.greatest(*(c(x) for x in hot)) - F.least(*(c(x) for x in hot)),
+    }
+
+
+def by_sensor(long: DataFrame, sensors, columns, keys=(W.ENTITY, W.TIME, "ordinal")) -> DataFrame:
+    """A wide row for each key, <sensor>_<column>, of long rows by sensor."""
+    return long.groupBy(*keys).agg(*(F.max(F.when(F.col("sensor") == s, F.col(c))).alias(f"{s}_{c}") for s in sensors for c in columns))
+
+
+def rule_block(frame: DataFrame, hours: int = 24, steps=int) -> DataFrame:
+    """Exceedance of each rule with its trailing mean and maximum, and counts of flags with their trailing means."""
+    flags, n = rules.flagged(frame, rules.rule_table(frame.sparkSession)), steps(hours)
+    wide = by_sensor(rules.rule_features(flags, n), rules.SENSORS, ("exceedance", "mean_exceedance", "max_exceedance"))
+    counts = rules.row_flags(flags)
+    for c in ("warnings", "alarms", "invalid"):
+        counts = counts.withColumns({c: F.col(c).cast("double"), f"{c}_mean_{hours}h": W.rolling(c, n, "mean")})
+    return wide.join(counts, [W.ENTITY, W.TIME, "ordinal"])
+
+
+def health_features(frame: DataFrame, sensors=DYNAMIC, steps=int) -> tuple[DataFrame, dict[str, list[str]]]:
+    """The whole health matrix and its specification (block -> names in order), of a frame with regimes."""
+    key = [W.ENTITY, W.TIME, "ordinal"]
+    wide = {"rule": rule_block(frame, steps=steps), "drift": by_sensor(drift.drift_statistics(frame, producing(frame)), drift.SENSORS, ("z", "cusum_up", "cusum_down", "signals", "ewma"))}
+    made = {"condition": {c: F.col(c) for c in sensors} | {f"regime_{r}": c for r, c in zip(REGIMES, one_hot("regime", REGIMES))}, "rolling": health_rollings(sensors, steps=steps), "trend": health_trends(sensors, steps=steps), "physical": physical()}
+    out, relative = with_regime_relative(frame, producing(frame), least=48)
+    out, shape = with_shape(W.with_position(out), steps=steps)
+    for block in made.values():
+        out = out.withColumns(block)
+    spec = {b: list(made[b]) for b in ("condition", "rolling", "trend")} | {"shape": shape, "relative": relative}
+    for b, block in wide.items():
+        spec[b] = [c for c in block.columns if c not in key]
+        out = out.join(block, key)
+    spec["physical"] = list(made["physical"])
+    return finalise(out, [n for names in spec.values() for n in names]), spec
+
+
 def anomaly_features(frame: DataFrame, sensors=CONDITION, steps=int) -> tuple[DataFrame, list[str]]:
     """Raw channels and regimes, rolling means and deviations, differences, slopes, interactions, and z scores within
     machine and regime."""
