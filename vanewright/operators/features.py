@@ -251,14 +251,14 @@ def health_features(frame: DataFrame, sensors=DYNAMIC, steps=int) -> tuple[DataF
     return finalise(out, [n for names in spec.values() for n in names]), spec
 
 
-def anomaly_features(frame: DataFrame, sensors=CONDITION, steps=int) -> tuple[DataFrame, list[str]]:
+def anomaly_features(frame: DataFrame, sensors=DYNAMIC, steps=int) -> tuple[DataFrame, list[str]]:
     """Raw channels and regimes, rolling means and deviations, differences, slopes, interactions, and z scores within
     machine and regime."""
     block: Block = {c: F.col(c) for c in SENSORS}
     block |= {f"regime_{r}": c for r, c in zip(REGIMES, one_hot("regime", REGIMES))}
-    block |= {f"{c}_{s}_{h}h": W.rolling(c, steps(h), s) for c in sensors[:4] for h in HEALTH_WINDOWS for s in ("mean", "std")}
-    block |= {f"{c}_diff_{h}h": W.diff(c, steps(h)) for c in sensors[:4] for h in (6, 24)}
-    block |= {f"{c}_slope_{h}h": W.slope(c, steps(h)) for c in sensors[:4] for h in HEALTH_SLOPES}
+    block |= {f"{c}_{s}_{h}h": W.rolling(c, steps(h), s) for c in sensors for h in HEALTH_WINDOWS for s in ("mean", "std")}
+    block |= {f"{c}_diff_{h}h": W.diff(c, steps(h)) for c in sensors for h in (6, 24)}
+    block |= {f"{c}_slope_{h}h": W.slope(c, steps(h)) for c in sensors for h in HEALTH_SLOPES}
     block |= interactions()
     frame = W.with_position(frame).withColumns(block)
     frame = W.with_masked_z(frame, {c: c for c in sensors}, F.col("regime") != "offline", 24, W.ENTITY, "regime", suffix="_regime_z")
