@@ -55,9 +55,9 @@ def classification_metrics(frame: DataFrame, threshold: float, *by: str, y: str
     return frame.groupBy(*by).agg(*counts, brier).select(*by, "tp", "fp", "fn", "tn", "brier", *(c.alias(n) for n, c in rates().items()))
 
 
-def score_counts(frame: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+def score_counts(frame: DataFrame, y: str = "y", p: str = "p", by: tuple[str, ...] = ()) -> DataFrame:
     """(p, positives, n) by distinct score."""
-    return frame.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("positives"), F.count("*").alias("n"))
+    return frame.groupBy(*by, F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("positives"), F.count("*").alias("n"))
 
 
 def curve(frame: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -70,6 +70,13 @@ def curve(frame: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     return rows.select("p", "positives", "tp", (F.col("seen") - F.col("tp")).alias("fp"), share(F.col("tp"), F.col("seen")).alias("precision"), share(F.col("tp"), F.col("pos")).alias("recall"), share(F.col("seen") - F.col("tp"), F.col("all") - F.col("pos")).alias("fpr"))
 
 
+def grouped_pr_auc(frame: DataFrame, *by: str, y: str = "y", p: str = "p") -> DataFrame:
+    """A row for each group: pr_auc of all of them in one aggregate."""
+    down = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = score_counts(frame, y, p, by).withColumn("precision", share(F.sum("positives").over(down), F.sum("n").over(down)))
+    return rows.groupBy(*by).agg(share(F.sum(F.col("precision") * F.col("positives")), F.sum("positives")).alias("pr_auc"))
+
+
 def pr_auc(frame: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """One row: average precision; ties are one step."""
     points = curve(frame, y, p)
