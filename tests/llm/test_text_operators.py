@@ -142,14 +142,17 @@ def test_bpe_is_the_library_exactly(docs):
         assert r["decoded_sha256"] == sha(decoded) and whole[i]["ids"] == ids and whole[i]["decoded"] == decoded
 
 
-def test_bpe_repairs_joins():
-    memory = bpe.WordMemory(bpe.vocabulary_path())
-    text = "unbelievable things"
-    parts = ["unbel", "ievable", "things"]  # cut within a word
-    spots = [(0, 5), (5, 12), (13, 19)]
-    fix = bpe.repaired(memory, parts, lambda a, b: text[spots[a][0] : spots[b - 1][1]], 1)
-    assert fix is not None and fix[2][: len(memory.encode(["unbelievable"])[0])] == memory.encode(["unbelievable"])[0]
-    assert bpe.repaired(memory, ["a", "b"], lambda a, b: "a b"[2 * a : 2 * b], 1) is None
+def test_bpe_merges_chunks_until_joins_hold():
+    """Spans that cut words apart, which the operator itself never gives, and a memory that is full at once."""
+    memory = bpe.Memory(bpe.vocabulary_path(), 1, 1)
+    text = "unbelievable things, don't happen"
+    for cuts in ([5], [3, 5, 9], [5, 12, 20, 21], list(range(1, 33)), [13]):
+        parts = [(a, b) for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        spans = [(a + len(t) - len(t.lstrip()), b - len(t) + len(t.rstrip())) for a, b in parts if (t := text[a:b]).strip()]
+        ids, decoded = bpe.settled(memory, text.encode(), [(a, b, a, b) for a, b in spans])
+        want = memory.tok.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(ids), "<u4").tolist() == want
+        assert b"".join(decoded).decode() == memory.tok.decode(want, skip_special_tokens=False)
 
 
 def test_substring_dedup_by_brute_force(docs):

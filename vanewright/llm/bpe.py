@@ -1,22 +1,25 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A text is cut into chunks where a rolling hash over its last words meets a condition, so that passages shared by
-documents fall into the same chunks wherever they stand. Within a task every distinct chunk is encoded once, from
-a memory of its words' tokens; documents are then put together from their chunks. Every distinct join of two chunks
-is checked by encoding the words around it together; where that differs from what the chunks give, the window is
-widened until both of its ends agree again, and its tokens replace those of the chunks.
+documents fall into the same chunks wherever they stand. A worker encodes each distinct chunk once, as a whole, and
+keeps its tokens and decoded text in a memory of bounded size, by the chunk's bytes, over all slices and tasks that it
+runs. Documents are put together from their chunks. At every join the words that meet are encoded together: where that
+differs from what the two chunks give there, the chunks are merged, encoded as one, and the joins of the merged chunk are
+looked at in turn, until all agree (at the latest when the text is one chunk).
 
-Chunks are cut at ASCII white space. Sharing is within a task (bounded memory, nothing shuffled): sending tokens of
+Chunks are cut at ASCII white space. Sharing is within a worker (bounded memory, nothing shuffled): sending tokens of
 chunks between executors would move more bytes than the texts hold.
 
-Defined results: a null or empty text, or one of white space alone, has no tokens and decodes to an empty string.
+Defined results: a null or empty text, or one of white space alone, has no tokens and decodes to an empty string; rows
+that repeat, and rows of one id or of a null id, are each encoded; there are no ties; an empty table gives an empty
+result; other columns are ignored. A text of one very long word is one chunk.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +29,9 @@ from pyspark.sql import DataFrame
 from . import kernels as K
 from .tables import text_of
 
-#: Words of a chunk on average (a power of two), words that the rolling hash looks at, and words kept in memory.
-CHUNK_WORDS, HASH_WORDS, MEMORY_WORDS = 64, 4, 600_000
+#: Words of a chunk on average (a power of two), words that the rolling hash looks at, and bytes kept in memory (each
+#: chunk's text, tokens and decoded text; as many again for joins and words, by number).
+CHUNK_WORDS, HASH_WORDS, MEMORY_BYTES, MEMORY_JOINS = 64, 4, 96 << 20, 400_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -48,182 +52,107 @@ def tokenizer(path: str):
     return made
 
 
-#: Marks that end a run of letters and never belong to an apostrophe or to a special token's string.
-MARKS = np.zeros(256, bool)
-MARKS[list(b"!#$%&*,.:;?")] = True
-ASCII_LETTER = np.zeros(256, bool)
-ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
+class Memory:
+    """Tokens and decoded text of chunks, and what is known of joins; each part starts anew when it is full."""
+
+    def __init__(self, path: str, most_bytes: int = MEMORY_BYTES, most_joins: int = MEMORY_JOINS):
+        self.tok, self.most_bytes, self.most_joins = tokenizer(path), most_bytes, most_joins
+        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
+        self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.joins: dict[tuple[bytes, bytes, bytes], bytes | None] = {}
+        self.bytes = 0
+
+    def encoded(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(tokens as 32-bit integers, decoded text) of each."""
+        ids = [x.ids for x in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        decoded = self.tok.decode_batch(ids, skip_special_tokens=False)
+        return [(np.array(i, "<u4").tobytes(), d.encode()) for i, d in zip(ids, decoded)]
+
+    def learn(self, texts: list[bytes]) -> None:
+        """See to it that all these chunks are kept."""
+        new = [t for t in dict.fromkeys(texts) if t not in self.chunks]
+        if self.bytes > self.most_bytes:
+            self.chunks, self.bytes, new = {}, 0, list(dict.fromkeys(texts))
+        for t, (ids, decoded) in zip(new, self.encoded(new)):
+            self.chunks[t] = ids, decoded
+            self.bytes += len(t) + len(ids) + len(decoded)
+
+    def learn_joins(self, keys: list[tuple[bytes, bytes, bytes]]) -> None:
+        """For (word, gap, word): what stands between their decoded texts, or None where they are not encoded and
+        decoded together as they are alone."""
+        if len(self.joins) + len(self.words) > self.most_joins:
+            self.joins, self.words = {}, {}
+        new = [k for k in dict.fromkeys(keys) if k not in self.joins]
+        words = [w for w in dict.fromkeys(w for a, _, b in new for w in (a, b)) if w not in self.words]
+        self.words.update(zip(words, self.encoded(words)))
+        for k, (ids, decoded) in zip(new, self.encoded([b"".join(k) for k in new])):
+            (i, x), (j, y) = self.words[k[0]], self.words[k[2]]
+            between = next((m for m in (b" ", b"") if decoded == x + m + y), None)
+            self.joins[k] = between if i and j and ids == i + j else None
+
+    def between(self, left: bytes, key: tuple[bytes, bytes, bytes], right: bytes) -> bytes | None:
+        """What stands between the decoded texts of two chunks that meet at this join; None where it doesn't hold."""
+        found = self.joins[key]
+        holds = found is not None and self.chunks[left][0].endswith(self.words[key[0]][0]) and self.chunks[right][0].startswith(self.words[key[2]][0])
+        return found if holds else None
 
 
-def folded(buf: np.ndarray) -> np.ndarray:
-    """The bytes with A-Z lowered where that can't change a token: the vocabulary's normalizer lowers all letters,
-    but composes characters before it does (so a letter before a non-ASCII character stays), and finds the strings
-    of special tokens first (so bytes with <| stay)."""
-    if len(buf) < 2 or ((buf[:-1] == 60) & (buf[1:] == 124)).any():
-        return buf
-    out = K.LOWER[buf]
-    out[:-1] = np.where(buf[1:] < 128, out[:-1], buf[:-1])
-    out[-1] = buf[-1]
-    return out
-
-
-def pieces(buf: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words as in kernels.words, cut again where one of MARKS follows a Latin letter: pre-tokens end there, so the
-    two parts are encoded alike apart and together."""
-    s, e, first = K.words(buf, where)
-    if len(buf) < 3:
-        return s, e, first
-    letter = ASCII_LETTER[buf]
-    letter[1:] |= (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] < 0xC0) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
-    after = MARKS[buf]
-    after[0] = False
-    after[1:] &= letter[:-1]
-    after[where[:-1][where[:-1] < len(buf)]] = False
-    cut = np.flatnonzero(after)
-    s = np.sort(np.concatenate((s, cut)))
-    return s, np.sort(np.concatenate((e, cut))), np.searchsorted(s, where)
-
-
-class WordMemory:
-    """Tokens and decoded text of single words, each encoded once until the memory is full and starts anew."""
-
-    def __init__(self, path: str, most: int = MEMORY_WORDS):
-        self.tok, self.most = tokenizer(path), most
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.ids: list[bytes] = []
-        self.decoded: list[bytes] = []
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def places(self, codes: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """Where each of these distinct words is kept."""
-        if len(self.at) + len(codes) > self.most:
-            self.clear()
-        keys = codes.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.at]
-        if new:
-            data = buf.tobytes()
-            starts, ends = s[new].tolist(), e[new].tolist()
-            texts = [data[a:b].decode() for a, b in zip(starts, ends)]
-            found = self.encode(texts)
-            # decoding joins the tokens with spaces; the one at the end goes when documents are put together
-            decoded = self.tok.decode_batch(found, skip_special_tokens=False)
-            for i, ids, text in zip(new, found, decoded):
-                self.at[keys[i]] = len(self.ids)
-                self.ids.append(np.array(ids, "<u4").tobytes())
-                self.decoded.append(text.encode() + b" " if ids else b"")
-        return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+@lru_cache(2)
+def memory_of(path: str) -> Memory:
+    """A worker's memory, which outlives its tasks."""
+    return Memory(path)
 
 
 def chunk_ends(codes: np.ndarray, first: np.ndarray, chunk_words: int) -> np.ndarray:
     """True at each word that ends a chunk: by the rolling hash of the last words, and at a row's last word."""
     n = len(codes)
     cut = np.zeros(n, bool)
-    grams = K.gram_codes(codes, HASH_WORDS)
+    grams = K.rolling_codes(codes, HASH_WORDS)
     cut[HASH_WORDS - 1 :] = (grams >> K.U64(40)) & K.U64(chunk_words - 1) == 0 if len(grams) else False
     last = first[1:][np.diff(first) > 0] - 1
     cut[last] = True
     return cut
 
 
-def repaired(memory: WordMemory, words: list[str], text: Callable[[int, int], str], at: int) -> tuple[int, int, list[int]] | None:
-    """None if the chunks' tokens hold around the join before word `at`; else (from word, to word, tokens) to put
-    there. text(a, b): the text of words a to b as it stands. The window grows on both sides until the tokens of its
-    outer words are again those that they have alone."""
-    for reach in (1, 2, 4, 8, 16, 32, 64, 1 << 30):
-        a, b = max(0, at - reach), min(len(words), at + reach)
-        alone = memory.encode(words[a:b])
-        together = memory.encode([text(a, b)])[0]
-        if together == [t for ids in alone for t in ids]:
-            return None
-        outer = len(alone[0]), len(alone[-1])
-        agree = together[: outer[0]] == alone[0] and together[len(together) - outer[1] :] == alone[-1]
-        if (a == 0 and b == len(words)) or (reach > 1 and agree):
-            return a, b, together
-    return None
-
-
-def encode_slice(memory: WordMemory, buf: np.ndarray, where: np.ndarray, chunk_words: int) -> Iterator[tuple[list[bytes], list[bytes]]]:
-    """For each row of a slice, the token bytes and decoded bytes of its words in order."""
-    buf = folded(buf)
-    s, e, first = pieces(buf, where)
-    codes = K.word_codes(buf, s, e)
-    cut = chunk_ends(codes, first, chunk_words)
-    end = np.flatnonzero(cut) + 1
-    start = np.concatenate(([0], end[:-1])) if len(end) else end
-    prefix = K.running(codes)
-    chunk_codes = K.span_codes(prefix, start, end)
-    _, shown, which = np.unique(chunk_codes, return_index=True, return_inverse=True)
-    # the words of the distinct chunks, each looked up once
-    inside = K.ragged(start[shown], (end - start)[shown])
-    word, at, back = np.unique(codes[inside], return_index=True, return_inverse=True)
-    place = memory.places(word, buf, s[inside][at], e[inside][at])[back].tolist()
-    bounds = np.concatenate(([0], np.cumsum((end - start)[shown]))).tolist()
-    ids, decoded = memory.ids, memory.decoded
-    chunk_ids, chunk_texts = [], []
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        own = place[a:b]
-        chunk_ids.append(b"".join([ids[p] for p in own]))
-        chunk_texts.append(b"".join([decoded[p] for p in own]))
-    chunk_row = np.searchsorted(first, start, "right") - 1
-    fixes = broken_joins(memory, buf, s, e, start, chunk_row, codes)
-    of_row = np.searchsorted(chunk_row, np.arange(len(where)))
-    which = which.tolist()
-    for r in range(len(where) - 1):
-        own = which[of_row[r] : of_row[r + 1]]
-        if r in fixes:
-            data = buf.tobytes()
-            own_s, own_e = s[first[r] : first[r + 1]].tolist(), e[first[r] : first[r + 1]].tolist()
-            yield mended(memory, data, own_s, own_e, [int(x - first[r]) for x in fixes[r]])
-        else:
-            yield [chunk_ids[c] for c in own], [chunk_texts[c] for c in own]
-
-
-def broken_joins(memory: WordMemory, buf: np.ndarray, s: np.ndarray, e: np.ndarray, start: np.ndarray, chunk_row: np.ndarray, codes: np.ndarray) -> dict[int, list[int]]:
-    """Rows with joins at which the chunks' tokens don't hold: the words at which their right chunks begin. Each
-    distinct pair of words that meet at a join is encoded together once in a slice."""
-    right = start[1:][chunk_row[1:] == chunk_row[:-1]]
-    if not len(right):
-        return {}
-    gap = (s[right] > e[right - 1]).astype(np.uint64)
-    pair = K.mix(codes[right - 1] * K.U64(3) + codes[right] + gap)
-    _, shown, which = np.unique(pair, return_index=True, return_inverse=True)
-    data, seen = buf.tobytes(), right[shown]
-    a, b, c, d = (x.tolist() for x in (s[seen - 1], e[seen - 1], s[seen], e[seen]))
-    left = [memory.ids[memory.at[k]] for k in codes[seen - 1].tolist()]
-    after = [memory.ids[memory.at[k]] for k in codes[seen].tolist()]
-    met = memory.encode([f"{data[i:j].decode()}{' ' if m > j else ''}{data[m:n].decode()}" for i, j, m, n in zip(a, b, c, d)])
-    wrong = np.array([np.array(m, "<u4").tobytes() != x + y for m, x, y in zip(met, left, after)], bool)
-    out: dict[int, list[int]] = {}
-    if wrong.any():
-        joins = right[wrong[which]]
-        rows = chunk_row[1:][chunk_row[1:] == chunk_row[:-1]][wrong[which]]
-        for r, j in zip(rows.tolist(), joins.tolist()):
-            out.setdefault(r, []).append(j)
-    return out
-
-
-def mended(memory: WordMemory, data: bytes, s: list[int], e: list[int], joins: list[int]) -> tuple[list[bytes], list[bytes]]:
-    """A row's tokens with the windows around broken joins encoded anew."""
-    words = [data[a:b].decode() for a, b in zip(s, e)]
-    ids, done = [], 0
-    for at in joins:
-        fix = repaired(memory, words, lambda a, b: data[s[a] : e[b - 1]].decode(), at)
-        if fix is None or fix[0] < done:
-            continue
-        ids += [t for x in memory.encode(words[done : fix[0]]) for t in x] + fix[2]
-        done = fix[1]
-    ids += [t for x in memory.encode(words[done:]) for t in x] if done < len(words) else []
-    text = memory.tok.decode(ids, skip_special_tokens=False).encode()
-    return [np.array(ids, "<u4").tobytes()], [text + b" " if ids else b""]
+def settled(memory: Memory, data: bytes, spans: list[tuple[int, int, int, int]]) -> tuple[list[bytes], list[bytes]]:
+    """Token bytes and decoded bytes of one text, from chunks (first word's start and end, last word's start and end).
+    Chunks whose join doesn't hold are merged until all joins do."""
+    while True:
+        texts = [data[a:d] for a, _, _, d in spans]
+        memory.learn(texts)
+        keys = [(data[x[2] : x[3]], data[x[3] : y[0]], data[y[0] : y[1]]) for x, y in zip(spans, spans[1:])]
+        memory.learn_joins(keys)
+        marks = [memory.between(x, k, y) for x, k, y in zip(texts, keys, texts[1:])]
+        if None not in marks:
+            break
+        whole = [spans[0]]
+        for span, mark in zip(spans[1:], marks):
+            if mark is None:
+                whole[-1] = (*whole[-1][:2], *span[2:])
+            else:
+                whole.append(span)
+        spans = whole
+    found = [memory.chunks[t] for t in texts]
+    return [i for i, _ in found], [part for (_, d), m in zip(found, [*marks, b""]) for part in (d, m)]
+
+
+def encode_slice(memory: Memory, buf: np.ndarray, where: np.ndarray, chunk_words: int) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """For each row of a slice, the token bytes and decoded bytes of its chunks in order."""
+    s, e, first = K.words(buf, where)
+    last = np.flatnonzero(chunk_ends(K.word_codes(buf, s, e), first, chunk_words))
+    begin = np.concatenate(([0], last[:-1] + 1)) if len(last) else last
+    data = buf.tobytes()
+    spans = list(zip(*(x.tolist() for x in (s[begin], e[begin], s[last], e[last]))))
+    bounds = np.searchsorted(begin, first).tolist()
+    # all chunks and joins of the slice are encoded in one batch each; then rows are put together
+    memory.learn([data[a:d] for a, _, _, d in spans])
+    memory.learn_joins([(data[x[2] : x[3]], data[x[3] : y[0]], data[y[0] : y[1]]) for i, j in zip(bounds, bounds[1:]) for x, y in zip(spans[i:j], spans[i + 1 : j])])
+    for i, j in zip(bounds, bounds[1:]):
+        yield settled(memory, data, spans[i:j]) if j > i else ([], [])
 
 
 def _rows(batches: Iterator[pa.RecordBatch], path: str, chunk_words: int):
-    memory = WordMemory(path)
+    memory = memory_of(path)
     for batch in batches:
         for i, j, buf, where in K.text_slices(batch.column("text")):
             yield batch.column("doc_id")[i:j], encode_slice(memory, buf, where, chunk_words)
@@ -238,7 +167,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk_words: int = CHUNK_WO
             ids, texts = [], []
             for tokens, decoded in rows:
                 ids.append(np.frombuffer(b"".join(tokens), "<u4").astype(np.int64))
-                texts.append(b"".join(decoded)[:-1].decode())
+                texts.append(b"".join(decoded).decode())
             lengths = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([doc_id, pa.ListArray.from_arrays(lengths, flat), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
@@ -258,7 +187,7 @@ def encode_digests(docs: DataFrame, path: str | None = None, chunk_words: int =
                 raw = b"".join(tokens)
                 n.append(len(raw) // 4)
                 a.append(hashlib.sha256(raw).hexdigest())
-                b.append(hashlib.sha256(b"".join(decoded)[:-1]).hexdigest())
+                b.append(hashlib.sha256(b"".join(decoded)).hexdigest())
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return text_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

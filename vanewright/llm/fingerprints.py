@@ -2,10 +2,13 @@
 
 A text is cut into paragraphs at line ends, long ones further at sentence ends, and what is still long after words that
 a hash of their last letters picks (so that the same passage is cut alike wherever it stands). Each paragraph gives a 64-bit key:
-48 bits of its hash (with its ordinal among equal ones) and its length in bytes. A key is added to three cells; a cell
+48 bits of its hash (with its ordinal among equal ones) and its length in bytes; a paragraph of more bytes than the
+length can say is cut every LONGEST bytes. A key is added to three cells; a cell
 holds a count, the XOR of its keys and the XOR of their checks. Two sketches of one size subtract cell by cell, which
 leaves the keys in which they differ. Peeling takes keys from cells that hold a single one until none is left; where
-it gets stuck, the sketches were too small for the difference and both are made anew with twice as many cells.
+it gets stuck, the sketches were too small for the difference and both are made anew with twice as many cells; past
+MOST_TRIES times as many cells as keys, more cells can't help (two paragraphs of a text share a key), and the lists of
+keys themselves are compared.
 
 A fingerprint is the sketch with the base number of cells, as text; equal texts have equal fingerprints. The likeness
 of two texts is one less the share of bytes in the paragraphs that differ, recovered by peeling.
@@ -23,39 +26,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .tables import text_of
 
-CELLS, HASHES, LONG = 16, 3, 120
+CELLS, HASHES, LONG, LONGEST, MOST_TRIES = 16, 3, 120, 0xFFFF, 16
 #: Ranges of ids dealt to each shuffle partition.
 RANGES_PER_TASK = 4
 
 
-def paragraph_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the paragraphs of each text, end to end, and where each text's begin."""
-    where = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    buf = np.frombuffer(b"".join(texts), np.uint8)
+def paragraphs(buf: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the paragraphs of texts laid end to end."""
     n = len(buf)
-    if not n:
-        return np.zeros(0, K.U64), np.zeros(len(texts) + 1, np.int64)
     line = buf == 10
     stop = np.zeros(n, bool)
     stop[:-1] = ((buf[:-1] == 46) | (buf[:-1] == 33) | (buf[:-1] == 63)) & (buf[1:] == 32)
-    ends = where[1:][np.diff(where) > 0] - 1
     cut = line.copy()
-    cut[ends] = True
+    cut[where[1:][np.diff(where) > 0] - 1] = True
     picked = np.zeros(n, bool)
     if n > 3:
-        picked[3:] = (K.gram_codes(K.BYTE_CODES[buf], 4) & K.U64(7) == 0) & (buf[3:] == 32)
+        picked[3:] = (K.rolling_codes(K.BYTE_CODES[buf], 4) & K.U64(7) == 0) & (buf[3:] == 32)
     for mark in (stop, picked):
         size = np.diff(np.concatenate(([0], np.flatnonzero(cut) + 1)))
         cut |= mark & np.repeat(size > LONG, size)
-    end = np.flatnonzero(cut) + 1
-    start = np.concatenate(([0], end[:-1]))
-    codes = K.span_codes(K.running(K.BYTE_CODES[buf]), start, end)
+    start = np.concatenate(([0], np.flatnonzero(cut)[:-1] + 1))
+    size = np.diff(np.concatenate((start, [n])))
+    parts = -(-size // LONGEST)
+    start = np.repeat(start, parts) + LONGEST * K.ragged(np.zeros(len(parts), np.int64), parts)
+    return start, np.concatenate((start[1:], [n]))
+
+
+def paragraph_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the paragraphs of each text, end to end, and where each text's begin."""
+    where = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    if not len(buf):
+        return np.zeros(0, K.U64), np.zeros(len(texts) + 1, np.int64)
+    start, end = paragraphs(buf, where)
+    codes = K.span_codes(buf, start, end)
     row = np.searchsorted(where, start, "right") - 1
     # the ordinal of each among equal ones of its text
     order = np.lexsort((start, codes, row))
@@ -63,7 +73,7 @@ def paragraph_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     new = np.concatenate(([True], (c[1:] != c[:-1]) | (r[1:] != r[:-1])))
     nth = np.empty(len(order), np.int64)
     nth[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    keys = (K.mix(codes + nth.astype(np.uint64) * K.BASE) & ~K.U64(0xFFFF)) | np.minimum(end - start, 0xFFFF).astype(np.uint64)
+    keys = (K.mix(codes + nth.astype(np.uint64) * K.BASE) & ~K.U64(0xFFFF)) | (end - start).astype(np.uint64)
     return keys, np.searchsorted(row, np.arange(len(texts) + 1))
 
 
@@ -143,9 +153,19 @@ def differing_bytes(keys: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.nd
         ok = done[row]
         out[left] = np.where(done, np.bincount(row[ok], (found[ok] & K.U64(0xFFFF)).astype(float), minlength=len(left)), 0).astype(np.int64)
         left, cells = left[~done], cells * 2
+        if len(left) and cells > MOST_TRIES * max(CELLS, int((first[a + 1] - first[a] + first[b + 1] - first[b]).max())):
+            out[left] = [listed_difference(keys[first[i] : first[i + 1]], keys[first[j] : first[j + 1]]) for i, j in zip(a[left], b[left])]
+            break
     return out
 
 
+def listed_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """Bytes of the paragraphs that only one of two lists of keys has."""
+    every, which = np.unique(np.concatenate((a, b)), return_inverse=True)
+    more = np.bincount(which[: len(a)], minlength=len(every)) - np.bincount(which[len(a) :], minlength=len(every))
+    return int((np.abs(more) * (every & K.U64(0xFFFF)).astype(np.int64)).sum())
+
+
 def total_bytes(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum((keys & K.U64(0xFFFF)).astype(np.int64))))[first])
 
@@ -207,6 +227,21 @@ def _ranges(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[
         yield compared(held)
 
 
+def bounds_below(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are less than the key, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    have, at = F.lit(bounds), lambda acc: F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+
+    def halve(acc, _):
+        less = F.try_element_at(have, at(acc) + 1) < key
+        open_ = acc["low"] < acc["high"]
+        return F.struct(F.when(open_ & less, at(acc) + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~less, at(acc)).otherwise(acc["high"]).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda acc: acc["low"])
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows dealt to ranges of ids, each range followed by a copy of the first row after it (after the last, of the
     first row of all). Range bounds are approximate quantiles of the ids; only bounds and one id for each range come
@@ -216,8 +251,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     ranges = RANGES_PER_TASK * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = texts.select(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
     bounds = sorted(set(bounds))
-    of_key = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("key"))) if bounds else F.lit(0)
-    named = texts.withColumn("range", of_key)
+    named = texts.withColumn("range", bounds_below(F.col("key"), bounds))
     firsts = {r["range"]: r["k"] for r in named.groupBy("range").agg(F.min("key").alias("k")).collect()}  # one row for each range
     order = sorted(firsts)
     rows = named.withColumn("closes", F.lit(0))
@@ -225,8 +259,9 @@ def with_next(docs: DataFrame) -> DataFrame:
         return rows
     # the first row of each range, by id and then text, closes the range before
     heads = named.filter(F.col("key").isin([firsts[g] for g in order])).groupBy("range", "key").agg(F.min(F.struct("text", "doc_id")).alias("h"))
-    before = F.create_map(*(F.lit(x) for g, p in zip(order, [order[-1], *order[:-1]]) for x in (g, p)))
-    closing = heads.select("key", "h.doc_id", "h.text", before[F.col("range")].alias("range"), F.lit(1).alias("closes"))
+    previous = dict(zip(order, [order[-1], *order[:-1]]))
+    before = F.element_at(F.lit([previous.get(g, g) for g in range(len(bounds) + 1)]), F.col("range") + 1)
+    closing = heads.select("key", "h.doc_id", "h.text", before.alias("range"), F.lit(1).alias("closes"))
     return rows.unionByName(closing)
 
 

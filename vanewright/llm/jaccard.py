@@ -18,6 +18,10 @@ copies of a text. Then those queries that lie outside the main component of the
 asked, or of their own: of two similar sets in different components, one at least is such a query. Large groups and their queries are dealt in blocks, so no task holds a whole one, and what tasks
 return are spanning edges, not all pairs.
 
+Tokens are 64-bit fingerprints of words and of joined words without a structure that texts could be made to meet; sets
+are told apart by 128 bits. Two different texts are counted as alike only if a chance collision of 64 bits falls within
+one compared pair.
+
 Defined results: a null or empty text (or one of white space alone) has no tokens, is linked with nothing and is its
 own component; a text of fewer words than a shingle is one token; rows that repeat an id are each returned; a null id
 has component null where its set is alone, and never names a component; an empty table gives an empty result; other
@@ -72,10 +76,12 @@ def shingle_sets(buf: np.ndarray, where: np.ndarray, k: int = SHINGLE) -> tuple[
 
 
 def set_codes(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit codes of each row's set."""
-    a = K.span_codes(K.running(tokens), first[:-1], first[1:])
-    b = K.span_codes(K.running(K.mix(tokens ^ K.BASE)), first[:-1], first[1:])
-    return a, K.mix(b + np.diff(first).astype(np.uint64))
+    """Two 64-bit codes of each row's set, independent of each other: sums of its tokens, scrambled in two ways."""
+    out = []
+    for lane in K.LANES:
+        total = np.concatenate((np.zeros(1, K.U64), np.cumsum(K.mix(tokens * K.PAIR + lane), dtype=K.U64)))
+        out.append(K.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(K.U64)))
+    return out[0], out[1]
 
 
 def least_overlap(n):

@@ -2,6 +2,9 @@
 
 All of them work on a slice of a batch: the UTF-8 bytes of some documents laid end to end, and the
 offsets between them. Nothing crosses a document's end.
+
+Rolling hashes choose places; fingerprints tell things apart. What is removed or reused on the word of a fingerprint
+takes SHA-256 or the bytes themselves besides.
 """
 
 from __future__ import annotations
@@ -18,6 +21,9 @@ SLICE_BYTES = 1 << 20
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Seeds of independent fingerprints, and the multiplier of a pair's second code.
+LANES = (U64(0x243F6A8885A308D3), U64(0x13198A2E03707344))
+PAIR = U64(0xA4093822299F31D1)
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -94,28 +100,62 @@ def words(buf: np.ndarray, where: np.ndarray, separators: np.ndarray = SEPARATOR
 
 
 def running(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values times powers of the base: a polynomial fingerprint of every prefix."""
+    """Prefix sums of values times powers of the base: a polynomial of every prefix, modulo 2^64."""
     out = np.zeros(len(values) + 1, U64)
     np.cumsum(values * powers("up", len(values)), out=out[1:])
     return out
 
 
-def span_codes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of spans; equal spans have equal ones."""
-    return mix((prefix[end] - prefix[start]) * powers("down", len(prefix))[start])
+def rolling_codes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A rolling hash of every k consecutive codes. Equal runs have equal ones, and different runs may too (there are
+    texts made so that they do), so it may decide where things meet, never that they are equal."""
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    prefix = running(codes)
+    return mix((prefix[k:] - prefix[:n]) * powers("down", n) + U64(k))
+
+
+def span_codes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit fingerprints of spans of bytes that don't overlap. Every pair of a byte and its place in the span has a
+    scrambled value of its own, and a span has their sum, so no structure of a text carries over to it. Lanes are
+    independent of each other: two make 128 bits."""
+    size = e - s
+    out = np.zeros(len(s), U64)
+    some = np.flatnonzero(size > 0)
+    if len(some):
+        own = size[some]
+        place = ragged(np.zeros(len(some), np.int64), own).astype(U64)
+        values = mix(((place << U64(8)) | buf[ragged(s[some], own)]) * BASE + LANES[lane])
+        out[some] = np.add.reduceat(values, np.concatenate(([0], np.cumsum(own)[:-1])))
+    return mix(out + size.astype(U64) * LANES[lane])
 
 
-def word_codes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    return span_codes(running(BYTE_CODES[buf]), s, e)
+def word_codes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, lane: int = 0) -> np.ndarray:
+    return span_codes(buf, s, e, lane)
+
+
+def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A code of each pair of codes, in this order; scrambled again, so that codes of codes keep no structure."""
+    return mix(mix(a + BASE) + b * PAIR)
 
 
 def gram_codes(codes: np.ndarray, k: int) -> np.ndarray:
-    """Fingerprints of every k consecutive codes, by where they start; the caller drops those over an end."""
-    n = len(codes) - k + 1
-    if n <= 0:
+    """Fingerprints of every k consecutive codes, by where they start; the caller drops those over an end. Codes of 1,
+    2, 4, ... are joined in pairs, the last pair overlapping where k is no power of two."""
+    if len(codes) < k:
         return np.zeros(0, U64)
-    prefix = running(codes)
-    return mix((prefix[k:] - prefix[:n]) * powers("down", n) + U64(k))
+    have, size = codes, 1
+    while size < k:
+        step = min(size, k - size)
+        have = joint(have[:-step], have[step:])
+        size += step
+    return mix(have ^ U64(k))
+
+
+def same_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of two byte matrices are equal."""
+    return (a == b).all(1)
 
 
 def starts_within(first: np.ndarray, n: int, k: int) -> np.ndarray:

@@ -9,15 +9,18 @@ whose spans hold most letters, and its score their share.
 The counts are taken over all training texts, in tasks, and added up in rounds; the model has two tables of fixed size
 for each language.
 
-Defined results: a null text, or one without a letter, is `und` with score 0 and no spans; words without letters take
-the language around them; without training rows every text is `und`; ties go to the first language by name; rows that
+Defined results: a letter is a character of a Unicode category L; a null text, or one without a letter (digits, marks
+and symbols of any script alone), is `und` with score 0 and no spans; words without letters take the language around
+them; rows with a null id are not held out, so they are learned from as others are, and labelled; without training rows every text is `und`; ties go to the first language by name; rows that
 repeat an id are each labelled; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,29 +39,43 @@ SCRIPTS = (
     ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xC0, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF),
     ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("arabic", 0x750, 0x77F),
     ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("tamil", 0xB80, 0xBFF), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF),
-    ("hangul", 0x1100, 0x11FF), ("hangul", 0xAC00, 0xD7A3), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x4DBF), ("han", 0x4E00, 0x9FFF),
+    ("hangul", 0x1100, 0x11FF), ("hangul", 0xAC00, 0xD7A3), ("kana", 0x3040, 0x30FF), ("han", 0x3005, 0x3007), ("han", 0x3400, 0x4DBF), ("han", 0x4E00, 0x9FFF),
+    ("han", 0x20000, 0x323AF), ("latin", 0xAA, 0xAA), ("latin", 0xBA, 0xBA), ("greek", 0xB5, 0xB5), ("latin", 0xFF21, 0xFF3A), ("latin", 0xFF41, 0xFF5A), ("kana", 0xFF66, 0xFF9D),
 )
 NAMES = ("none", *dict.fromkeys(s for s, _, _ in SCRIPTS), "other")
 
 
+#: No letter has a code point from here on.
+END_OF_LETTERS = 0x33480
+
+
+@lru_cache(1)
 def script_table() -> np.ndarray:
-    """Script by the first two bytes of a character: by the range that holds most of what they begin."""
-    out = np.zeros((256, 256), np.uint8)
-    out[0xC3:0xF5, 0x80:0xC0] = NAMES.index("other")
-    out[0xE2, 0x80:0xB0] = 0  # punctuation and symbols
-    out[0xE3, 0x80] = out[0xEF, 0xBC] = 0
+    """Script by code point; 0 for what is no letter by its Unicode category."""
+    out = np.zeros(END_OF_LETTERS + 1, np.uint8)
+    for point in range(END_OF_LETTERS):
+        if unicodedata.category(chr(point))[0] == "L":
+            out[point] = NAMES.index("other")
     for name, low, high in SCRIPTS:
-        for point in range(low, high + 1, 1 if low < 0x800 else 32):
-            raw = chr(point).encode()
-            if len(raw) == 1:
-                out[raw[0], :] = NAMES.index(name)
-            else:
-                out[raw[0], raw[1]] = NAMES.index(name)
-    out[0xC3, [0x97, 0xB7]] = 0
+        own = out[low : high + 1]
+        own[own > 0] = NAMES.index(name)
     return out
 
 
-SCRIPT = script_table()
+def scripts_of(buf: np.ndarray) -> np.ndarray:
+    """The script of the character that begins at each byte of UTF-8; 0 at other bytes and for what is no letter."""
+    table = script_table()
+    out = np.where(buf < 128, table[:256][buf], np.uint8(0))
+    lead = np.flatnonzero(buf >= 0xC0)
+    if len(lead):
+        first = buf[lead].astype(np.int64)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = first & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+        for k in (1, 2, 3):
+            own = size > k
+            point[own] = point[own] << 6 | buf[lead[own] + k] & 0x3F
+        out[lead] = table[np.minimum(point, END_OF_LETTERS)]
+    return out
 
 
 class Pieces:
@@ -75,8 +92,7 @@ class Pieces:
         gram = self.edges(gram, padded, where)
         self.gram = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)).astype(np.int64)
         self.word = (K.word_codes(low, self.s, self.e) >> K.U64(64 - TABLE_BITS)).astype(np.int64)
-        nxt = np.concatenate((buf[1:], [32])) if len(buf) else buf
-        script = SCRIPT[buf, nxt] if len(buf) else buf
+        script = scripts_of(buf)
         self.letters = np.zeros((len(self.s), len(NAMES)), np.int32)
         where_script = np.flatnonzero(script)
         if len(where_script):
@@ -187,7 +203,7 @@ class Model:
         out = np.zeros(len(score), np.int64)
         if not len(active):
             return out
-        stay, best = np.ones(score.shape, bool), np.zeros(len(score), np.int8)
+        stay, best = np.ones(score.shape, bool), np.zeros(len(score), np.int32)
         value = score[begin[: active[0]]]
         last = np.zeros(len(order), np.int64)
         last[: active[0]] = 0

@@ -33,17 +33,20 @@ def url_filter() -> str:
     name = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in rules) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in rules) + " END"
     spread = f"least(greatest(CASE WHEN var_pop(bad / n) > 0 THEN avg(bad / n) * (1 - avg(bad / n)) / var_pop(bad / n) - 1 ELSE {urls.MOST_STRENGTH} END, {urls.LEAST_STRENGTH}), {urls.MOST_STRENGTH})"
+    listed = ", ".join(map(quoted, urls.SUFFIXES))
     post = "a0 / (a0 + b0) * s + bad AS {a}, (1 - a0 / (a0 + b0)) * s + n - bad AS {b}"
     return f"""WITH r0 AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 r1 AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM r0),
-pg AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM r1),
+r2 AS (SELECT *, regexp_replace(regexp_replace(host, '{urls.USER}', ''), '{urls.PORT}', '') AS site FROM r1),
+r3 AS (SELECT *, string_split(site, '.') AS l, regexp_matches(site, '{urls.NUMBER}') AS ip FROM r2), r4 AS (SELECT *, array_to_string(l[-2:], '.') IN ({listed}) AS two FROM r3),
+pg AS (SELECT page_id, host, path, site, CASE WHEN ip THEN site ELSE array_to_string(CASE WHEN two THEN l[-3:] ELSE l[-2:] END, '.') END AS domain, CASE WHEN ip THEN '' WHEN two THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM r4),
 mk AS (SELECT doc_id AS page_id, max((coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0)::INT) AS bad FROM labels GROUP BY 1),
-c AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM pg JOIN mk USING (page_id) GROUP BY 1, 2, 3),
+c AS (SELECT site, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM pg JOIN mk USING (page_id) GROUP BY 1, 2, 3),
 top AS (SELECT coalesce(sum(bad), 0) + 1 AS a0, coalesce(sum(n), 0) - coalesce(sum(bad), 0) + 1 AS b0 FROM c),
 s1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM c GROUP BY 1), p1 AS (SELECT suffix, {post.format(a='a1', b='b1')} FROM s1, (SELECT {spread} AS s FROM s1), top),
 s2 AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM c GROUP BY 1, 2), g2 AS (SELECT suffix, {spread} AS s FROM s2 GROUP BY 1), p2 AS (SELECT domain, {post.format(a='a2', b='b2')} FROM s2 JOIN g2 USING (suffix) JOIN (SELECT suffix, a1 AS a0, b1 AS b0 FROM p1) USING (suffix)),
-s3 AS (SELECT domain, host, sum(n) AS n, sum(bad) AS bad FROM c GROUP BY 1, 2), g3 AS (SELECT domain, {spread} AS s FROM s3 GROUP BY 1), p3 AS (SELECT host, {post.format(a='a3', b='b3')} FROM s3 JOIN g3 USING (domain) JOIN (SELECT domain, a2 AS a0, b2 AS b0 FROM p2) USING (domain)),
-j AS (SELECT pg.*, coalesce(a3, a2, a1, a0) AS a, coalesce(b3, b2, b1, b0) AS b FROM pg LEFT JOIN p3 USING (host) LEFT JOIN p2 USING (domain) LEFT JOIN p1 USING (suffix), top),
+s3 AS (SELECT domain, site, sum(n) AS n, sum(bad) AS bad FROM c GROUP BY 1, 2), g3 AS (SELECT domain, {spread} AS s FROM s3 GROUP BY 1), p3 AS (SELECT site, {post.format(a='a3', b='b3')} FROM s3 JOIN g3 USING (domain) JOIN (SELECT domain, a2 AS a0, b2 AS b0 FROM p2) USING (domain)),
+j AS (SELECT pg.*, coalesce(a3, a2, a1, a0) AS a, coalesce(b3, b2, b1, b0) AS b FROM pg LEFT JOIN p3 USING (site) LEFT JOIN p2 USING (domain) LEFT JOIN p1 USING (suffix), top),
 k AS (SELECT *, a / (a + b) - {urls.Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS bound FROM j)
 SELECT page_id, host, path, {name} AS rule, coalesce({verdict}, CASE WHEN bound > {urls.BLOCK_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict, round(a / (a + b), 6) AS share_bad, round(bound, 6) AS bound FROM k"""
 

@@ -3,9 +3,13 @@
 First pass: every task counts its windows in a count-min sketch, saturating at two, and the merged sketch gives an
 overestimate of each window's count over the corpus. A window is counted by its anchor, the least of its short
 grams: equal windows have equal anchors at the same place, so an anchor's count is no less than its window's, and a
-quarter as many keys are counted. Second pass: only windows estimated to occur twice or more are grouped, exactly,
-by 64-bit fingerprints; none that repeats is lost. A window repeats an earlier one if it starts in a document with
-a smaller id as well; the words that such windows cover go.
+quarter as many keys are counted. Second pass: only windows estimated to occur twice or more are grouped, exactly, by
+128 bits of the SHA-256 of their words; none that repeats is lost. A window repeats an earlier one if it starts in a
+document with a smaller id as well; the words that such windows cover go.
+
+The exact grouping takes two steps. Consecutive windows with one anchor form a run, and runs are grouped first: all
+windows of a run that a smaller document has as well are repeats. What is left are distinct runs in the first document
+that has them; where an anchor has several, their windows are grouped one by one.
 
 Equal texts are found first, by SHA-256; only the one with the smallest id is counted and grouped, and the others
 repeat it throughout.
@@ -33,23 +37,44 @@ from .tables import text_of, written
 WINDOW, GRAM = 13, 7
 
 
-def window_anchors(buf: np.ndarray, where: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(word codes, each row's first word, starts of windows, anchor code of each window)."""
-    s, e, first = K.words(buf, where)
-    codes = K.word_codes(buf, s, e)
-    within = K.starts_within(first, len(codes), window)
-    if not within.any():
-        none = np.zeros(0, np.int64)
-        return codes, first, none, none, np.zeros(0, K.U64)
-    grams = K.gram_codes(codes, gram)
-    at = K.anchors(grams, window - gram + 1)
-    start = np.flatnonzero(within)
-    return codes, first, start, at[start], grams
+class Windows:
+    """The windows of a slice: each one's first word, row and anchor code, in runs of one anchor."""
+
+    def __init__(self, buf: np.ndarray, where: np.ndarray, window: int, gram: int):
+        self.buf, self.window = buf, window
+        self.s, self.e, self.first = K.words(buf, where)
+        within = K.starts_within(self.first, len(self.s), window)
+        self.start = np.flatnonzero(within)
+        if not len(self.start):
+            self.anchor, self.count = np.zeros(0, K.U64), self.start
+            return
+        grams = K.gram_codes(K.word_codes(buf, self.s, self.e), gram)
+        at = K.anchors(grams, window - gram + 1)[self.start]
+        new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        self.count = np.diff(np.concatenate((new, [len(at)])))
+        self.start, self.anchor = self.start[new], grams[at[new]]
+
+    def rows(self, use: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, self.start[use], "right") - 1
+
+    def digests(self, start: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """128 bits of the SHA-256 of so many words from each start, joined by single spaces: two columns of longs."""
+        size = self.e - self.s
+        to = np.concatenate(([0], np.cumsum(size + 1)))
+        spaced = np.full(int(to[-1]), 32, np.uint8)
+        spaced[K.ragged(to[:-1], size)] = self.buf[K.ragged(self.s, size)]
+        return digests(spaced, to[start], to[start + words] - 1)
+
+
+def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    data, sha = buf.tobytes(), hashlib.sha256
+    raw = b"".join([sha(data[a:b]).digest()[:16] for a, b in zip(start.tolist(), end.tolist())])
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth: int = sketches.DEPTH, bits: int = sketches.BITS) -> DataFrame:
-    """(doc_id, starts array<int>): starts (in words) of windows that also start in a document with a smaller id;
-    -1 for all windows."""
+    """(doc_id, starts array<struct<start, n>>): n windows from a word on that also start in a document with a smaller
+    id; start -1 for all windows."""
     texts = text_of(docs).filter(F.col("doc_id").isNotNull())
     share = texts.sparkSession.sparkContext.broadcast
     chosen = copies.representatives(docs)
@@ -60,56 +85,79 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, de
 
     def keys_of(batch):
         for _, _, buf, where in K.text_slices(distinct_texts(batch).column("text")):
-            _, _, _, at, grams = window_anchors(buf, where, window, gram)
-            if len(at):
-                yield grams[at[np.concatenate(([True], at[1:] != at[:-1]))]]
+            yield Windows(buf, where, window, gram).anchor
 
     sketch = sketches.merged(sketches.sketch_tasks(texts, keys_of, depth, bits))
     planes = share(sketches.collected(sketch, "twice", depth, bits))
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]):
+        """(windows, which runs may repeat, the ids of those, their digests)."""
         for batch in map(distinct_texts, batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for i, j, buf, where in K.text_slices(batch.column("text")):
-                codes, first, start, at, grams = window_anchors(buf, where, window, gram)
-                if not len(start):
-                    continue
-                new = np.concatenate(([True], at[1:] != at[:-1]))
-                often = sketches.contains(planes.value, grams[at[new]])
-                start = start[often[np.cumsum(new) - 1]]
-                row = np.searchsorted(first, start, "right") - 1
-                code = K.signed(K.gram_codes(codes, window)[start])
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(ids[i:j][row]), pa.array((start - first[row]).astype(np.int32))], ["code", "doc_id", "start"])
-
-    rows = written(texts.mapInArrow(candidates, "code long, doc_id long, start int"), "window-candidates")
-    several = rows.groupBy("code").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("code", "least")
-    later = rows.join(several.hint("merge"), "code").filter("doc_id > least").select("doc_id", "start")
-    whole = copies.all_copies(docs, chosen).filter("doc_id > kept").select("doc_id", F.lit(-1).alias("start"))
-    later = later.unionByName(whole)
-    return later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+                own = Windows(buf, where, window, gram)
+                use = np.flatnonzero(sketches.contains(planes.value, own.anchor))
+                if len(use):
+                    yield own, use, ids[i:j][own.rows(use)], own.digests(own.start[use], own.count[use] + window - 1)
+
+    def run_rows(batches):
+        for own, use, ids, sha in runs(batches):
+            begin = own.start[use] - own.first[own.rows(use)]
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(own.anchor[use])), pa.array(sha[:, 0]), pa.array(sha[:, 1]), pa.array(ids), pa.array(begin.astype(np.int32)), pa.array(own.count[use].astype(np.int32))], ["anchor", "a", "b", "doc_id", "start", "n"])
+
+    rows = written(texts.mapInArrow(run_rows, "anchor long, a long, b long, doc_id long, start int, n int"), "window-runs")
+    groups = written(rows.groupBy("anchor", "a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "distinct-runs")
+    several = written(groups.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor"), "anchors-of-several")
+    # a run's digest is random, so its id may be mixed in by XOR
+    firsts = groups.join(several.hint("merge"), "anchor").select(F.col("a").bitwiseXOR(F.col("least")).alias("key"))
+    wanted = share(copies.filter_of(firsts, "key"))
+
+    def window_rows(batches):
+        for own, use, ids, sha in runs(batches):
+            some = sketches.contains(wanted.value, (sha[:, 0] ^ ids).view(np.uint64))
+            if some.any():
+                use, ids = use[some], ids[some]
+                n = own.count[use]
+                each = K.ragged(own.start[use], n)
+                one = own.digests(each, np.full(len(each), window))
+                begin = each - np.repeat(own.first[own.rows(use)], n)
+                yield pa.RecordBatch.from_arrays([pa.array(one[:, 0]), pa.array(one[:, 1]), pa.array(np.repeat(ids, n)), pa.array(begin.astype(np.int32))], ["a", "b", "doc_id", "start"])
+
+    later = repeats_of(rows, groups.filter("least < most"), "n")
+    alone = written(texts.mapInArrow(window_rows, "a long, b long, doc_id long, start int"), "windows-of-distinct-runs")
+    least = written(alone.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"), "repeated-windows")
+    later = later.unionByName(repeats_of(alone.withColumn("n", F.lit(1)), least, "n"))
+    whole = copies.all_copies(docs, chosen).filter("doc_id > kept").select("doc_id", F.lit(-1).alias("start"), F.lit(0).alias("n"))
+    return later.unionByName(whole).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("starts"))
+
+
+def repeats_of(rows: DataFrame, groups: DataFrame, *also: str) -> DataFrame:
+    """Rows whose digest a smaller document has. Both sides are written tables, so that adaptive execution can split
+    the rows of a digest that very many documents share."""
+    return rows.join(groups.select("a", "b", "least").hint("merge"), ["a", "b"]).filter("doc_id > least").select("doc_id", "start", *also)
 
 
 def with_starts(docs: DataFrame, starts: DataFrame) -> DataFrame:
     texts = text_of(docs)
-    return texts.join(starts.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("starts", F.expr("cast(array() as array<int>)")).alias("starts"))
+    return texts.join(starts.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("starts", F.expr("cast(array() as array<struct<start:int,n:int>>)")).alias("starts"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int):
     """(batch part, words, removed, kept bytes) by row."""
     for batch in batches:
         starts = batch.column("starts")
-        values = starts.values.to_numpy(zero_copy_only=False)
-        bounds = starts.offsets.to_numpy()
+        bounds, begin, windows = starts.offsets.to_numpy(), *(starts.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
         for i, j, buf, where in K.text_slices(batch.column("text")):
             s, e, first = K.words(buf, where)
             data = buf.tobytes()
             n, gone, kept = [], [], []
             for r in range(j - i):
                 a, b = int(first[r]), int(first[r + 1])
-                own = values[bounds[i + r] : bounds[i + r + 1]].astype(np.int64)
-                if len(own) and own.min() < 0:
-                    own = np.arange(max(0, b - a - window + 1))
-                keep = ~covered(own, own + window, b - a) if len(own) else np.ones(b - a, bool)
+                own = slice(bounds[i + r], bounds[i + r + 1])
+                at, end = begin[own], begin[own] + windows[own] + window - 1
+                if len(at) and at.min() < 0:
+                    at, end = np.zeros(1, np.int64), np.array([b - a if b - a >= window else 0])
+                keep = ~covered(at, end, b - a) if len(at) else np.ones(b - a, bool)
                 ss, ee = s[a:b][keep].tolist(), e[a:b][keep].tolist()
                 n.append(b - a)
                 gone.append(b - a - len(ss))

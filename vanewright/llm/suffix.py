@@ -1,24 +1,26 @@
 """Suffix-array dedup with longest-previous-factor arrays.
 
-A text's bytes are removed where a string of `length` bytes that covers them also starts elsewhere. Which positions
-those are follows from the suffixes in order, cut at `length` bytes: of a position's neighbours in that order, the
-previous and next ones with a smaller place in the corpus bound its longest earlier match (longest previous factor),
-and, mirrored, those with a larger place its longest later match. With equal suffixes ordered by place, the nearest
-smaller place with a common prefix of `length` bytes is the entry before, and the nearest larger one the entry after.
+A text's bytes are removed where a string of `length` bytes that covers them also starts elsewhere. Which ones those
+are follows from the suffixes in order, cut at `length` bytes, and the common prefixes of neighbours: of each suffix,
+the previous and next ones in that order with a smaller place in the corpus give its longest earlier match (longest
+previous factor), and, mirrored, those with a larger place its longest later one. Where a factor has `length` bytes,
+the suffix's string is a repeat.
 
 Spark deals suffixes to tasks by content: every string of `length` bytes has an anchor, the least of its k-byte
 grams, at the same place in all of its copies, so suffixes with long common prefixes share their anchor's code.
 
 1. Every distinct text yields its anchors; codes that occur once are done with (an aggregate of longs).
-2. Consecutive suffixes with one repeated anchor form a piece of text. Pieces are grouped by anchor and fingerprint:
-   all suffixes of a piece that occurs again are repeats, with the first place of the group as the earlier one.
-3. The distinct pieces of an anchor that has several are sent, one copy each, to the task that orders their suffixes.
-4. Anchors with more distinct pieces than a task should hold are taken apart further: their suffixes are grouped one
-   by one by the fingerprint of their `length` bytes, aggregated before the shuffle. This path is as exact.
+2. Consecutive suffixes with one repeated anchor form a piece of text. Equal pieces, told by 128 bits of SHA-256, have
+   equal suffixes, so each distinct one is kept once, with its first and its last place and how often it occurs.
+3. The distinct pieces of an anchor meet in one task, which orders their suffixes (each with both places) and computes
+   the factors. Copies between the first and the last have the first before and the last after them, so they take
+   the last one's earlier and the first one's later factors.
+4. Anchors with more distinct pieces than a task should hold are cut further, into pieces of one suffix, which are
+   made distinct in the same way, and dealt by their own digests. They go through the same ordering.
 
 Equal texts are found first, by SHA-256, and represented by the smallest id; others of them are repeats throughout.
-Bloom filters of fixed size tell the later passes which codes, places and documents to look at; what they let through
-in error costs time, not exactness.
+Rolling hashes and Bloom filters of fixed size tell which codes and places to look at; what they let through in error
+costs time, not exactness.
 
 Defined results: a null or empty text, or one of fewer than `length` bytes, loses nothing; documents with a null id
 lose nothing and repeat nothing; rows that repeat an id and its text count as copies of each other; matches may
@@ -32,17 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import copies, sketches
 from . import kernels as K
 from .spans import merged_runs
+from .substring import digests
 from .tables import text_of, written
 
 LENGTH, GRAM = 200, 64
-#: Anchors with more distinct pieces than this take the last path; suffixes ordered at once in a task; filter bits.
-OFTEN, BATCH_SUFFIXES, FILTER_BITS = 2000, 150_000, copies.FILTER_BITS
+#: Anchors with more distinct pieces than this are cut into pieces of one suffix; suffixes ordered at once in a task.
+OFTEN, BATCH_SUFFIXES, FILTER_BITS = 2000, 120_000, copies.FILTER_BITS
 
 
 def anchor_runs(buf: np.ndarray, where: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -51,7 +54,7 @@ def anchor_runs(buf: np.ndarray, where: np.ndarray, length: int, gram: int) -> t
     none = np.zeros(0, np.int64)
     if not within.any():
         return none, none, none, np.zeros(0, K.U64)
-    codes = K.gram_codes(byte_codes(buf), gram)
+    codes = K.rolling_codes(K.BYTE_CODES[buf], gram)
     at = K.anchors(codes, length - gram + 1)
     start = np.flatnonzero(within)
     own = at[start]
@@ -60,31 +63,52 @@ def anchor_runs(buf: np.ndarray, where: np.ndarray, length: int, gram: int) -> t
     return start[new], count, own[new], codes[own[new]]
 
 
-def byte_codes(buf: np.ndarray) -> np.ndarray:
-    return K.BYTE_CODES[buf]
-
-
-def suffix_order(text: np.ndarray, start: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes (by where they start in `text`) in order of their first `length` bytes, equal ones by place; and
-    for each entry whether its common prefix with the entry before has `length` bytes."""
-    codes = K.span_codes(K.running(byte_codes(text)), start, start + length)
-    distinct, shown, which = np.unique(codes, return_index=True, return_inverse=True)
-    rows = np.lib.stride_tricks.sliding_window_view(text, length)[start[shown]]
-    order = np.argsort(np.ascontiguousarray(rows).view(f"V{length}").ravel(), kind="stable")
+def ranked(text: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each suffix (by where it starts in `text`) in the order of its first `length` bytes, equal ones
+    having one rank; and each rank's common prefix with the rank before."""
+    view = np.lib.stride_tricks.sliding_window_view(text, length)
+    # a rolling hash guesses which are equal, so that each is sorted once; the bytes are then compared
+    _, shown, which = np.unique(K.rolling_codes(K.BYTE_CODES[text], length)[start], return_index=True, return_inverse=True)
+    rows = np.ascontiguousarray(view[start[shown]])
+    if not (view[start] == rows[which]).all():
+        which, rows = np.arange(len(start)), np.ascontiguousarray(view[start])
+    order = np.argsort(rows.view(f"V{length}").ravel(), kind="stable")
+    same = rows[order[1:]] == rows[order[:-1]]
+    common = np.where(same.all(1), length, same.argmin(1))
     rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    entries = np.lexsort((place, rank[which]))
-    sorted_rank = rank[which][entries]
-    return entries, np.concatenate(([False], sorted_rank[1:] == sorted_rank[:-1])) if len(entries) else np.zeros(0, bool)
-
-
-def factors(text: np.ndarray, start: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix, whether its longest previous factor, and whether its longest later one, has `length` bytes."""
-    entries, same = suffix_order(text, start, place, length)
-    earlier, later = np.zeros(len(start), bool), np.zeros(len(start), bool)
-    earlier[entries] = same
-    later[entries] = np.concatenate((same[1:], [False])) if len(same) else same
-    return earlier, later
+    rank[order] = np.concatenate(([0], np.cumsum(common < length)))
+    return rank[which], np.concatenate(([0], common[common < length]))
+
+
+def nearest_smaller(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each entry, the length of its common prefix with the nearest entry before it that has a smaller place (0:
+    none). common: the common prefix of each entry with the one before. All entries climb at once: whoever stands
+    between an entry and the one it looks at has a larger place than the entry."""
+    at, common = np.arange(len(place)) - 1, common.copy()
+    common[:1] = 0
+    live = np.arange(1, len(place))
+    while len(live):
+        live = live[(place[at[live]] > place[live]) & (common[live] > 0)]
+        up = at[live]
+        common[live], at[live] = np.minimum(common[live], common[up]), at[up]
+        out = at[live] < 0
+        common[live[out]] = 0
+        live = live[~out]
+    return common
+
+
+def factors(rank: np.ndarray, common: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix (its rank and its place in the corpus) the length of its longest previous factor, and of its
+    longest later one, both cut at `length`. Of equal suffixes, the first in place takes the nearest rank before or
+    after that has a smaller place; the others match the one before them."""
+    back = np.concatenate(([0], common[:0:-1]))
+    found = []
+    for p in (place, -place):
+        least = np.full(len(common), np.iinfo(np.int64).max)
+        np.minimum.at(least, rank, p)
+        longest = np.maximum(nearest_smaller(least, common), nearest_smaller(least[::-1], back)[::-1])
+        found.append(np.where(p == least[rank], longest[rank], length))
+    return found[0], found[1]
 
 
 SPANS = "doc_id long, start int, end int, earlier boolean"
@@ -103,61 +127,70 @@ def span_batch(doc: np.ndarray, position: np.ndarray, earlier: np.ndarray, lengt
     )
 
 
+#: A distinct piece is two rows, one with its places (n > 0) and one with its bytes, or one row with both.
+DEALT = "key long, a long, b long, n long, count int, doc_id long, begin int, last_doc long, last_begin int, piece binary"
+
+
+def matched_spans(rows: list[pa.RecordBatch], length: int) -> pa.RecordBatch | None:
+    """Whole keys of DEALT rows, sorted by (key, a, b) -> the matched spans of first and last places."""
+    table = pa.Table.from_batches(rows).combine_chunks()
+    has_piece = table.column("piece").is_valid().to_numpy()
+    buf, where = K.flat(table.column("piece"))
+    key, a, b, n, count, doc, begin, last_doc, last_begin = (table.column(c).to_numpy() for c in ("key", "a", "b", "n", "count", "doc_id", "begin", "last_doc", "last_begin"))
+    group = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) - 1
+    places, text = (np.full(group[-1] + 1, -1) for _ in range(2))
+    places[group[n > 0]] = np.flatnonzero(n > 0)
+    text[group[has_piece]] = np.flatnonzero(has_piece)
+    known = (places >= 0) & (text >= 0)  # bytes that a filter let through in error have no places
+    places, text = places[known], text[known]
+    if not len(places):
+        return None
+    count = count[places].astype(np.int64)
+    piece = np.repeat(np.arange(len(places)), count)
+    offset = K.ragged(np.zeros(len(places), np.int64), count)
+    rank, common = ranked(buf, where[text][piece] + offset, length)
+    # every suffix stands at its piece's first place and, where there are several, at its last place
+    more = n[places][piece] > 1
+    rank = np.concatenate((rank, rank[more]))
+    doc = np.concatenate((doc[places][piece], last_doc[places][piece][more]))
+    position = np.concatenate((begin[places][piece] + offset, last_begin[places][piece][more] + offset[more]))
+    place = np.empty(len(doc), np.int64)
+    place[np.lexsort((position, doc))] = np.arange(len(doc))
+    previous, later = factors(rank, common, place, length)
+    hit = (previous >= length) | (later >= length)
+    return span_batch(doc[hit], position[hit], previous[hit] >= length, length)
+
+
 def ordered_pieces(length: int):
-    """Pieces sorted by anchor code -> spans; whole anchors are ordered together, some at a time."""
-
-    def handle(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        buf, where = K.flat(table.column("piece"))
-        buf = buf[where[0] : where[-1]]
-        where = where - where[0]
-        code, doc, begin, count = (table.column(c).to_numpy() for c in ("code", "doc_id", "begin", "count"))
-        if not ((code[1:] == code[:-1]).any() if len(code) > 1 else False):
-            return None
-        # alone with its anchor: nothing to compare
-        fresh = np.concatenate(([True], code[1:] != code[:-1]))
-        group = np.cumsum(fresh) - 1
-        shared = np.bincount(group)[group] > 1
-        piece = np.repeat(np.flatnonzero(shared), count[shared])
-        offset = K.ragged(np.zeros(int(shared.sum()), np.int64), count[shared].astype(np.int64))
-        position = begin[piece].astype(np.int64) + offset
-        place = np.empty(len(piece), np.int64)
-        place[np.lexsort((position, doc[piece]))] = np.arange(len(piece))
-        earlier, later = factors(buf, where[:-1][piece] + offset, place, length)
-        hit = earlier | later
-        return span_batch(doc[piece][hit], position[hit], earlier[hit], length)
+    """DEALT rows sorted by (key, a, b) -> spans; whole keys are ordered together, some at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         suffixes = 0
         for batch in batches:
-            code = batch.column("code").to_numpy()
+            key = batch.column("key").to_numpy()
             count = batch.column("count").to_numpy()
             i = 0
-            while i < len(code):
+            while i < len(key):
                 room = BATCH_SUFFIXES - suffixes
                 j = max(i + 1, int(np.searchsorted(np.cumsum(count[i:]), room, "right")) + i)
-                if j < len(code):  # to where an anchor ends
-                    ends = np.flatnonzero(code[j:] != code[j - 1])
-                    j = j + int(ends[0]) if len(ends) else len(code)
-                ready = j < len(code)
+                if j < len(key):  # to where a key ends
+                    ends = np.flatnonzero(key[j:] != key[j - 1])
+                    j = j + int(ends[0]) if len(ends) else len(key)
+                ready = j < len(key)
                 held.append(batch.slice(i, j - i))
                 suffixes += int(count[i:j].sum())
                 if ready:
-                    if (out := handle(held)) is not None:
+                    if (out := matched_spans(held, length)) is not None:
                         yield out
                     held, suffixes = [], 0
                 i = j
-        if held and (out := handle(held)) is not None:
+        if held and (out := matched_spans(held, length)) is not None:
             yield out
 
     return run
 
 
-def place_codes(doc: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    return K.mix(K.mix(doc.astype(np.int64).view(np.uint64)) + begin.astype(np.uint64))
-
-
 def anchor_rows(length: int, gram: int):
     """(text, sha) -> (code, unit) of every anchor; the unit tells apart places in distinct texts."""
 
@@ -171,15 +204,15 @@ def anchor_rows(length: int, gram: int):
                 _, _, at, code = anchor_runs(buf, where, length, gram)
                 if len(at):
                     row = np.searchsorted(where, at, "right") - 1
-                    text = K.mix(np.ascontiguousarray(shas[i:j, :16]).view(np.uint64).reshape(-1, 2) @ np.array([K.BASE, 1], np.uint64))
-                    unit = K.mix(text[row] + (at - where[row]).astype(np.uint64) * K.BASE)
+                    own = np.ascontiguousarray(shas[i:j, :16]).view(np.uint64)
+                    unit = K.joint(K.joint(own[:, 0], own[:, 1])[row], (at - where[row]).astype(np.uint64))
                     yield pa.RecordBatch.from_arrays([pa.array(K.signed(code)), pa.array(K.signed(unit))], ["code", "unit"])
 
     return run
 
 
 def candidate_runs(length: int, gram: int, reps, some):
-    """Batches of (doc_id, text) -> for each slice (bytes, offsets, row, doc, begin, count, code) of the runs of
+    """Batches of (doc_id, text) -> for each slice (bytes, start, doc, begin, count, code, digests) of the runs of
     representatives with a repeated anchor."""
 
     def run(batches):
@@ -193,11 +226,35 @@ def candidate_runs(length: int, gram: int, reps, some):
                 use[use] = sketches.contains(some.value, code[use])
                 if use.any():
                     start, count, code, row = start[use], count[use], code[use], row[use]
-                    yield buf, start, ids[i:j][row], (start - where[row]).astype(np.int32), count.astype(np.int32), code
+                    yield buf, start, ids[i:j][row], (start - where[row]).astype(np.int32), count.astype(np.int32), code, digests(buf, start, start + count + length - 1)
 
     return run
 
 
+def place_key(a: Column, place: str) -> Column:
+    """What a filter of places holds: half a digest, which is random, with the place mixed in."""
+    return a.bitwiseXOR(F.col(f"{place}.doc_id")).bitwiseXOR(F.shiftleft(F.col(f"{place}.begin").cast("long"), 20)).alias("key")
+
+
+def place_keys(a: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return (a ^ doc ^ (begin.astype(np.int64) << 20)).view(np.uint64)
+
+
+def distinct(rows: DataFrame, *keys: str, also: tuple = ()) -> DataFrame:
+    """One row for each digest: its first and last place and how many there are."""
+    place = F.struct("doc_id", "begin")
+    return rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"), F.first("count").alias("count"), *also)
+
+
+def between(rows: DataFrame, groups: DataFrame, length: int) -> DataFrame:
+    """Spans of the copies between the first and the last one. Both sides are written tables, so that adaptive
+    execution can split the rows of a piece that very many documents share."""
+    many = groups.filter("n > 2").select("a", "b", "first", "last")
+    place = F.struct("doc_id", "begin")
+    inner = rows.join(many.hint("merge"), ["a", "b"]).filter((place != F.col("first")) & (place != F.col("last")))
+    return inner.select("doc_id", F.col("begin").alias("start"), (F.col("begin") + F.col("count") + (length - 1)).alias("end"), F.lit(True).alias("earlier"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, often: int = OFTEN, bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, start, end, earlier): bytes covered by strings of `length` bytes that start elsewhere too; earlier:
     also at an earlier place (a smaller id, or before in the document). Spans may overlap. Copies of whole texts have
@@ -207,70 +264,64 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ofte
     chosen = copies.representatives(docs, length)
     reps = share(copies.filter_of(chosen, "kept", bits))
     counts = copies.addressed(docs, length).select("text", "sha").mapInArrow(anchor_rows(length, gram), "code long, unit long")
-    counts = counts.groupBy("code").agg(F.min("unit").alias("a"), F.max("unit").alias("b")).filter("a <> b").select("code")
+    counts = counts.groupBy("code").agg(F.min("unit").alias("u"), F.max("unit").alias("v")).filter("u <> v").select("code")
     some = share(copies.filter_of(written(counts, "repeated-anchors"), "code", bits))
     runs = candidate_runs(length, gram, reps, some)
 
     def piece_rows(batches):
-        for buf, start, doc, begin, count, code in runs(batches):
-            whole = K.mix(K.span_codes(K.running(byte_codes(buf)), start, start + count + length - 1) ^ code)
-            unit = place_codes(doc, begin)
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(code)), pa.array(K.signed(whole)), pa.array(doc), pa.array(begin), pa.array(count), pa.array(K.signed(unit))], ["anchor", "code", "doc_id", "begin", "count", "unit"])
-
-    rows = written(texts.mapInArrow(piece_rows, "anchor long, code long, doc_id long, begin int, count int, unit long"), "pieces")
-    first = F.min(F.struct("doc_id", "begin", "unit")).alias("first")
-    groups = written(rows.groupBy("anchor", "code").agg(first, F.count("*").alias("n")), "distinct-pieces")
-    again = rows.join(groups.filter("n > 1").select("code", "first").hint("merge"), "code")
-    place = F.struct("doc_id", "begin")
-    out = again.select("doc_id", F.col("begin").alias("start"), (F.col("begin") + F.col("count") + (length - 1)).alias("end"), (place > F.struct("first.doc_id", "first.begin")).alias("earlier"))
-
-    several = groups.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
-    several = written(groups.join(several.hint("merge"), "anchor").select("anchor", "m", F.col("first.unit").alias("unit")), "pieces-to-order")
-    wanted, hot = share(copies.filter_of(several, "unit", bits)), share(copies.filter_of(several.filter(F.col("m") > often), "anchor", bits))
-
-    def pieces(batches, frequent: bool):
-        for buf, start, doc, begin, count, code in runs(batches):
-            use = sketches.contains(wanted.value, place_codes(doc, begin))
-            use[use] = sketches.contains(hot.value, code[use]) == frequent
-            if not use.any():
-                continue
-            start, doc, begin, count, code = (x[use] for x in (start, doc, begin, count, code))
-            if frequent:
-                each = K.ragged(start, count)
-                begin = K.ragged(begin.astype(np.int64), count).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(K.span_codes(K.running(byte_codes(buf)), each, each + length))), pa.array(np.repeat(doc, count)), pa.array(begin)], ["code", "doc_id", "begin"])
-            else:
-                size = count + length - 1
-                text = buf[K.ragged(start, size)]
-                offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                piece = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(code)), pa.array(doc), pa.array(begin), pa.array(count), piece], ["code", "doc_id", "begin", "count", "piece"])
-
-    few = texts.mapInArrow(lambda b: pieces(b, False), "code long, doc_id long, begin int, count int, piece binary")
-    few = few.repartition("code").sortWithinPartitions("code", "doc_id", "begin").mapInArrow(ordered_pieces(length), SPANS)
-    out = out.unionByName(few).unionByName(frequent_spans(texts, lambda b: pieces(b, True), length))
+        for _, _, doc, begin, count, code, sha in runs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (K.signed(code), sha[:, 0], sha[:, 1], doc, begin, count)], ["anchor", "a", "b", "doc_id", "begin", "count"])
+
+    rows = written(texts.mapInArrow(piece_rows, "anchor long, a long, b long, doc_id long, begin int, count int"), "pieces")
+    groups = written(distinct(rows, "anchor", "a", "b"), "distinct-pieces")
+    totals = groups.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("n").alias("t")).filter("t > 1").select("anchor", "m")
+    totals = written(totals, "anchors-of-several")
+    frequent = share(copies.filter_of(totals.filter(F.col("m") > often), "anchor", bits))
+    groups = groups.join(totals.hint("merge"), "anchor").drop("m")
+
+    def marked(batches):
+        """With the column `cut`: what the filter says, right or in error, as it does to the tasks that send bytes."""
+        for batch in batches:
+            yield batch.append_column("cut", pa.array(sketches.contains(frequent.value, batch.column("anchor").to_numpy().view(np.uint64))))
+
+    kinds = ", ".join(f"{c} {kind}" for c, kind in groups.dtypes)
+    groups = written(groups.mapInArrow(marked, f"{kinds}, cut boolean"), "pieces-to-order")
+    a = F.col("a")
+    wanted = share(copies.filter_of(groups.select(place_key(a, "first")).union(groups.filter("cut and n > 1").select(place_key(a, "last"))), "key", bits))
+
+    def sent_rows(batches):
+        """Bytes of the wanted places: pieces, or suffixes of the frequent anchors' pieces."""
+        for buf, start, doc, begin, count, code, sha in runs(batches):
+            use = sketches.contains(wanted.value, place_keys(sha[:, 0], doc, begin))
+            cut = sketches.contains(frequent.value, code)
+            for fine, own in ((False, use & ~cut), (True, use & cut)):
+                if not own.any():
+                    continue
+                s, d, p, c, k, h = start[own], doc[own], begin[own], count[own], K.signed(code[own]), sha[own]
+                if fine:
+                    s, d, p, k = K.ragged(s, c), np.repeat(d, c), K.ragged(p.astype(np.int64), c).astype(np.int32), np.repeat(k, c)
+                    c = np.ones(len(s), np.int32)
+                    h = digests(buf, s, s + length)
+                size = c + length - 1
+                data, offsets = buf[K.ragged(s, size)], np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                piece = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), fine)), *(pa.array(x) for x in (k, h[:, 0], h[:, 1], d, p, c)), piece], ["fine", "anchor", "a", "b", "doc_id", "begin", "count", "piece"])
+
+    sent = written(texts.mapInArrow(sent_rows, "fine boolean, anchor long, a long, b long, doc_id long, begin int, count int, piece binary"), "pieces-sent")
+    suffixes = sent.filter("fine").select("a", "b", "doc_id", "begin", "count", "piece")
+    fine = written(distinct(suffixes, "a", "b", also=(F.first("piece").alias("piece"),)), "distinct-suffixes")
+    places = ("first.doc_id", "first.begin", F.col("last.doc_id").alias("last_doc"), F.col("last.begin").alias("last_begin"))
+    none = lambda kind: F.lit(None).cast(kind)
+    dealt = groups.filter("not cut").select(F.col("anchor").alias("key"), "a", "b", "n", "count", *places, none("binary").alias("piece"))
+    dealt = dealt.union(sent.filter("not fine").select("anchor", "a", "b", F.lit(0).cast("long"), "count", none("long"), none("int"), none("long"), none("int"), "piece"))
+    dealt = dealt.union(fine.select("a", "a", "b", "n", "count", *places, "piece"))
+    dealt = dealt.select(*(F.coalesce(c, F.lit(0)).alias(c) if c in ("doc_id", "begin", "last_doc", "last_begin") else c for c in dealt.columns))
+    out = dealt.repartition("key").sortWithinPartitions("key", "a", "b").mapInArrow(ordered_pieces(length), SPANS)
+    out = out.unionByName(between(rows, groups, length)).unionByName(between(suffixes, fine, length))
     whole = copies.all_copies(docs, chosen, length)
     return out.unionByName(whole.select("doc_id", F.lit(0).alias("start"), F.lit(None).cast("int").alias("end"), (F.col("doc_id") > F.col("kept")).alias("earlier")))
 
 
-def frequent_spans(texts: DataFrame, suffixes, length: int) -> DataFrame:
-    """The suffixes of frequent anchors, one row each: grouped by the fingerprint of their bytes, with the first and
-    last place of each group."""
-    rows = written(texts.mapInArrow(suffixes, "code long, doc_id long, begin int"), "frequent-suffixes")
-    place = F.struct("doc_id", "begin")
-    by_doc = rows.groupBy("code", "doc_id").agg(F.min("begin").alias("begin"), F.count("*").alias("n"))
-    groups = by_doc.groupBy("code").agg(F.min(place).alias("first"), F.sum("n").alias("n")).filter("n > 1").select("code", "first")
-    hits = rows.join(groups.hint("merge"), "code").select("doc_id", "begin", (place > F.col("first")).alias("earlier"))
-
-    def spans(batches):
-        for batch in batches:
-            out = span_batch(batch.column("doc_id").to_numpy(), batch.column("begin").to_numpy().astype(np.int64), batch.column("earlier").to_numpy(zero_copy_only=False), length)
-            if out is not None:
-                yield out
-
-    return hits.repartition("doc_id").sortWithinPartitions("doc_id", "begin").mapInArrow(spans, SPANS)
-
-
 def with_spans(docs: DataFrame, spans: DataFrame, keep_first: bool) -> DataFrame:
     """(doc_id, text, spans) of every row of the input."""
     chosen = spans.filter("earlier") if keep_first else spans

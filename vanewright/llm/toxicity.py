@@ -6,7 +6,9 @@ words all in capitals, of punctuation and exclamation marks, and of obfuscated w
 symbols). They are made in Arrow tasks; trees and calibration are fitted and applied by Spark.
 
 The model is fitted on a bounded sample of labelled rows: the `most_rows` with the least hash of their ids. Four
-fifths grow the trees, one fifth calibrates them.
+fifths grow the trees, one fifth calibrates them (all rows do, where that fifth has fewer than LEAST_HELD of either
+kind). Rows are taken in order of ids into one partition, so that every run fits the same trees. The learned lexicon
+holds the `MOST_WORDS` words of most toxic texts.
 
 Defined results: a null text is an empty one, and empty texts have a score too; without labels of both kinds the score
 is the share of toxic labels (0 without any); several labels of one document count as toxic if one is; rows that repeat
@@ -27,8 +29,8 @@ from . import kernels as K
 from .tables import text_of, written
 
 MOST_ROWS, TREES, DEPTH, STEP, SEED = 20_000, 20, 4, 0.3, 7
-#: Partitions of the sample's features (most_rows rows of a few numbers each), which every tree is grown over.
-FIT_TASKS = 6
+#: Texts of either kind that the calibrating fifth has at least.
+LEAST_HELD = 10
 #: A learned word is in so many toxic texts (a number, and a share of them), and its share of toxic ones has this lower bound.
 LEAST_TEXTS, LEAST_SHARE, LEAST_BOUND = 5, 0.02, 0.5
 MOST_WORDS, NEAR = 5000, 5
@@ -42,7 +44,7 @@ INSULTS = (
 #: Second-person pronouns.
 SECOND_PERSON = "you your yours yourself u ur youre tu te toi ton vous votre du dich dir dein ihr euch usted tus ti vosotros".split()
 #: Letters that digits and symbols stand for.
-LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": ""}
+LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "*"}
 
 FEATURES = "words hits density kinds insults near weight most_weight capitals shouted marks exclaims masked mixed".split()
 
@@ -52,7 +54,7 @@ APART_LOOSE = APART.copy()
 APART_LOOSE[[ord(c) for c in "@$!*"]] = False
 UNMASK = K.LOWER.copy()
 for _sign, _letter in LOOKALIKES.items():
-    UNMASK[ord(_sign)] = ord(_letter) if _letter else ord("*")
+    UNMASK[ord(_sign)] = ord(_letter)
 SYMBOL = np.zeros(256, np.int64)
 SYMBOL[[ord(c) for c in LOOKALIKES]] = 1
 CAPITAL, LETTER, MARK = (np.zeros(256, np.int64) for _ in range(3))
@@ -68,6 +70,11 @@ def codes_of(words: list[str]) -> np.ndarray:
     return np.unique(K.word_codes(buf, s, e))
 
 
+def starred(words: list[str]) -> list[str]:
+    """The words with any run of letters after the first one written as stars."""
+    return [w[:i] + "*" * (j - i) + w[j:] for w in words if len(w) > 3 for i in range(1, len(w)) for j in range(i + 1, len(w) + 1)]
+
+
 def among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(codes), bool)
@@ -92,6 +99,8 @@ class Lexicon:
         self.learned, self.weights = learned[order], weights[order]
         self.insults, self.you = codes_of(INSULTS), codes_of(SECOND_PERSON)
         self.bad = np.unique(np.concatenate((self.insults, self.learned)))
+        #: as they look once signs are letters again; a star may be any letter of an insult
+        self.hidden = np.unique(np.concatenate((self.bad, codes_of(starred(INSULTS)))))
 
     def features(self, buf: np.ndarray, where: np.ndarray) -> np.ndarray:
         """One row of FEATURES per text."""
@@ -126,7 +135,7 @@ class Lexicon:
         mixed = np.flatnonzero(inner)
         masked = np.zeros(len(ls), bool)
         if len(mixed):
-            masked[mixed] = among(K.word_codes(UNMASK[buf], ls[mixed], le[mixed]), self.bad)
+            masked[mixed] = among(K.word_codes(UNMASK[buf], ls[mixed], le[mixed]), self.hidden)
         columns = (
             np.log1p(n), per_row(first, hit), per_row(first, hit) / size, np.bincount(pairs, minlength=rows), per_row(first, among(code, self.insults)),
             near, per_row(first, weight), most, caps / np.maximum(letters, 1), per_row(first, shouted) / size,
@@ -187,8 +196,6 @@ class Scorer:
         lexicon = texts.sparkSession.sparkContext.broadcast(self.lexicon)
         made = texts.mapInArrow(feature_rows(lexicon), f"doc_id long, {SCHEMA}")
         made = self.trees.transform(assembler().transform(made)).select("doc_id", raw_probability().alias("raw"))
-        if self.isotonic is None:
-            return made.withColumnRenamed("raw", "score")
         made = self.isotonic.transform(made)
         return made.select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))).alias("score"))
 
@@ -221,16 +228,18 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Score
     lexicon = learned_lexicon(sample)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     rows = sample.mapInArrow(feature_rows(shared, ("doc_id", "toxic")), f"doc_id long, toxic int, {SCHEMA}")
-    rows = written(assembler().transform(rows).select("doc_id", "features", F.col("toxic").cast("double").alias("label")).repartition(FIT_TASKS), "labelled-features")
+    # most_rows rows of a few numbers each
+    rows = rows.coalesce(1).sortWithinPartitions("doc_id", "toxic", *FEATURES)
+    rows = written(assembler().transform(rows).select("doc_id", "features", F.col("toxic").cast("double").alias("label")), "labelled-features")
     fifth = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(5)) == 0
     grow, hold = rows.filter(~fifth), rows.filter(fifth)
     if grow.select("label").distinct().count() < 2:
         grow = rows
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED).fit(grow)
-    held = trees.transform(hold).select("label", raw_probability().alias("raw"))
-    few = hold.agg(F.count("*"), F.sum("label")).first()
-    isotonic = IsotonicRegression(featuresCol="raw", labelCol="label").fit(held) if few[0] and min(few[1], few[0] - few[1]) >= 10 else None
-    return Scorer(lexicon, trees, isotonic, float(bad) / n)
+    m, bad_held = hold.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    held = hold if min(bad_held, m - bad_held) >= LEAST_HELD else rows
+    raw = trees.transform(held).select("label", raw_probability().alias("raw"))
+    return Scorer(lexicon, trees, IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw), float(bad) / n)
 
 
 def held_out(modulus: int, remainder: int) -> Column:
