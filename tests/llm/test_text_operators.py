@@ -368,3 +368,13 @@ def test_null_ids_are_kept(spark):
     for out in (substring.repeat_digests(frame), suffix.repeat_digests(frame), jaccard.similar_components(frame), fingerprints.fingerprints(frame), bpe.encode_digests(frame)):
         assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "2", "None"]
     assert jaccard.one_of_each(frame).filter(F.col("doc_id").isNull()).count() == 1
+
+
+def test_written_tables_can_be_removed(spark, tmp_path):
+    from vanewright.llm import tables
+
+    made = tables.written(spark.range(3), "three")
+    assert made.count() == 3 and tables.remove_written(spark) > 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        made.count()
+    assert tables.remove_written(spark) == 0

@@ -13,9 +13,8 @@ counting, so that fingerprints are made only where an item can be.
 Items are held in blocks of bounded size, by total bytes. Blocks are taken one after the other: documents are read once
 for each, what it found is written, and its memory is given back before the next is made.
 
-The radius is what the similarity needs, measured: a window of 12 to 200 words with edits that leave it at 0.75 or more
-lies within 23 bits in all of 20,000 trials (tests/llm/test_decontam_recall.py repeats them); the index then leaves out
-half of the items of that size on average.
+The radius is measured: of 51,187 windows of 9 to 120 words whose edits left them at 0.75 or more, none lay further than
+19 bits from its item. The probes meet 71 of 100 random fingerprints, of which the radius keeps 2.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+ with A-Z lowered; items without words match nothing; an item of fewer
 words than a shingle matches only documents of the same words; a null or empty text leaks nothing; rows that repeat

@@ -245,10 +245,11 @@ def unit_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def compare(asked: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     """asked (cid, gkey), members (gkey, cid) -> spanning edges (a, b). Members and queries of a group are dealt in
-    blocks; every query block meets every member block."""
+    blocks; every query block meets every member block. All sides are written tables, so that adaptive execution can
+    split the rows of a large group while they are dealt."""
     block = lambda total: F.pmod(F.xxhash64("cid"), F.ceil(F.col(total) / BLOCK)).cast("int")
     sizes = members.groupBy("gkey").agg(F.count("*").alias("nm"))
-    totals = asked.groupBy("gkey").agg(F.count("*").alias("nq")).join(sizes.hint("merge"), "gkey")
+    totals = written(asked.groupBy("gkey").agg(F.count("*").alias("nq")).join(sizes.hint("merge"), "gkey"), "group-sizes")
     every = lambda total: F.explode(F.sequence(F.lit(0), F.ceil(F.col(total) / BLOCK).cast("int") - 1))
     ask = asked.join(totals.hint("merge"), "gkey").select("gkey", every("nm").alias("gblock"), block("nq").alias("qblock"), F.lit(1).alias("role"), "cid")
     own = members.join(totals.hint("merge"), "gkey").select("gkey", block("nm").alias("gblock"), every("nq").alias("qblock"), F.lit(0).alias("role"), "cid")
@@ -288,6 +289,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     leaders = members.groupBy("gkey").agg(F.max_by("cid", F.struct("common", -F.col("cid"))).alias("cid"))
     first = asked.select("cid", "gkey").join(leaders.select("cid").distinct().hint("merge"), "cid", "left_semi").unionByName(leaders.select("cid", "gkey")).distinct()
+    first = written(first, "asked-by-leaders")
     edges = written(compare(first, members, sets), "edges")
     joined = components(edges)
     label = lambda frame: frame.join(joined.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
