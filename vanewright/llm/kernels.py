@@ -10,6 +10,7 @@ takes SHA-256 or the bytes themselves besides.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63,
 #: Seeds of independent fingerprints, and the multiplier of a pair's second code.
 LANES = (U64(0x243F6A8885A308D3), U64(0x13198A2E03707344))
 PAIR = U64(0xA4093822299F31D1)
+#: Places in a span whose values are kept in a table.
+PLACES = 64
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -116,19 +119,29 @@ def rolling_codes(codes: np.ndarray, k: int) -> np.ndarray:
     return mix((prefix[k:] - prefix[:n]) * powers("down", n) + U64(k))
 
 
+@lru_cache(None)
+def place_values(lane: int) -> np.ndarray:
+    """The value of a byte at each of the first PLACES places of a span, by place * 256 + byte."""
+    return mix(np.arange(PLACES << 8, dtype=U64) * BASE + LANES[lane])
+
+
 def span_codes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, lane: int = 0) -> np.ndarray:
-    """64-bit fingerprints of spans of bytes that don't overlap. Every pair of a byte and its place in the span has a
-    scrambled value of its own, and a span has their sum, so no structure of a text carries over to it. Lanes are
-    independent of each other: two make 128 bits."""
-    size = e - s
-    out = np.zeros(len(s), U64)
-    some = np.flatnonzero(size > 0)
-    if len(some):
-        own = size[some]
-        place = ragged(np.zeros(len(some), np.int64), own).astype(U64)
-        values = mix(((place << U64(8)) | buf[ragged(s[some], own)]) * BASE + LANES[lane])
-        out[some] = np.add.reduceat(values, np.concatenate(([0], np.cumsum(own)[:-1])))
-    return mix(out + size.astype(U64) * LANES[lane])
+    """64-bit fingerprints of spans of bytes, in order and without overlaps. Every pair of a byte and its place in the
+    span has a scrambled value of its own, and a span has their sum, so no structure of a text carries over to it. Lanes
+    are independent of each other: two make 128 bits."""
+    n, some = len(buf), e > s
+    kind = np.int32 if n < 1 << 31 else np.int64
+    begin = np.zeros(n, kind)
+    begin[s[some]] = s[some]
+    place = np.arange(n, dtype=kind) - np.maximum.accumulate(begin)
+    at = np.minimum(place, kind(PLACES - 1)) << kind(8) | buf
+    values = place_values(lane)[at]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        values[far] = mix((place[far].astype(U64) << U64(8) | buf[far]) * BASE + LANES[lane])
+    total = np.zeros(n + 1, U64)
+    np.cumsum(values, out=total[1:])
+    return mix(total[e] - total[s] + (e - s).astype(U64) * LANES[lane])
 
 
 def word_codes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, lane: int = 0) -> np.ndarray:
@@ -137,7 +150,7 @@ def word_codes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, lane: int = 0) ->
 
 def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A code of each pair of codes, in this order; scrambled again, so that codes of codes keep no structure."""
-    return mix(mix(a + BASE) + b * PAIR)
+    return mix(a * BASE + b * PAIR)
 
 
 def gram_codes(codes: np.ndarray, k: int) -> np.ndarray:
@@ -153,11 +166,6 @@ def gram_codes(codes: np.ndarray, k: int) -> np.ndarray:
     return mix(have ^ U64(k))
 
 
-def same_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows of two byte matrices are equal."""
-    return (a == b).all(1)
-
-
 def starts_within(first: np.ndarray, n: int, k: int) -> np.ndarray:
     """Which of the n - k + 1 starts keep k items within one row; first: each row's first item."""
     m = n - k + 1

@@ -41,7 +41,7 @@ class Windows:
     """The windows of a slice: each one's first word, row and anchor code, in runs of one anchor."""
 
     def __init__(self, buf: np.ndarray, where: np.ndarray, window: int, gram: int):
-        self.buf, self.window = buf, window
+        self.buf, self.spaced = buf, None
         self.s, self.e, self.first = K.words(buf, where)
         within = K.starts_within(self.first, len(self.s), window)
         self.start = np.flatnonzero(within)
@@ -59,15 +59,18 @@ class Windows:
 
     def digests(self, start: np.ndarray, words: np.ndarray) -> np.ndarray:
         """128 bits of the SHA-256 of so many words from each start, joined by single spaces: two columns of longs."""
-        size = self.e - self.s
-        to = np.concatenate(([0], np.cumsum(size + 1)))
-        spaced = np.full(int(to[-1]), 32, np.uint8)
-        spaced[K.ragged(to[:-1], size)] = self.buf[K.ragged(self.s, size)]
-        return digests(spaced, to[start], to[start + words] - 1)
-
-
-def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    data, sha = buf.tobytes(), hashlib.sha256
+        if self.spaced is None:
+            # what is in words, and one space for what stands after each
+            keep = ~K.SEPARATORS[self.buf]
+            inner = self.e[self.e < len(self.buf)]
+            keep[inner[K.SEPARATORS[self.buf[inner]]]] = True
+            self.spaced = np.where(K.SEPARATORS[self.buf], np.uint8(32), self.buf)[keep].tobytes()
+            self.to = np.concatenate(([0], np.cumsum(keep)))
+        return digests(self.spaced, self.to[self.s[start]], self.to[self.e[start + words - 1]])
+
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    sha = hashlib.sha256
     raw = b"".join([sha(data[a:b]).digest()[:16] for a, b in zip(start.tolist(), end.tolist())])
     return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
@@ -106,15 +109,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, de
             yield pa.RecordBatch.from_arrays([pa.array(K.signed(own.anchor[use])), pa.array(sha[:, 0]), pa.array(sha[:, 1]), pa.array(ids), pa.array(begin.astype(np.int32)), pa.array(own.count[use].astype(np.int32))], ["anchor", "a", "b", "doc_id", "start", "n"])
 
     rows = written(texts.mapInArrow(run_rows, "anchor long, a long, b long, doc_id long, start int, n int"), "window-runs")
-    groups = written(rows.groupBy("anchor", "a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "distinct-runs")
-    several = written(groups.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor"), "anchors-of-several")
+    groups = written(rows.groupBy("a", "b").agg(F.first("anchor").alias("anchor"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "distinct-runs")
+    several = share(copies.filter_of(groups.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"), "anchor"))
     # a run's digest is random, so its id may be mixed in by XOR
-    firsts = groups.join(several.hint("merge"), "anchor").select(F.col("a").bitwiseXOR(F.col("least")).alias("key"))
-    wanted = share(copies.filter_of(firsts, "key"))
+    firsts = share(copies.filter_of(groups.select(F.col("a").bitwiseXOR(F.col("least")).alias("key")), "key"))
 
     def window_rows(batches):
         for own, use, ids, sha in runs(batches):
-            some = sketches.contains(wanted.value, (sha[:, 0] ^ ids).view(np.uint64))
+            some = sketches.contains(several.value, own.anchor[use]) & sketches.contains(firsts.value, (sha[:, 0] ^ ids).view(np.uint64))
             if some.any():
                 use, ids = use[some], ids[some]
                 n = own.count[use]

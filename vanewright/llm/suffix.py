@@ -226,7 +226,7 @@ def candidate_runs(length: int, gram: int, reps, some):
                 use[use] = sketches.contains(some.value, code[use])
                 if use.any():
                     start, count, code, row = start[use], count[use], code[use], row[use]
-                    yield buf, start, ids[i:j][row], (start - where[row]).astype(np.int32), count.astype(np.int32), code, digests(buf, start, start + count + length - 1)
+                    yield buf, start, ids[i:j][row], (start - where[row]).astype(np.int32), count.astype(np.int32), code, digests(buf.tobytes(), start, start + count + length - 1)
 
     return run
 
@@ -301,7 +301,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ofte
                 if fine:
                     s, d, p, k = K.ragged(s, c), np.repeat(d, c), K.ragged(p.astype(np.int64), c).astype(np.int32), np.repeat(k, c)
                     c = np.ones(len(s), np.int32)
-                    h = digests(buf, s, s + length)
+                    h = digests(buf.tobytes(), s, s + length)
                 size = c + length - 1
                 data, offsets = buf[K.ragged(s, size)], np.concatenate(([0], np.cumsum(size))).astype(np.int32)
                 piece = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
