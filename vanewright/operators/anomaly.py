@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import with_running
 from ..functions.expressions import TINY, floor_of, holds, ratio
 
 REFERENCE_ROWS, TREES, TREE_ROWS, NEIGHBOURS = 20_000, 250, 256, 35
@@ -163,14 +164,13 @@ def calibrate(scores: DataFrame, column: str = "novelty", least_rows: int = LEAS
 
 
 def percentile_scores(frame: DataFrame, reference: DataFrame, column: str = "novelty") -> DataFrame:
-    """Adds percentile: the share of reference scores at or below. Reference and queries are counted by value; one
-    window over the distinct values sums the counts."""
+    """Adds percentile: the share of reference scores at or below. Reference and queries are counted by value; sums
+    run over the distinct values."""
     ref = reference.groupBy(column).agg(F.count("*").alias("_r"))
     asked = frame.select(column).distinct().withColumn("_r", F.lit(0).cast("long"))
     values = ref.unionByName(asked).groupBy(column).agg(F.sum("_r").alias("_r"))
-    w = Window.orderBy(column)
-    whole = Window.partitionBy()
-    ecdf = values.select(column, (F.sum("_r").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_r").over(whole)).alias("percentile"))
+    total = ref.agg(F.sum("_r").alias("_all"))  # one row
+    ecdf = with_running(values, column, {"_below": F.col("_r")}).join(F.broadcast(total)).select(column, (F.col("_below") / F.col("_all")).alias("percentile"))
     return frame.join(ecdf, column)
 
 

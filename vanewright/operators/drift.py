@@ -15,7 +15,7 @@ from . import windows as W
 #: Fixed values.
 SENSORS = ("vibration", "gearbox_temperature", "bearing_temperature", "oil_pressure", "generator_temperature")
 SLACK, DECISION, LAMBDA, SIGMAS, WINDOW = 0.5, 5.0, 0.1, 3.0, 168
-LEAST_PAST = 72
+LEAST_PAST, NOVELTY_TREES = 72, 200
 WARNING_RATIO, ALARM_RATIO, ALARM_SIGNALS, NOVELTY = 1.0, 1.6, 3.0, 0.62
 WARNING_POINTS, ALARM_POINTS, NOVELTY_POINTS, MOST_POINTS = 2.5, 5.0, 5.0, 15.0
 RANK = {"none": 0, "warning": 1, "alarm": 2}
@@ -170,8 +170,12 @@ def drift_penalty(report: DataFrame, novel: DataFrame | None = None) -> DataFram
     return by.select("turbine_id", F.least(F.col("p"), F.lit(MOST_POINTS)).alias("penalty"))
 
 
-def row_penalties(statistics: DataFrame, calibration: DataFrame | None = None) -> DataFrame:
-    """(turbine_id, timestamp, ordinal, penalty) for every row; on a machine's last row the same as drift_penalty."""
+def row_penalties(statistics: DataFrame, calibration: DataFrame | None = None, novel: DataFrame | None = None) -> DataFrame:
+    """(turbine_id, timestamp, ordinal, penalty) for every row; on a machine's last row the same as drift_penalty.
+    novel: (turbine_id, timestamp, novelty) of the rows that have one."""
     rows = graded(statistics, calibration)
     worst = F.greatest(rank("cusum_severity"), rank("ewma_severity"))
-    return rows.groupBy("turbine_id", "timestamp", "ordinal").agg(F.least(F.sum(points(worst)), F.lit(MOST_POINTS)).alias("penalty"))
+    by = rows.groupBy("turbine_id", "timestamp", "ordinal").agg(F.sum(points(worst)).alias("p"))
+    if novel is not None:
+        by = by.join(novel.select("turbine_id", "timestamp", "novelty").hint("merge"), ["turbine_id", "timestamp"], "left").withColumn("p", F.col("p") + F.when(holds(F.col("novelty") >= NOVELTY), NOVELTY_POINTS).otherwise(0.0))
+    return by.select("turbine_id", "timestamp", "ordinal", F.least(F.col("p"), F.lit(MOST_POINTS)).alias("penalty"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import with_running
 from ..functions.expressions import clip, holds
-from ..sources.telemetry import micros
 from . import rules as R
 
 #: Classes, worst last, and their lowest scores.
@@ -117,19 +117,10 @@ def fleet_summary(latest: DataFrame) -> DataFrame:
     return one
 
 
-def average_rank(column: str, *partition: str) -> Column:
-    """Mean rank of ties."""
-    w = Window.partitionBy(*partition) if partition else Window
-    by = w.orderBy(column)
-    n = F.count("*").over(Window.partitionBy(*partition, column))
-    return F.rank().over(by) + (n - 1) / 2.0
-
-
 def ranked(frame: DataFrame, column: str, name: str) -> DataFrame:
-    """Average ranks over the whole frame by way of distinct values, so the one ordered window sees those alone."""
+    """Average ranks over the whole frame by way of distinct values."""
     counts = frame.groupBy(column).agg(F.count("*").alias("_c"))
-    below = F.sum("_c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
-    values = counts.select(column, (F.coalesce(below, F.lit(0)) + (F.col("_c") + 1) / 2.0).alias(name))
+    values = with_running(counts, column, {"_below": F.col("_c")}, before=True).select(column, (F.col("_below") + (F.col("_c") + 1) / 2.0).alias(name))
     return frame.join(values, column)
 
 
@@ -164,7 +155,3 @@ def confusion(frame: DataFrame, truth: str = "truth", predicted: str = "predicte
     """(true_class, one column of counts for each class)."""
     rows = frame.select(health_class(truth).alias("true_class"), health_class(predicted).alias("p"))
     return rows.groupBy("true_class").pivot("p", list(CLASSES)).count().na.fill(0)
-
-
-def time_micros(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("t", micros("timestamp"))

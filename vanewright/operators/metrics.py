@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import with_running
 from ..functions.expressions import holds
 
 #: Costs of outcomes, the grid of thresholds, limits of selection.
@@ -61,12 +62,10 @@ def score_counts(frame: DataFrame, y: str = "y", p: str = "p", by: tuple[str, ..
 
 
 def curve(frame: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """(p, tp, fp, precision, recall, fpr) at every distinct score taken as threshold. At scale, round the scores
-    first: the window runs over distinct ones."""
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    """(p, tp, fp, precision, recall, fpr) at every distinct score taken as threshold."""
     counts = score_counts(frame, y, p)
     total = counts.agg(F.sum("positives").alias("pos"), F.sum("n").alias("all"))  # one row
-    rows = counts.withColumns({"tp": F.sum("positives").over(down), "seen": F.sum("n").over(down)}).join(F.broadcast(total))
+    rows = with_running(counts, "p", {"tp": F.col("positives"), "seen": F.col("n")}, descending=True).join(F.broadcast(total))
     return rows.select("p", "positives", "tp", (F.col("seen") - F.col("tp")).alias("fp"), share(F.col("tp"), F.col("seen")).alias("precision"), share(F.col("tp"), F.col("pos")).alias("recall"), share(F.col("seen") - F.col("tp"), F.col("all") - F.col("pos")).alias("fpr"))
 
 
@@ -85,8 +84,7 @@ def pr_auc(frame: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 def roc_auc(frame: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """One row: the share of pairs in order, ties by half, from rank sums over distinct scores."""
-    up = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    rows = score_counts(frame, y, p).withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("positives")).over(up), F.lit(0)))
+    rows = with_running(score_counts(frame, y, p), "p", {"below": F.col("n") - F.col("positives")}, before=True)
     negatives = F.col("n") - F.col("positives")
     pairs = F.sum(F.col("positives") * (F.col("below") + negatives / 2.0))
     return rows.agg(share(pairs, F.sum("positives") * F.sum(negatives)).alias("roc_auc"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clip, rounded
-from ..operators import drift, health
+from ..operators import cleaning, drift, health
+from ..operators import features as X
 from ..operators import regimes as G
 from ..operators import rules as R
-from ..operators import windows as W
 from ..sources import telemetry as T
 from . import sql as S
-from .cleaning_queries import ID, keyed
+from .cleaning_queries import ID, keyed, machines
 from .feature_queries import POWER, WITH_REGIME, shown, with_regime
 from .registry import query
 
@@ -98,7 +98,7 @@ def i6(spark, d):
     return R.rule_features(flags(spark, d)).select(*ID, "sensor", *(rounded(c).alias(c) for c in ("exceedance", "mean_exceedance", "max_exceedance")))
 
 
-LEAST, SPAN = 24, 48
+LEAST, SPAN = drift.LEAST_PAST, drift.WINDOW
 _masked = {c: f"CASE WHEN regime IN ('low_load', 'medium_load', 'high_load') THEN {c} END" for c in drift.SENSORS}
 _zs = ", ".join(f"({c} - ({S.expanding('_k_' + c, 'mean', LEAST)})) / nullif({S.at_least('(' + S.expanding('_k_' + c, 'std', LEAST) + ')', 1e-06)}, 0) AS {c}" for c in drift.SENSORS)
 _d = ", ".join(drift.SENSORS)
@@ -131,6 +131,21 @@ def j2(spark, d):
     return statistics(spark, d).select(*ID, "sensor", *(rounded(c, 3).alias(c) for c in ("cusum_up", "cusum_down", "ewma")), "signals")
 
 
+_wide = ", ".join(f"{S.r(f'max({v}) FILTER (sensor = {chr(39)}{s}{chr(39)})', 3)} AS {s}_{n}" for s in drift.SENSORS for n, v in (("z", "z"), ("cusum_up", "up"), ("cusum_down", "down"), ("signals", "signals::DOUBLE"), ("ewma", "ewma")))
+
+
+@query("i7_drift_block", f"WITH {STATS} SELECT turbine_id, ordinal, {_wide} FROM st GROUP BY turbine_id, timestamp, ordinal")
+def i7(spark, d):
+    wide = X.by_sensor(statistics(spark, d), drift.SENSORS, ("z", "cusum_up", "cusum_down", "signals", "ewma"))
+    return shown(wide, [c for c in wide.columns if c not in ("turbine_id", "timestamp", "ordinal")], 3)
+
+
+@query("i9_health_matrix")
+def i9(spark, d):
+    """All 239 columns of the health models; tests hold its blocks against the queries of each."""
+    return X.health_features(with_regime(spark, d))[0]
+
+
 _sums = "OVER (PARTITION BY turbine_id, sensor ORDER BY timestamp ROWS UNBOUNDED PRECEDING)"
 
 
@@ -327,4 +342,14 @@ def q22(spark, d):
     return cal.select("sensor", "signals_alarm").join(raised, "sensor", "full_outer")
 
 
-_ = W
+@query("h10_quality_document", f"""WITH {FLAGS}, q AS (SELECT turbine_id, timestamp, bool_or(out_of_range OR stuck OR rate) AS bad FROM fl GROUP BY 1, 2), c AS (SELECT sensor, count(*) FILTER (out_of_range) AS out_of_range, count(*) FILTER (warning) AS warning, count(*) FILTER (alarm_flag) AS alarm, count(*) FILTER (stuck) AS stuck, count(*) FILTER (rate) AS rate FROM fl GROUP BY 1),
+u AS (UNPIVOT c ON out_of_range, warning, alarm, stuck, rate INTO NAME "check" VALUE n) SELECT 'rules' AS section, sensor || '.' || "check" AS item, n::DOUBLE AS value FROM u
+UNION ALL SELECT 'quality', 'sensor_validity', {S.r('1 - avg(bad::INT)', 6)} FROM q UNION ALL SELECT 'cleaning', 'rows_kept', count(*)::DOUBLE FROM m UNION ALL SELECT 'cleaning', 'rows_read', (SELECT count(*) FROM raw)::DOUBLE""")
+def h10(spark, d):
+    """The data-quality document as rows: cleaning counts, flags by rule, and the share of valid rows."""
+    f = flags(spark, d)
+    row = lambda frame, section, item, value: frame.select(F.lit(section).alias("section"), item.alias("item"), value.cast("double").alias("value"))
+    out = row(R.flag_counts(f), "rules", F.concat_ws(".", "sensor", "check"), F.col("n"))
+    out = out.unionByName(row(R.data_quality(f), "quality", F.lit("sensor_validity"), rounded("data_quality", 6)))
+    counts = cleaning.key_counts(machines(spark, d))
+    return out.unionByName(row(counts, "cleaning", F.lit("rows_kept"), F.col("output"))).unionByName(row(counts, "cleaning", F.lit("rows_read"), F.col("input")))

@@ -184,6 +184,24 @@ def f7(spark, d):
     return T.read(spark, d, "events").withColumnRenamed("ts", "timestamp").select("event_id", *(parts[c].alias(c) for c in ("hour", "day_of_week", "month")))
 
 
+def joined_sql(*names: str) -> str:
+    """The registered queries of these names side by side."""
+    from .registry import ORACLES
+
+    return "SELECT * FROM " + " JOIN ".join(f"({ORACLES[n]}) b{i}" + (" USING (turbine_id, ordinal)" if i else "") for i, n in enumerate(names))
+
+
+_hours = "CAST(hour(timestamp) AS INTEGER)"
+_f8 = joined_sql("f1_raw", "f2_lags", "f3_rollings", "f4_trends", "f5_interactions", "f6_relative")
+
+
+@query("f8_failure_matrix", f"SELECT * FROM ({_f8}) a JOIN (WITH {S.MACHINES} SELECT turbine_id, ordinal, {_hours} AS hour, {S.r(f'sin({_hours} * (2 * pi() / 24))')} AS hour_sin, {S.r(f'cos({_hours} * (2 * pi() / 24))')} AS hour_cos FROM m) b USING (turbine_id, ordinal)")
+def f8(spark, d):
+    """All 395 columns of the failure models."""
+    frame, spec = X.failure_features(keyed(spark, d))
+    return shown(frame, [n for names in spec.values() for n in names])
+
+
 _hroll = {f"{c}_{s}_{h}h": S.rolling(c, h, s) for c in X.CONDITION for h in X.HEALTH_WINDOWS for s in ("mean", "std", "max")}
 
 
@@ -231,6 +249,29 @@ WHEN coalesce(e > 1 AND power_output / greatest(e, 1.0) < 0.55, false) THEN 'cur
 WITH_REGIME = f"{S.MACHINES}, g0 AS (SELECT *, {POWER} AS e FROM m), g AS (SELECT *, {REGIME} AS regime FROM g0)"
 
 
+_states = ", ".join(f"(regime = '{r}')::INT AS regime_{r}" for r in G.REGIMES)
+
+
+@query("i1_condition", f"WITH {WITH_REGIME} SELECT turbine_id, ordinal, {listed({c: c for c in X.DYNAMIC})}, {_states} FROM g")
+def i1(spark, d):
+    made = {f"regime_{r}": c for r, c in zip(G.REGIMES, one_hot("regime", G.REGIMES))}
+    return shown(with_regime(spark, d).withColumns(made), [*X.DYNAMIC, *made])
+
+
+_three = X.WARM[:3]
+_physical = {f"{c}_above_ambient": f"{c} - ambient_temperature" for c in X.WARM} | {n: INTERACTIONS[n] for n in ("power_residual", "power_ratio", "load", "vibration_per_load", "oil_pressure_per_load", "oil_pressure_per_temperature")}
+_physical |= {
+    "thermal_stress": f"({' + '.join(f'coalesce({c}, 0.0)' for c in _three)}) / nullif({' + '.join(f'({c} IS NOT NULL)::INT' for c in _three)}, 0) - ambient_temperature",
+    "thermal_spread": f"greatest({', '.join(_three)}) - least({', '.join(_three)})",
+}
+
+
+@query("i8_physical", f"WITH {S.MACHINES}, x AS (SELECT *, {POWER} AS e FROM m) SELECT turbine_id, ordinal, {listed(_physical)} FROM x")
+def i8(spark, d):
+    made = X.physical()
+    return shown(keyed(spark, d).withColumns(made), made)
+
+
 def with_regime(spark, d):
     return G.with_regime(keyed(spark, d))
 
