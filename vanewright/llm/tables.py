@@ -1,15 +1,14 @@
-"""Reading the input tables, and written tables that cut lineage in the cluster's shared folder."""
+"""Reading the input tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import remove_written, shared_folder, written  # noqa: F401  what operators cut lineage with
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table, whatever else it holds."""
@@ -23,42 +22,6 @@ def workers_find_package(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
-@lru_cache(1)
-def own_folder() -> str:
-    return tempfile.mkdtemp(prefix="vanewright-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset in local mode (tests, a laptop), a new temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return folder or own_folder()
-
-
-_written: list[str] = []
-
-
-def written(frame: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lost executors then cost no recomputation,
-    and the size that joins see is that of real files."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
-def remove_written(spark: SparkSession) -> int:
-    """Delete the tables that written() has made in this process, and say how many. To be called once results that
-    read them are saved."""
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_written)
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-    return n
-
-
 def text_of(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, text) alone, so that extra columns never clash; a null text counts as empty."""
     return frame.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
