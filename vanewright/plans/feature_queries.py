@@ -184,18 +184,15 @@ def f7(spark, d):
     return T.read(spark, d, "events").withColumnRenamed("ts", "timestamp").select("event_id", *(parts[c].alias(c) for c in ("hour", "day_of_week", "month")))
 
 
-def joined_sql(*names: str) -> str:
-    """The registered queries of these names side by side."""
-    from .registry import ORACLES
-
-    return "SELECT * FROM " + " JOIN ".join(f"({ORACLES[n]}) b{i}" + (" USING (turbine_id, ordinal)" if i else "") for i, n in enumerate(names))
-
-
 _hours = "CAST(hour(timestamp) AS INTEGER)"
-_f8 = joined_sql("f1_raw", "f2_lags", "f3_rollings", "f4_trends", "f5_interactions", "f6_relative")
+_whole = listed({c: c for c in T.SENSORS} | {f"{c}_lag_{h}h": f"lag({c}, {h}) {S.LAG}" for c in X.DYNAMIC for h in X.LAGS} | _roll | _trend | INTERACTIONS | _rel | {f"hour_{f}": f"{f}({_hours} * (2 * pi() / 24))" for f in ("sin", "cos")})
 
 
-@query("f8_failure_matrix", f"SELECT * FROM ({_f8}) a JOIN (WITH {S.MACHINES} SELECT turbine_id, ordinal, {_hours} AS hour, {S.r(f'sin({_hours} * (2 * pi() / 24))')} AS hour_sin, {S.r(f'cos({_hours} * (2 * pi() / 24))')} AS hour_cos FROM m) b USING (turbine_id, ordinal)")
+@query(
+    "f8_failure_matrix",
+    f"WITH {S.MACHINES}, x AS (SELECT *, CAST(row_number() OVER ({S.BY}) AS DOUBLE) AS _row, {POWER} AS e, {_norm} FROM m), {robust_sql(X.DYNAMIC, 48, suffix='_robust_z')}, "
+    f"a AS (SELECT turbine_id, timestamp, ordinal, {_whole}, {', '.join(f'{e} AS {n}' for n, e in _hot.items())}, {_hours} AS hour FROM x) SELECT a.* EXCLUDE (timestamp), z3.* EXCLUDE (turbine_id, ordinal, timestamp) FROM a JOIN z3 ON a.turbine_id = z3.turbine_id AND a.timestamp = z3.timestamp",
+)
 def f8(spark, d):
     """All 395 columns of the failure models."""
     frame, spec = X.failure_features(keyed(spark, d))
