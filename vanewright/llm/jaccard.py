@@ -120,16 +120,17 @@ def frequent_tokens(postings: DataFrame) -> np.ndarray:
 
 
 def posting_rows(chosen, planes, frequent=None):
-    """(token, sig, gkey, n, common) for the tokens of each set's prefix that others may have; common: how many in a
+    """(token, cid, gkey, n, common) for the tokens of each set's prefix that others may have; common: how many in a
     thousand of the set's tokens others have, of those that were counted."""
 
     def run(batches):
         for batch in batches:
             batch = standing_for_classes(batch, chosen)
-            for _, _, buf, where in K.text_slices(batch.column("text")):
+            ids = batch.column("doc_id").to_numpy()
+            for i, j, buf, where in K.text_slices(batch.column("text")):
                 tokens, first = shingle_sets(buf, where)
                 n = np.diff(first)
-                sig, _ = set_codes(tokens, first)
+                cid = ids[i:j]
                 row = np.repeat(np.arange(len(n)), n)
                 counted = tokens & K.U64(1) == 0
                 single = counted.copy()
@@ -152,7 +153,7 @@ def posting_rows(chosen, planes, frequent=None):
                 use = others[rank < left[own]]
                 if len(use):
                     r = row[use]
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(tokens[use])), pa.array(K.signed(sig[r])), pa.array(K.signed(group[r])), pa.array(n[r]), pa.array(common[r])], ["token", "sig", "gkey", "n", "common"])
+                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(tokens[use])), pa.array(cid[r]), pa.array(K.signed(group[r])), pa.array(n[r]), pa.array(common[r])], ["token", "cid", "gkey", "n", "common"])
 
     return run
 
@@ -269,19 +270,18 @@ def similar_components(docs: DataFrame) -> DataFrame:
     chosen = share(copies.filter_of(classes, "cid"))
     sketch = sketches.merged(sketches.sketch_tasks(known, sketch_keys(chosen), SKETCH_DEPTH, SKETCH_BITS))
     planes = share(sketches.collected(sketch, "twice", SKETCH_DEPTH, SKETCH_BITS))
-    schema = "token long, sig long, gkey long, n long, common long"
+    schema = "token long, cid long, gkey long, n long, common long"
     frequent = share(frequent_tokens(known.mapInArrow(posting_rows(chosen, planes), schema).select("token")))
     postings = written(known.mapInArrow(posting_rows(chosen, planes, frequent), schema).distinct(), "postings")
 
     # the token-group matrix, and (query, group) pairs whose bound qualifies
-    matrix = postings.groupBy("token", F.col("gkey").alias("group")).agg(F.min("sig").alias("s1"), F.max("sig").alias("s2"))
-    shared = postings.join(matrix.hint("merge"), "token").filter("gkey <> group or s1 <> s2")
-    bounds = shared.groupBy("sig", F.col("group").alias("gkey")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("gkey").alias("own"))
+    matrix = postings.groupBy("token", F.col("gkey").alias("group")).agg(F.min("cid").alias("c1"), F.max("cid").alias("c2"))
+    shared = postings.join(matrix.hint("merge"), "token").filter("gkey <> group or c1 <> c2")
+    bounds = shared.groupBy("cid", F.col("group").alias("gkey")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("gkey").alias("own"))
     need = 1 + F.floor(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) / EXTRA)
-    ids = classes.select("sig", "cid")
-    asked = written(bounds.filter(F.col("c") >= need).join(ids.hint("merge"), "sig").select("cid", "gkey", "own"), "asked")
-    members = postings.select("gkey", "sig", "common").distinct().join(asked.select("gkey").distinct().hint("merge"), "gkey", "left_semi")
-    members = written(members.join(ids.hint("merge"), "sig").select("gkey", "cid", "common"), "members")
+    asked = written(bounds.filter(F.col("c") >= need).select("cid", "gkey", "own"), "asked")
+    members = postings.select("gkey", "cid", "common").distinct().join(asked.select("gkey").distinct().hint("merge"), "gkey", "left_semi")
+    members = written(members, "members")
 
     wanted = asked.select("cid").union(members.select("cid")).distinct().join(classes.hint("merge"), "cid").withColumnRenamed("cid", "doc_id")
     texts_wanted = texts.join(wanted.select("doc_id", "sig", "sig2").hint("shuffle_hash"), "doc_id").withColumnRenamed("doc_id", "cid")
@@ -295,9 +295,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
     label = lambda frame: frame.join(joined.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     main = label(members).groupBy("gkey", "root").agg(F.count("*").alias("n")).groupBy("gkey").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     main = written(main, "main-components")
-    placed = label(asked).join(main.select(F.col("gkey").alias("own"), F.col("main").alias("own_main")).hint("merge"), "own", "left")
-    inside = (F.col("root") == F.col("main")) & (F.col("root") == F.coalesce("own_main", "root"))
-    rest = placed.join(main.hint("merge"), "gkey").filter(~inside).select("cid", "gkey")
+    # a query within its own group's main component has nothing to ask of groups with the same one; which groups
+    # those are is told by pairs of groups, so that the queries of large groups are not joined one by one
+    heart = lambda name, as_name: main.select(F.col("gkey").alias(name), F.col("main").alias(as_name)).hint("merge")
+    alone = label(asked.select("cid", "own").distinct()).join(heart("own", "own_main"), "own", "left").filter("own_main is null or root <> own_main").select("cid").distinct()
+    apart = asked.select("own", "gkey").distinct().join(heart("own", "own_main"), "own").join(heart("gkey", "main"), "gkey").filter("own_main <> main").select("own", "gkey")
+    rest = asked.join(written(alone, "queries-apart").hint("merge"), "cid", "left_semi").unionByName(asked.join(written(apart, "groups-apart").hint("merge"), ["own", "gkey"], "left_semi"))
+    rest = rest.select("cid", "gkey").distinct()
     rest = written(rest.join(first.hint("merge"), ["cid", "gkey"], "left_anti"), "asked")
     if not rest.isEmpty():
         joined = components(edges.unionByName(compare(rest, members, sets)))
