@@ -3,7 +3,8 @@
 A document's tokens are its distinct word shingles. Documents with equal sets are one class, and one of each stands for
 it from then on. Classes are partitioned into groups by the least of their tokens that other classes have as well, so
 that what an edit adds to a copy does not move it to a group of its own. The matrix holds, for every token, the groups whose members have it. For a query and a group, the number of the query's
-tokens in the matrix's column bounds its overlap with every member from above; only groups whose bound reaches what
+tokens in the matrix's column bounds its overlap with every member from above, and tokens whose holders in the group are
+all too small or too large for the query do not count; only groups whose bound reaches what
 the similarity needs are opened, and members of opened groups are compared exactly.
 
 The matrix needs prefixes alone: with tokens in one order for all, two sets that overlap in t tokens share l tokens
@@ -275,8 +276,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     postings = written(known.mapInArrow(posting_rows(chosen, planes, frequent), schema).distinct(), "postings")
 
     # the token-group matrix, and (query, group) pairs whose bound qualifies
-    matrix = postings.groupBy("token", F.col("gkey").alias("group")).agg(F.min("cid").alias("c1"), F.max("cid").alias("c2"))
-    shared = postings.join(matrix.hint("merge"), "token").filter("gkey <> group or c1 <> c2")
+    matrix = postings.groupBy("token", F.col("gkey").alias("group")).agg(F.min("cid").alias("c1"), F.max("cid").alias("c2"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # sets of which one has less than the similarity's share of the other's tokens can't be similar
+    sizes_fit = (DENOMINATOR * F.col("most") >= NUMERATOR * F.col("n")) & (NUMERATOR * F.col("least") <= DENOMINATOR * F.col("n"))
+    shared = postings.join(matrix.hint("merge"), "token").filter(sizes_fit & ((F.col("gkey") != F.col("group")) | (F.col("c1") != F.col("c2"))))
     bounds = shared.groupBy("cid", F.col("group").alias("gkey")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("gkey").alias("own"))
     need = 1 + F.floor(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) / EXTRA)
     asked = written(bounds.filter(F.col("c") >= need).select("cid", "gkey", "own"), "asked")
