@@ -45,7 +45,7 @@ from .tables import text_of, written
 
 SHINGLE = 5
 #: Similarity as a fraction; classes and queries of a block; a prefix shares 1 + n / EXTRA tokens.
-NUMERATOR, DENOMINATOR, BLOCK, EXTRA = 75, 100, 128, 16
+NUMERATOR, DENOMINATOR, BLOCK, EXTRA = 75, 100, 512, 16
 SKETCH_DEPTH, SKETCH_BITS = 3, 27
 #: Sets with a token in their prefix from which it counts as frequent, and the most that are listed.
 OFTEN, MOST_FREQUENT = 64, 200_000
