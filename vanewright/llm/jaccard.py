@@ -1,11 +1,12 @@
 """Exact n-gram Jaccard join with a token-group matrix.
 
 A document's tokens are its distinct word shingles. Documents with equal sets are one class, and one of each stands for
-it from then on. Classes are partitioned into groups by the least of their tokens that other classes have as well, so
-that what an edit adds to a copy does not move it to a group of its own. The matrix holds, for every token, the groups whose members have it. For a query and a group, the number of the query's
-tokens in the matrix's column bounds its overlap with every member from above, and tokens whose holders in the group are
-all too small or too large for the query do not count; only groups whose bound reaches what
-the similarity needs are opened, and members of opened groups are compared exactly.
+it from then on. Classes are partitioned into groups by the least of their tokens that other classes have as well (by
+the least frequent-listed one, where those are much of the set), so that what an edit adds to a copy does not move it
+to a group of its own. The matrix holds, for every token, the groups whose members have it. For a query and a group,
+the number of the query's tokens in the matrix's column bounds its overlap with every member from above, and tokens
+whose holders in the group are all too small or too large for the query do not count; only groups whose bound reaches
+what the similarity needs are opened, and members of opened groups are compared exactly.
 
 The matrix needs prefixes alone: with tokens in one order for all, two sets that overlap in t tokens share l tokens
 within their first |A| - t + l and |B| - t + l. Tokens that a count-min sketch shows to occur once come first in that
@@ -14,9 +15,11 @@ The most frequent tokens, a list of bounded length, come last, so a passage that
 only those that are little else. Any order gives the same links; what a list or sketch gets wrong costs time alone. The grouping, too, only decides what is compared.
 
 Comparisons run in two steps. First the leader of each group, the member with the largest share of tokens that others
-have (a text rather than an edited copy of it), is compared with all groups that it qualifies for, which links most
-copies of a text. Then those queries that lie outside the main component of the group
-asked, or of their own: of two similar sets in different components, one at least is such a query. Large groups and their queries are dealt in blocks, so no task holds a whole one, and what tasks
+have (a text rather than an edited copy of it), is held against the matrix and compared with all groups that it
+qualifies for, which links most copies of a text. Then follow those queries that lie outside the main component of
+their group, and the members of groups that meet a group of another main component, no smaller, in enough tokens: of
+two similar sets in different components, one at least is such a query. So what is looked up in the matrix grows with leaders and
+unsettled queries, not with the copies of a text times the groups that these fall into. Large groups and their queries are dealt in blocks, so no task holds a whole one, and what tasks
 return are spanning edges, not all pairs.
 
 Tokens are 64-bit fingerprints of words and of joined words without a structure that texts could be made to meet; sets
@@ -49,6 +52,9 @@ NUMERATOR, DENOMINATOR, BLOCK, EXTRA = 75, 100, 512, 16
 SKETCH_DEPTH, SKETCH_BITS = 3, 27
 #: Sets with a token in their prefix from which it counts as frequent, and the most that are listed.
 OFTEN, MOST_FREQUENT = 64, 200_000
+#: A set of which one counted token in so many is frequent joins a group by those alone. Prefixes, which the list is
+#: made from, have some three tenths of a set, so this is less than half of what a copy of a common text has.
+MOSTLY = 8
 
 
 def shingle_sets(buf: np.ndarray, where: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +147,13 @@ def posting_rows(chosen, planes, frequent=None):
                 with_again, least = np.unique(row[again], return_index=True)
                 group[with_again] = tokens[again[least]]
                 total = np.bincount(row[counted], minlength=len(n))
+                if frequent is not None and len(frequent.value) and len(again):
+                    spot = np.minimum(np.searchsorted(frequent.value, tokens[again]), len(frequent.value) - 1)
+                    often = again[frequent.value[spot] == tokens[again]]
+                    much = MOSTLY * np.bincount(row[often], minlength=len(n)) >= total
+                    often = often[much[row[often]]]
+                    with_often, least = np.unique(row[often], return_index=True)
+                    group[with_often] = tokens[often[least]]
                 common = 1000 * np.bincount(row[again], minlength=len(n)) // np.maximum(total, 1)
                 prefix = n - least_overlap(n) + 1 + n // EXTRA
                 left = prefix - np.bincount(row[single], minlength=len(n))
@@ -275,36 +288,60 @@ def similar_components(docs: DataFrame) -> DataFrame:
     frequent = share(frequent_tokens(known.mapInArrow(posting_rows(chosen, planes), schema).select("token")))
     postings = written(known.mapInArrow(posting_rows(chosen, planes, frequent), schema).distinct(), "postings")
 
-    # the token-group matrix, and (query, group) pairs whose bound qualifies
+    # the token-group matrix, of tokens that two classes hold and of classes with enough of those to have a partner
+    need = lambda n: 1 + F.floor(F.ceil(F.col(n) * NUMERATOR / DENOMINATOR) / EXTRA)
+    several = postings.groupBy("token").agg(F.min("cid").alias("c1"), F.max("cid").alias("c2")).filter("c1 <> c2").select("token")
+    held = postings.join(several.hint("merge"), "token", "left_semi")
+    partnered = held.groupBy("cid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= need("n")).select("cid")
+    postings = written(held.join(partnered.hint("merge"), "cid", "left_semi"), "postings-held")
     matrix = postings.groupBy("token", F.col("gkey").alias("group")).agg(F.min("cid").alias("c1"), F.max("cid").alias("c2"), F.min("n").alias("least"), F.max("n").alias("most"))
-    # sets of which one has less than the similarity's share of the other's tokens can't be similar
-    sizes_fit = (DENOMINATOR * F.col("most") >= NUMERATOR * F.col("n")) & (NUMERATOR * F.col("least") <= DENOMINATOR * F.col("n"))
-    shared = postings.join(matrix.hint("merge"), "token").filter(sizes_fit & ((F.col("gkey") != F.col("group")) | (F.col("c1") != F.col("c2"))))
-    bounds = shared.groupBy("cid", F.col("group").alias("gkey")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("gkey").alias("own"))
-    need = 1 + F.floor(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) / EXTRA)
-    asked = written(bounds.filter(F.col("c") >= need).select("cid", "gkey", "own"), "asked")
-    members = postings.select("gkey", "cid", "common").distinct().join(asked.select("gkey").distinct().hint("merge"), "gkey", "left_semi")
-    members = written(members, "members")
-
-    wanted = asked.select("cid").union(members.select("cid")).distinct().join(classes.hint("merge"), "cid").withColumnRenamed("cid", "doc_id")
+    matrix = written(matrix, "matrix")
+    members = written(postings.select("gkey", "cid", "n", "common").distinct(), "members")
+    leaders = members.groupBy("gkey").agg(F.max_by("cid", F.struct("common", -F.col("cid"))).alias("cid"), F.count("*").alias("size"), F.min("n").alias("shortest"))
+    leaders = written(leaders, "leaders")
+
+    wanted = members.select("cid").join(classes.hint("merge"), "cid").withColumnRenamed("cid", "doc_id")
     texts_wanted = texts.join(wanted.select("doc_id", "sig", "sig2").hint("shuffle_hash"), "doc_id").withColumnRenamed("doc_id", "cid")
     sets = written(texts_wanted.mapInArrow(set_rows, "cid long, tokens binary").dropDuplicates(["cid"]), "token-sets")
 
-    leaders = members.groupBy("gkey").agg(F.max_by("cid", F.struct("common", -F.col("cid"))).alias("cid"))
-    first = asked.select("cid", "gkey").join(leaders.select("cid").distinct().hint("merge"), "cid", "left_semi").unionByName(leaders.select("cid", "gkey")).distinct()
-    first = written(first, "asked-by-leaders")
+    # sets of which one has less than the similarity's share of the other's tokens can't be similar
+    fit = (DENOMINATOR * F.col("most") >= NUMERATOR * F.col("n")) & (NUMERATOR * F.col("least") <= DENOMINATOR * F.col("n"))
+
+    def qualified(shared: DataFrame) -> DataFrame:
+        """Rows (cid, n, group), one for each token that a query finds in a group -> (cid, gkey) whose bound qualifies."""
+        bounds = shared.groupBy("cid", F.col("group").alias("gkey")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+        return bounds.filter(F.col("c") >= need("n")).select("cid", "gkey")
+
+    def ask_all(queries: DataFrame) -> DataFrame:
+        """What the given queries (cid) ask of all groups, their own included."""
+        own = postings.join(queries.hint("merge"), "cid", "left_semi")
+        return qualified(own.join(matrix.hint("merge"), "token").filter(fit & ((F.col("gkey") != F.col("group")) | (F.col("c1") != F.col("c2")))))
+
+    first = written(ask_all(leaders.select("cid")).unionByName(leaders.select("cid", "gkey")).distinct(), "asked-by-leaders")
     edges = written(compare(first, members, sets), "edges")
     joined = components(edges)
-    label = lambda frame: frame.join(joined.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    main = label(members).groupBy("gkey", "root").agg(F.count("*").alias("n")).groupBy("gkey").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    rooted = members.join(joined.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select("gkey", "cid", F.coalesce("root", "cid").alias("root"))
+    rooted = written(rooted, "rooted-members")
+    main = rooted.groupBy("gkey", "root").agg(F.count("*").alias("n")).groupBy("gkey").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     main = written(main, "main-components")
-    # a query within its own group's main component has nothing to ask of groups with the same one; which groups
-    # those are is told by pairs of groups, so that the queries of large groups are not joined one by one
-    heart = lambda name, as_name: main.select(F.col("gkey").alias(name), F.col("main").alias(as_name)).hint("merge")
-    alone = label(asked.select("cid", "own").distinct()).join(heart("own", "own_main"), "own", "left").filter("own_main is null or root <> own_main").select("cid").distinct()
-    apart = asked.select("own", "gkey").distinct().join(heart("own", "own_main"), "own").join(heart("gkey", "main"), "gkey").filter("own_main <> main").select("own", "gkey")
-    rest = asked.join(written(alone, "queries-apart").hint("merge"), "cid", "left_semi").unionByName(asked.join(written(apart, "groups-apart").hint("merge"), ["own", "gkey"], "left_semi"))
-    rest = rest.select("cid", "gkey").distinct()
+    alone = rooted.join(main.hint("merge"), "gkey").filter("root <> main").select("cid").join(leaders.select("cid").hint("merge"), "cid", "left_anti")
+    alone = written(alone, "queries-apart")
+
+    # pairs of groups with different main components: told from the matrix alone, a group's shortest member and its
+    # tokens together bounding what any member shares, so that members are looked at only where groups qualify. The
+    # smaller group asks the larger; a group of one has asked all by its leader
+    several = leaders.filter("size > 1").select(F.col("gkey").alias("group"), "size", "shortest")
+    lines = matrix.join(main.withColumnRenamed("gkey", "group").join(several.hint("merge"), "group").hint("merge"), "group")
+    mixed = lines.groupBy("token").agg(F.min("main").alias("m1"), F.max("main").alias("m2")).filter("m1 <> m2").select("token")
+    lines = written(lines.join(mixed.hint("merge"), "token", "left_semi").select("token", "group", "least", "most", "main", "size", "shortest"), "matrix-apart")
+    asking = lines.select("token", *(F.col(c).alias(f"own_{c}") for c in ("group", "least", "most", "main", "size", "shortest")))
+    some_fit = (DENOMINATOR * F.col("most") >= NUMERATOR * F.col("own_least")) & (NUMERATOR * F.col("least") <= DENOMINATOR * F.col("own_most"))
+    smaller = F.struct("own_size", "own_group") < F.struct("size", "group")
+    meet = asking.join(lines.hint("merge"), "token").filter(some_fit & smaller & (F.col("own_main") != F.col("main")))
+    meet = written(meet.select("token", F.col("own_group").alias("own"), "own_shortest", "group", "least", "most"), "groups-meeting")
+    apart = meet.groupBy("own", "group", "own_shortest").agg(F.count("*").alias("c")).filter(F.col("c") >= need("own_shortest")).select("own", "group")
+    between = meet.join(apart.hint("merge"), ["own", "group"], "left_semi").join(postings.withColumnRenamed("gkey", "own").hint("merge"), ["token", "own"]).filter(fit)
+    rest = ask_all(alone).unionByName(qualified(between)).distinct()
     rest = written(rest.join(first.hint("merge"), ["cid", "gkey"], "left_anti"), "asked")
     if not rest.isEmpty():
         joined = components(edges.unionByName(compare(rest, members, sets)))
