@@ -22,7 +22,8 @@ SHAPED = ("vibration", "gearbox_temperature", "oil_pressure")
 RELATIVE = ("vibration", "gearbox_temperature", "bearing_temperature", "generator_temperature", "oil_temperature", "oil_pressure")
 TRUTH = ("failure_event", "maintenance_event", "degradation_level", "failure_mode", "episode_id", "hours_to_failure", "target", "health_score")
 
-Block = dict[str, Column]
+#: Names to columns, or to trailing statistics that are taken all at once (windows.with_columns).
+Block = dict[str, Column | W.Trailing]
 
 
 def raw(frame: DataFrame) -> Block:
@@ -41,20 +42,20 @@ def rollings(sensors=DYNAMIC, detailed=DETAILED, hours=WINDOWS, steps=int) -> Bl
         for h in hours:
             n = steps(h)
             for stat in ("mean", "std", "min", "max", "median", "range") if c in detailed else ("mean", "std"):
-                out[f"{c}_{stat}_{h}h"] = W.rolling(c, n, stat, max(int(n * 0.5), 1))
+                out[f"{c}_{stat}_{h}h"] = W.trailing_of(c, n, stat, max(int(n * 0.5), 1))
     return out
 
 
 def trends(sensors=DYNAMIC, diffs=DIFFS, changes=CHANGES, slopes=SLOPES, base: int = 24, steps=int) -> Block:
-    """Differences and rates, relative changes, slopes, and the deviation from a trailing mean. Needs `_row`."""
+    """Differences and rates, relative changes, slopes, and the deviation from a trailing mean."""
     out = {}
     for c in sensors:
         for h in diffs:
             out[f"{c}_diff_{h}h"] = W.diff(c, steps(h))
             out[f"{c}_rate_{h}h"] = W.diff(c, steps(h)) / float(h)
         out |= {f"{c}_change_{h}h": W.pct_change(c, steps(h)) for h in changes}
-        out |= {f"{c}_slope_{h}h": W.slope(c, steps(h)) for h in slopes}
-        out[f"{c}_off_mean_{base}h"] = F.col(c) - W.rolling(c, steps(base), "mean")
+        out |= {f"{c}_slope_{h}h": W.trailing_of(c, steps(h), "slope") for h in slopes}
+        out[f"{c}_off_mean_{base}h"] = W.trailing_of(c, steps(base), "off_mean")
     return out
 
 
@@ -129,20 +130,25 @@ def finalise(frame: DataFrame, names: list[str], key=(W.ENTITY, W.TIME, "ordinal
 BLOCKS = ("raw", "lag", "rolling", "trend", "interaction", "relative", "time")
 
 
+def with_both(frame: DataFrame, block: Block, relative=None) -> tuple[DataFrame, list[str]]:
+    """A block and, if asked for, one that with_medians() makes: its rows are in order, so trailing statistics follow
+    without another shuffle."""
+    if relative is None:
+        return W.with_columns(frame, block), []
+    plain = {n: x for n, x in block.items() if not isinstance(x, W.Trailing)}
+    rest = {n: x for n, x in block.items() if n not in plain}
+    out, names = relative(frame.withColumns(plain))
+    return W.with_trailing(out, rest, dealt=True) if rest else out, names
+
+
 def failure_features(frame: DataFrame, blocks=BLOCKS, steps=int) -> tuple[DataFrame, dict[str, list[str]]]:
     """The feature matrix of these blocks and its specification (block -> names in order)."""
     made = {"raw": raw(frame), "lag": lags(steps=steps), "rolling": rollings(steps=steps), "trend": trends(steps=steps), "interaction": interactions(), "time": time_parts()}
     spec: dict[str, list[str]] = {}
-    out = frame
-    if "relative" in blocks:  # first, as its rows pass through Arrow while they are narrow
-        out, relative = with_relative(out)
-    out = W.with_position(out) if "trend" in blocks else out
+    every = {n: x for b in blocks if b != "relative" for n, x in made[b].items()}
+    out, relative = with_both(frame, every, with_relative if "relative" in blocks else None)
     for b in blocks:
-        if b == "relative":
-            spec[b] = relative
-        else:
-            out = out.withColumns(made[b])
-            spec[b] = list(made[b])
+        spec[b] = relative if b == "relative" else list(made[b])
     return finalise(out, [n for names in spec.values() for n in names]), spec
 
 
@@ -152,13 +158,13 @@ def required_rows(hours=(LAGS, WINDOWS, SLOPES, DIFFS), steps=int) -> int:
 
 
 def health_rollings(sensors=CONDITION, hours=HEALTH_WINDOWS, steps=int) -> Block:
-    return {f"{c}_{s}_{h}h": W.rolling(c, steps(h), s) for c in sensors for h in hours for s in ("mean", "std", "max")}
+    return {f"{c}_{s}_{h}h": W.trailing_of(c, steps(h), s) for c in sensors for h in hours for s in ("mean", "std", "max")}
 
 
 def health_trends(sensors=CONDITION, slopes=HEALTH_SLOPES, diff: int = HEALTH_DIFF, base: int = HEALTH_BASE, steps=int) -> Block:
-    out = {f"{c}_slope_{h}h": W.slope(c, steps(h)) for c in sensors for h in slopes}
+    out = {f"{c}_slope_{h}h": W.trailing_of(c, steps(h), "slope") for c in sensors for h in slopes}
     out |= {f"{c}_diff_{diff}h": W.diff(c, steps(diff)) for c in sensors}
-    return out | {f"{c}_off_mean_{base}h": F.col(c) - W.rolling(c, steps(base), "mean") for c in sensors}
+    return out | {f"{c}_off_mean_{base}h": W.trailing_of(c, steps(base), "off_mean") for c in sensors}
 
 
 def with_shape(frame: DataFrame, sensors=SHAPED, hours: int = 24, steps=int) -> tuple[DataFrame, list[str]]:
@@ -239,10 +245,8 @@ def health_features(frame: DataFrame, sensors=DYNAMIC, steps=int) -> tuple[DataF
     key = [W.ENTITY, W.TIME, "ordinal"]
     wide = {"rule": rule_block(frame, steps=steps), "drift": by_sensor(drift.drift_statistics(frame, producing(frame)), drift.SENSORS, ("z", "cusum_up", "cusum_down", "signals", "ewma"))}
     made = {"condition": {c: F.col(c) for c in sensors} | {f"regime_{r}": c for r, c in zip(REGIMES, one_hot("regime", REGIMES))}, "rolling": health_rollings(sensors, steps=steps), "trend": health_trends(sensors, steps=steps), "physical": physical()}
-    out, relative = with_regime_relative(frame, producing(frame), least=48)
-    out, shape = with_shape(W.with_position(out), steps=steps)
-    for block in made.values():
-        out = out.withColumns(block)
+    out, shape = with_shape(frame, steps=steps)
+    out, relative = with_both(out, {n: x for block in made.values() for n, x in block.items()}, lambda rows: with_regime_relative(rows, producing(rows), least=48))
     spec = {b: list(made[b]) for b in ("condition", "rolling", "trend")} | {"shape": shape, "relative": relative}
     for b, block in wide.items():
         spec[b] = [c for c in block.columns if c not in key]
@@ -256,11 +260,11 @@ def anomaly_features(frame: DataFrame, sensors=DYNAMIC, steps=int) -> tuple[Data
     machine and regime."""
     block: Block = {c: F.col(c) for c in SENSORS}
     block |= {f"regime_{r}": c for r, c in zip(REGIMES, one_hot("regime", REGIMES))}
-    block |= {f"{c}_{s}_{h}h": W.rolling(c, steps(h), s) for c in sensors for h in HEALTH_WINDOWS for s in ("mean", "std")}
+    block |= {f"{c}_{s}_{h}h": W.trailing_of(c, steps(h), s) for c in sensors for h in HEALTH_WINDOWS for s in ("mean", "std")}
     block |= {f"{c}_diff_{h}h": W.diff(c, steps(h)) for c in sensors for h in (6, 24)}
-    block |= {f"{c}_slope_{h}h": W.slope(c, steps(h)) for c in sensors for h in HEALTH_SLOPES}
+    block |= {f"{c}_slope_{h}h": W.trailing_of(c, steps(h), "slope") for c in sensors for h in HEALTH_SLOPES}
     block |= interactions()
-    frame = W.with_position(frame).withColumns(block)
     frame = W.with_masked_z(frame, {c: c for c in sensors}, F.col("regime") != "offline", 24, W.ENTITY, "regime", suffix="_regime_z")
+    frame = W.with_columns(frame, block)
     names = [*block, *(f"{c}_regime_z" for c in sensors)]
     return finalise(frame, names), names

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from bisect import insort
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import TINY, clip, col, floor_of, ratio
 
 ENTITY, TIME = "turbine_id", "timestamp"
+#: Rows whose windows are reduced together.
+CHUNK = 2048
 
 
 def order(*partition: str):
@@ -74,6 +78,98 @@ def slope(x: Column | str, rows: int, position: str = "_row") -> Column:
     return F.when(F.count(x).over(frame) >= max(rows // 2, 2), F.regr_slope(x, F.col(position)).over(frame))
 
 
+class Trailing(NamedTuple):
+    """A statistic over the last rows of a channel, for with_trailing()."""
+
+    channel: str
+    rows: int
+    stat: str
+    least: int
+
+
+def trailing_of(channel: str, rows: int, stat: str, least: int | None = None) -> Trailing:
+    """As rolling() and slope() have it, or `off_mean`: the value less the mean."""
+    return Trailing(channel, rows, stat, max(rows // 2, 2 if stat == "slope" else 1) if least is None else least)
+
+
+def trailing_statistics(seen: np.ndarray, stats: set[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """How many values each row of a matrix of windows has, and their statistics; NaN is missing."""
+    there = ~np.isnan(seen)
+    count = there.sum(1)
+    size, out = np.maximum(count, 1), {}
+    if stats & {"mean", "std", "off_mean", "slope"}:
+        out["mean"] = np.where(there, seen, 0.0).sum(1) / size
+        out["off_mean"] = seen[:, -1] - out["mean"]
+    if stats & {"std", "slope"}:
+        away = np.where(there, seen - out["mean"][:, None], 0.0)
+        out["std"] = np.where(count > 1, np.sqrt(np.einsum("ij,ij->i", away, away) / np.maximum(count - 1, 1)), np.nan)
+    if "slope" in stats:
+        place = np.arange(seen.shape[1], dtype=float)
+        place = np.where(there, place - (there @ place / size)[:, None], 0.0)
+        spread = np.einsum("ij,ij->i", place, place)
+        out["slope"] = np.where(spread > 0, np.einsum("ij,ij->i", place, away) / np.where(spread > 0, spread, 1.0), np.nan)
+    if stats & {"min", "range"}:
+        out["min"] = np.where(there, seen, np.inf).min(1)
+    if stats & {"max", "range"}:
+        out["max"] = np.where(there, seen, -np.inf).max(1)
+    if "range" in stats:
+        out["range"] = out["max"] - out["min"]
+    if "median" in stats:
+        ordered, rows = np.sort(seen, axis=1), np.arange(len(seen))  # NaN last
+        out["median"] = (ordered[rows, (size - 1) // 2] + ordered[rows, size // 2]) / 2
+    return count, out
+
+
+def with_trailing(frame: DataFrame, block: dict[str, Trailing], dealt: bool = False) -> DataFrame:
+    """Adds many trailing statistics at once. A sliding window aggregate goes over its frame again for every row and
+    column; here each machine's rows pass once, in order, and all windows of a batch are reduced together. A task
+    holds one batch and the last rows of one machine. `dealt`: the rows are in order by machine and time already."""
+    wanted: dict[str, dict[int, list[str]]] = {}
+    for n, t in block.items():
+        wanted.setdefault(t.channel, {}).setdefault(t.rows, []).append(n)
+    lead = max(t.rows for t in block.values()) - 1
+    at = frame.columns.index
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, before = None, {c: np.full(lead, np.nan) for c in wanted}
+        for batch in batches:
+            owner = batch.column(at(ENTITY)).to_pylist()
+            if not owner:
+                continue
+            change = np.array([owner[0] != machine, *(a != b for a, b in zip(owner, owner[1:]))])
+            # missing values between machines, so that no window reaches from one into the next
+            gaps = np.cumsum(change) - change[0]
+            spot = lead + np.arange(len(owner)) + lead * gaps
+            made = {n: np.empty(len(owner)) for n in block}
+            for c, windows in wanted.items():
+                x = np.full(int(spot[-1]) + 1, np.nan)
+                if not change[0]:
+                    x[:lead] = before[c]
+                x[spot] = batch.column(at(c)).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                before[c] = x[len(x) - lead :].copy()
+                for rows, names in windows.items():
+                    views = np.lib.stride_tricks.sliding_window_view(x, rows)
+                    for i in range(0, len(owner), CHUNK):
+                        count, values = trailing_statistics(views[spot[i : i + CHUNK] - rows + 1], {block[n].stat for n in names})
+                        for n in names:
+                            made[n][i : i + CHUNK] = np.where(count >= block[n].least, values[block[n].stat], np.nan)
+            machine = owner[-1]
+            extra = [pa.array(v, pa.float64(), from_pandas=True) for v in made.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *made])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields] + [f"`{n}` double" for n in block]
+    rows = frame if dealt else frame.repartition(ENTITY).sortWithinPartitions(ENTITY, TIME)
+    return rows.mapInArrow(run, ", ".join(fields))
+
+
+def with_columns(frame: DataFrame, block: dict[str, Column | Trailing]) -> DataFrame:
+    """Adds a block: plain columns first, while rows are narrow, then trailing statistics."""
+    plain = {n: x for n, x in block.items() if not isinstance(x, Trailing)}
+    rest = {n: x for n, x in block.items() if isinstance(x, Trailing)}
+    frame = frame.withColumns(plain) if plain else frame
+    return with_trailing(frame, rest) if rest else frame
+
+
 def expanding(x: Column | str, stat: str, least: int, *partition: str) -> Column:
     """A statistic over strictly earlier rows; missing with fewer than `least` values."""
     x, frame = col(x), past(*partition)

@@ -205,7 +205,7 @@ _hroll = {f"{c}_{s}_{h}h": S.rolling(c, h, s) for c in X.CONDITION for h in X.HE
 @query("i2_health_rollings", f"WITH {S.MACHINES} SELECT turbine_id, ordinal, {listed(_hroll)} FROM m")
 def i2(spark, d):
     made = X.health_rollings()
-    return shown(keyed(spark, d).withColumns(made), made)
+    return shown(W.with_columns(keyed(spark, d), made), made)
 
 
 _htrend = {f"{c}_slope_{h}h": S.slope(c, h) for c in X.CONDITION for h in X.HEALTH_SLOPES}
@@ -215,7 +215,7 @@ _htrend |= {f"{c}_diff_24h": f"{c} - lag({c}, 24) {S.LAG}" for c in X.CONDITION}
 @query("i3_health_trends", f"WITH {S.MACHINES}, {ROWS} SELECT turbine_id, ordinal, {listed(_htrend)} FROM x")
 def i3(spark, d):
     made = X.health_trends()
-    return shown(W.with_position(keyed(spark, d)).withColumns(made), made)
+    return shown(W.with_columns(keyed(spark, d), made), made)
 
 
 def shape_sql(sensors, n: int = 24) -> str:
