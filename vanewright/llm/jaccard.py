@@ -331,7 +331,9 @@ def similar_components(docs: DataFrame) -> DataFrame:
     # tokens together bounding what any member shares, so that members are looked at only where groups qualify. The
     # smaller group asks the larger; a group of one has asked all by its leader
     several = leaders.filter("size > 1").select(F.col("gkey").alias("group"), "size", "shortest")
-    lines = matrix.join(main.withColumnRenamed("gkey", "group").join(several.hint("merge"), "group").hint("merge"), "group")
+    # a table of its own: a join of two read sides is one that adaptive execution splits where a group has many tokens
+    several = written(several.join(main.withColumnRenamed("gkey", "group").hint("merge"), "group"), "groups-of-several")
+    lines = matrix.join(several.hint("merge"), "group")
     mixed = lines.groupBy("token").agg(F.min("main").alias("m1"), F.max("main").alias("m2")).filter("m1 <> m2").select("token")
     lines = written(lines.join(mixed.hint("merge"), "token", "left_semi").select("token", "group", "least", "most", "main", "size", "shortest"), "matrix-apart")
     asking = lines.select("token", *(F.col(c).alias(f"own_{c}") for c in ("group", "least", "most", "main", "size", "shortest")))
