@@ -255,6 +255,6 @@ def scored(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Da
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_rows: int = MOST_ROWS) -> DataFrame:
     """The rows of the input whose text scores below the threshold. Rows of one id are told apart by nothing else, so
-    they go together if one of them does."""
+    they go together if one of them does; rows with a null id stay."""
     bad = fit(docs, labels, most_rows).score(docs).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_toxic")).filter("_toxic is not null").distinct()
     return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == bad["_toxic"], "left_anti")
