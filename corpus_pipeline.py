@@ -6,8 +6,9 @@
 4. secrets: found secrets are replaced by a mark; all documents stay.
 5. bpe: tokens of every document that is left, as digests.
 
-All but the last return the columns of documents. Null texts pass the first four stages as they are (they have no toxic
-word, no shingle, no leak and no secret); an empty table gives an empty result.
+All but the last return the columns of documents. A null text is scored as an empty one, and goes only if empty texts
+count as toxic by the labels; it has no shingle, no leak and no secret, stays null, and is encoded as an empty text. Rows
+with a null id pass the filters; an empty table gives an empty result.
 """
 
 from __future__ import annotations
