@@ -25,16 +25,32 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which remove_written() will delete."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def written(frame: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lost executors then cost no recomputation, and the size
     that joins see is that of real files."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_path(spark, label)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def bucketed(frame: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """Like written(), as a table bucketed and sorted by a key: tables bucketed alike join on it without a shuffle. The
+    frame should come dealt by that key, so that a task writes few buckets."""
+    spark = frame.sparkSession
+    path = new_path(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    frame.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def remove_written(spark: SparkSession) -> int:
     """Delete the tables that written() has made in this process, and say how many. To be called once results that
     read them are saved."""
