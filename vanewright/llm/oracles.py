@@ -57,3 +57,37 @@ def substring_dedup() -> str:
 f AS (SELECT k, min(doc_id) AS m FROM p GROUP BY 1), r AS (SELECT DISTINCT p.doc_id, i + o AS j FROM p JOIN f USING (k), range({n}) t(o) WHERE p.doc_id > m), u AS (SELECT doc_id, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS j FROM w),
 x AS (SELECT u.doc_id, count(r.j) AS gone, string_agg(word, ' ' ORDER BY u.j) FILTER (r.j IS NULL) AS kept FROM u LEFT JOIN r ON u.doc_id = r.doc_id AND u.j = r.j GROUP BY 1)
 SELECT w.doc_id, len(l) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN x USING (doc_id)"""
+
+
+def centroid_clusters() -> str:
+    """Rounds one after the other; a new centroid is the exact floor of sum by count."""
+    parts = [
+        """kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS x FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS j, x AS c FROM (SELECT sha256('3:' || vec_id) AS h, x FROM kept ORDER BY h LIMIT 8))",
+    ]
+    for r in range(11):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, x, min(struct_pack(d := d, j := j)) AS m FROM (SELECT vec_id, x, j, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM kept, c{r}) GROUP BY vec_id, x)")
+        if r < 10:
+            parts.append(f"s{r} AS (SELECT j, p, sum(v) AS s, count(*) AS n FROM (SELECT m.j AS j, unnest(x) AS v, unnest(range(1, 65)) AS p FROM a{r}) GROUP BY j, p)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.j AS j, coalesce(n.c, c.c) AS c FROM c{r} c LEFT JOIN (SELECT j, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY p) AS c FROM s{r} GROUP BY j) n ON c.j = n.j)")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(m.j AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.j) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a10 JOIN c10 ON m.j = c10.j"""
+
+
+def conversation_trie() -> str:
+    """Every prefix of every rebuilt conversation; a node's totals are sums over the nodes that have it as a prefix. CRC-32
+    of an id, bit by bit."""
+    crc = "list_reduce(list_prepend(4294967295, list_transform(range(1, 8 * length(i) + 1), lambda k: CAST((ascii(i[CAST((k - 1) // 8 + 1 AS INTEGER)]) >> ((k - 1) % 8)) & 1 AS BIGINT))), lambda a, b: CASE WHEN (a & 1) <> b THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(struct_pack(k := sha256(strlen(role) || ':' || role || text), b := strlen(text)) ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, xor({crc}, 4294967295) % 9 AS h FROM (SELECT conv_id, own, CAST(conv_id AS VARCHAR) AS i FROM o)),
+r AS (SELECT h.conv_id, CASE WHEN h = 0 THEN own ELSE list_concat(coalesce(o2.head, []), own[h + 1:]) END AS turns FROM (SELECT h.*, conv_id - conv_id % 5 AS base FROM h) h LEFT JOIN (SELECT conv_id AS base, own AS family FROM o) f ON f.base = h.base, LATERAL (SELECT f.family[1:h.h] AS head) o2),
+p AS (SELECT conv_id, d, len(turns) AS n, array_to_string(list_transform(turns[1:d], lambda x: x.k), ',') AS k, CASE WHEN d > 0 THEN array_to_string(list_transform(turns[1:d - 1], lambda x: x.k), ',') END AS pk, CASE WHEN d > 0 THEN turns[d].b ELSE 0 END AS b FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+m AS (SELECT d, k, any_value(pk) AS pk, any_value(b) AS b, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d) AS ends FROM p GROUP BY d, k),
+c AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM m WHERE d > 0 GROUP BY d, pk),
+u AS (SELECT m.d, m.k, m.conv_id, m.b, m.n_convs, coalesce(n_children, 0) AS n_children FROM m LEFT JOIN c ON m.d = c.d AND m.k = c.k),
+s AS (SELECT q.d, q.k, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.b) AS saved FROM u JOIN p q ON q.conv_id = u.conv_id AND q.d <= u.d GROUP BY q.d, q.k)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, mp.conv_id AS parent_conv_id, m.n_convs, u.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN u ON m.d = u.d AND m.k = u.k JOIN s ON m.d = s.d AND m.k = s.k LEFT JOIN m mp ON mp.d = m.d - 1 AND mp.k = m.pk"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprints, jaccard, langid, oracles, secrets, substring, suffix, toxicity, urls
+from . import bpe, clustering, conversation_trie, decontam, fingerprints, jaccard, langid, oracles, secrets, substring, suffix, token_files, toxicity, urls
 from .tables import table
 
 
@@ -48,9 +48,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeat_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_digests(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_nodes(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_language, op4_fingerprint, op5_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_decontaminate, op9_bpe, op10_substring_dedup)}
+    every = (
+        op1_toxicity, op2_secret_scan, op3_language, op4_fingerprint, op5_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_decontaminate, op9_bpe, op10_substring_dedup,
+        op11_centroid_clusters, op12_conversation_trie, op13_token_files,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": oracles.secret_scan(), "op6_url_filter": oracles.url_filter(), "op10_substring_dedup": oracles.substring_dedup()}
+    return {"op2_secret_scan": oracles.secret_scan(), "op6_url_filter": oracles.url_filter(), "op10_substring_dedup": oracles.substring_dedup(), "op11_centroid_clusters": oracles.centroid_clusters(), "op12_conversation_trie": oracles.conversation_trie()}
