@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import with_running
 from ..functions.expressions import TINY, floor_of, holds, ratio
+from ..functions.quantiles import quantiles, wide_quantiles
+from ..sources.shared import written
 
 REFERENCE_ROWS, TREES, TREE_ROWS, NEIGHBOURS = 20_000, 250, 256, 35
 WARNING_RATE, ALARM_RATE, LEAST_CALIBRATION = 0.05, 0.01, 20
@@ -157,7 +159,8 @@ def calibrate(scores: DataFrame, column: str = "novelty", least_rows: int = LEAS
     finite = scores.filter(F.abs(F.col(column)) < float("inf"))
     if finite.limit(least_rows).count() < least_rows:
         raise ValueError(f"fewer than {least_rows} healthy scores")
-    limits = finite.agg(F.percentile(column, 1 - WARNING_RATE).alias("warning"), F.percentile(column, 1 - ALARM_RATE).alias("alarm"))
+    finite = written(finite.select(column), "healthy-scores")
+    limits = wide_quantiles(finite, {"_q": column}, [1 - WARNING_RATE, 1 - ALARM_RATE]).select(F.col("_q")[0].alias("warning"), F.col("_q")[1].alias("alarm"))
     over = lambda c: F.avg((F.col(column) >= F.col(c)).cast("double"))
     achieved = finite.join(F.broadcast(limits)).agg(over("warning").alias("warning_rate"), over("alarm").alias("alarm_rate"))
     return limits.join(F.broadcast(achieved))
@@ -186,9 +189,8 @@ def severity(score: Column | str, warning: Column, alarm: Column, status: Column
 
 def feature_reference(frame: DataFrame, features: list[str]) -> DataFrame:
     """(feature, median, q1, q3)."""
-    long = frame.select(*(F.col(c).cast("double").alias(c) for c in features)).unpivot([], features, "feature", "value")
-    q = long.groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return q.select("feature", F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"))
+    q = quantiles(frame, {c: c for c in features}, [0.25, 0.5, 0.75])
+    return q.select(F.col("column").alias("feature"), F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"))
 
 
 def contributing_signals(rows: DataFrame, reference: DataFrame, features: list[str], most: int = 5, least: float = 1.0) -> DataFrame:

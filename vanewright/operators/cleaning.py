@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import half_even_steps
+from ..functions.quantiles import SENT_GROUPS, wide_quantiles
+from ..sources.shared import written
 from ..sources.telemetry import RANGES, SENSORS, micros
 from .windows import ENTITY, TIME, order
 
@@ -22,7 +24,8 @@ def step_hours(frame: DataFrame) -> DataFrame:
     """One row: the median positive distance of a machine's times, in hours."""
     t = frame.select(ENTITY, micros(TIME).alias("t"))
     gap = F.col("t") - F.lag("t").over(Window.partitionBy(ENTITY).orderBy("t"))
-    return t.select(gap.alias("gap")).filter("gap > 0").agg((F.percentile("gap", 0.5) / 3.6e9).alias("step_hours"))
+    found = wide_quantiles(t.select(gap.alias("gap")).filter("gap > 0"), {"gap": "gap"}, [0.5])
+    return found.select((F.col("gap")[0] / 3.6e9).alias("step_hours"))
 
 
 def infer_step(frame: DataFrame) -> float:
@@ -74,11 +77,14 @@ def fill_gaps(frame: DataFrame, sensors=SENSORS, carried=CARRIED, carry_rows: in
     is normal."""
     back = order().rowsBetween(-carry_rows, 0)
     frame = frame.withColumns({c: F.last(c, ignorenulls=True).over(back) for c in carried if c in sensors})
-    whole = Window.partitionBy(ENTITY)
-    frame = frame.withColumns({c: F.coalesce(F.col(c), F.median(c).over(whole)) for c in sensors})
-    fleet = frame.agg(*(F.percentile(c, 0.5).alias(f"_fleet_{c}") for c in sensors))  # one row
+    frame = written(frame, "carried-forward")
+    middles = {f"_own_{c}": c for c in sensors}
+    own = written(wide_quantiles(frame, middles, [0.5], [ENTITY]), "machine-medians")  # a row for each machine
+    frame = frame.join(F.broadcast(own) if own.count() <= SENT_GROUPS else own.hint("merge"), ENTITY, "left")
+    frame = frame.withColumns({c: F.coalesce(F.col(c), F.col(f"_own_{c}")[0]) for c in sensors}).drop(*middles)
+    fleet = wide_quantiles(frame, {f"_fleet_{c}": c for c in sensors}, [0.5])  # one row
     frame = frame.join(F.broadcast(fleet))
-    frame = frame.withColumns({c: F.coalesce(F.col(c), F.col(f"_fleet_{c}"), F.lit(0.0)) for c in sensors}).drop(*(f"_fleet_{c}" for c in sensors))
+    frame = frame.withColumns({c: F.coalesce(F.col(c), F.col(f"_fleet_{c}")[0], F.lit(0.0)) for c in sensors}).drop(*(f"_fleet_{c}" for c in sensors))
     return frame.withColumn("operational_status", F.coalesce("operational_status", F.lit("normal"))) if "operational_status" in frame.columns else frame
 
 

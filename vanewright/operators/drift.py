@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import holds
+from ..functions.quantiles import wide_quantiles
 from . import windows as W
 
 #: Fixed values.
@@ -110,7 +111,7 @@ def calibrate(statistics: DataFrame, healthy: DataFrame | None = None, least_row
     rows = statistics if healthy is None else statistics.join(healthy, ["turbine_id", "timestamp"], "left_semi")
     if least_rows and rows.limit(least_rows).count() < least_rows:
         raise TooFewHealthyRows(f"fewer than {least_rows} rows")
-    q = rows.groupBy("sensor").agg(F.percentile("signals", F.array(F.lit(0.95), F.lit(0.99))).alias("s"), F.percentile(F.abs("ewma"), F.array(F.lit(0.95), F.lit(0.99))).alias("e"))
+    q = wide_quantiles(rows, {"s": "signals", "e": F.abs("ewma")}, [0.95, 0.99], ["sensor"])
     sw, ew = F.greatest(F.col("s")[0], F.lit(1.0)), F.greatest(F.col("e")[0], F.lit(ewma_limit()))
     return q.select(
         "sensor", F.bround(sw, 3).alias("signals_warning"), F.bround(F.greatest(F.col("s")[1], sw + 1), 3).alias("signals_alarm"), F.bround(ew, 4).alias("ewma_warning"), F.bround(F.greatest(F.col("e")[1], 1.05 * ew), 4).alias("ewma_alarm")

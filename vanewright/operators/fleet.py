@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ratio
+from ..functions.quantiles import quantiles
 from ..sources.telemetry import micros
 from . import metrics
 
@@ -46,7 +47,9 @@ def machine_positives(frame: DataFrame, target: str) -> DataFrame:
 def describe(frame: DataFrame, columns: list[str]) -> DataFrame:
     """(column, count, mean, std, min, median, max) in one pass over the long form."""
     long = frame.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "column", "value")
-    return long.groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.percentile("value", 0.5).alias("median"), F.max("value").alias("max"))
+    middles = quantiles(frame, {c: c for c in columns}, [0.5]).select("column", F.col("q")[0].alias("median"))
+    stats = long.groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return stats.join(F.broadcast(middles), "column", "left").select("column", "count", "mean", "std", "min", "median", "max")  # a row for each column
 
 
 def correlation(a: str, b: str) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import with_running
 from ..functions.expressions import clip, holds
+from ..functions.quantiles import wide_quantiles
+from ..sources.shared import written
 from . import rules as R
 
 #: Classes, worst last, and their lowest scores.
@@ -35,7 +37,7 @@ def class_rank(name: Column | str) -> Column:
 def adaptive_bands(scores: DataFrame, column: str = "score", most_shift: float = 10.0) -> DataFrame:
     """One row: bands shifted by how far the median lies from the middle of the two upper ones."""
     middle = (BANDS["healthy"] + BANDS["monitor"]) / 2
-    shift = scores.agg(clip(F.percentile(column, 0.5) - middle, -most_shift, most_shift).alias("shift"))
+    shift = wide_quantiles(scores, {"_middle": column}, [0.5]).select(clip(F.col("_middle")[0] - middle, -most_shift, most_shift).alias("shift"))
     return shift.select("shift", *(clip(F.lit(v) + F.col("shift"), 1, 99).alias(n) for n, v in BANDS.items()))
 
 
@@ -131,10 +133,13 @@ def regression_metrics(frame: DataFrame, truth: str = "truth", predicted: str =
     r2 = 1 - F.try_divide(F.sum(e * e), F.var_pop("y") * F.count("*"))
     # corr by its parts: it is missing, not an error, where one side is constant
     spearman = F.try_divide(F.covar_pop("ry", "rp"), F.stddev_pop("ry") * F.stddev_pop("rp"))
-    return rows.agg(
-        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(F.abs(e), 0.5).alias("median_ae"), r2.alias("r2"), spearman.alias("spearman"), F.avg(e).alias("bias"),
+    rows = written(rows, "ranked-pairs")
+    middle = wide_quantiles(rows, {"_e": F.abs(e)}, [0.5]).select(F.col("_e")[0].alias("median_ae"))  # one row
+    measured = rows.agg(
+        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), r2.alias("r2"), spearman.alias("spearman"), F.avg(e).alias("bias"),
         F.avg(F.when(F.col("y") < BANDS["healthy"], F.abs(e))).alias("mae_degraded"), F.avg((F.abs(e) <= 5).cast("double")).alias("within_5"), F.avg((F.abs(e) <= 10).cast("double")).alias("within_10"),
     )
+    return measured.join(F.broadcast(middle)).select("n", "mae", "rmse", "median_ae", "r2", "spearman", "bias", "mae_degraded", "within_5", "within_10")
 
 
 def class_metrics(frame: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:

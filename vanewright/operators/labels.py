@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clip, holds
+from ..functions.quantiles import wide_quantiles
 from ..sources.telemetry import micros
 from .windows import ENTITY, TIME, order
 
@@ -61,7 +62,7 @@ def anomaly_truth(frame: DataFrame, truth: float = 0.20, healthy: float = 0.0) -
 def split_bounds(frame: DataFrame, train_end: float = TRAIN_END, valid_end: float = VALID_END, embargo_hours: float = EMBARGO) -> DataFrame:
     """One row of micros: quantiles of the distinct times, and the starts an embargo later."""
     times = frame.filter(F.col(TIME).isNotNull()).select(micros(TIME).alias("t")).distinct()
-    q = times.agg(F.percentile("t", F.array(F.lit(train_end), F.lit(valid_end))).alias("q"))
+    q = wide_quantiles(times, {"q": "t"}, [train_end, valid_end])
     gap = int(embargo_hours * HOUR)
     ends = q.select(F.col("q")[0].cast("long").alias("train_end"), F.col("q")[1].cast("long").alias("valid_end"))
     return ends.select("train_end", (F.col("train_end") + gap).alias("valid_start"), "valid_end", (F.col("valid_end") + gap).alias("test_start"))
