@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vanewright.functions.ordered import with_running
 from vanewright.operators import drift, metrics, models
-from vanewright.sources import files
+from vanewright.sources import files, shared
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +38,14 @@ def test_fit_calibrate_compare_save(spark, parts, tmp_path):
     with pytest.raises(ValueError, match="no calibration"):
         models.calibrator(valid, "other")
     compared = models.compared({"random_forest": model}, parts, table).collect()
-    assert sorted(r["split"] for r in compared) == ["test", "train", "valid"] and {r["rank"] for r in compared} == {1}
+    assert sorted((r["model"], r["split"]) for r in compared) == [(m, s) for m in ("dummy", "random_forest") for s in ("test", "train", "valid")]
+    assert {(r["model"], r["rank"]) for r in compared} == {("random_forest", 1), ("dummy", 2)}
+    for r in compared:
+        if r["model"] == "random_forest":
+            one = models.scored(model, parts[r["split"]]).select(F.col("target").alias("y"), "p")
+            want = metrics.classification_metrics(one, rows["random_forest"]["threshold"]).first()
+            assert (r["recall"], r["precision"], r["f2"]) == (want["recall"], want["precision"], want["f2"]) and r["rows"] == parts[r["split"]].count()
+            assert r["brier"] == pytest.approx(want["brier"]) and r["pr_auc"] == pytest.approx(metrics.pr_auc(one).first()[0]) and r["roc_auc"] == pytest.approx(metrics.roc_auc(one).first()[0])
     with pytest.raises(ValueError, match="no feature b"):
         models.score_prepared(model, parts["test"].drop("b"), ["a", "b"])
     files.save_model(model, str(tmp_path / "m"))
@@ -75,3 +82,39 @@ def test_novelty_adds_points(spark):
     novel = spark.createDataFrame([("A", 1, 0.9), ("A", 2, 0.7)], "turbine_id string, timestamp long, novelty double")
     got = {r["timestamp"]: r["penalty"] for r in drift.row_penalties(stats, None, novel).collect()}
     assert got == {1: 10.0, 2: 5.0}
+
+
+def test_a_bundle_serves_what_was_trained(spark, parts, tmp_path):
+    train = models.with_weight(parts["train"], "target", models.class_weight(parts["train"], "target"))
+    fitted = models.failure_candidates(["a", "b"])["logistic_regression"].fit(train)
+    bundle = models.bundled("logistic_regression", fitted, parts, ["a", "b"])
+    # the closed form is the estimator's calibration, and the threshold is the least cost of calibrated scores
+    raw = models.scored(fitted, parts["valid"])
+    want = {r["timestamp"]: r["p"] for r in models.calibrator(raw)(raw).collect()}
+    got = bundle.scored(parts["valid"])
+    assert all(r["p"] == pytest.approx(want[r["timestamp"]], abs=1e-9) for r in got.collect())
+    judged = got.select(F.col("target").alias("y"), "p")
+    assert bundle.threshold == metrics.choose_threshold(metrics.threshold_curve(judged)).first()["least_cost"]
+    assert got.filter((F.col("p") >= bundle.threshold) != (F.col("prediction") == 1)).count() == 0
+    again = models.Bundle.load(spark, bundle.save(spark, str(tmp_path / "bundle")))
+    assert (again.name, again.sigmoid, again.threshold, again.features, again.summary) == (bundle.name, bundle.sigmoid, bundle.threshold, bundle.features, bundle.summary)
+    assert again.summary["rows_and_positives"]["train"] == [1500, parts["train"].filter("target = 1").count()]
+    rows = lambda b: sorted(tuple(r) for r in b.scored(parts["test"]).select("timestamp", "p", "prediction").collect())
+    assert rows(again) == rows(bundle)
+    with pytest.raises(ValueError, match="no feature b"):
+        again.scored(parts["test"].drop("b"))
+    with pytest.raises(ValueError, match="no bundle of format"):
+        files.write_document(spark, {"format": 0}, str(tmp_path / "old/about"))
+        models.Bundle.load(spark, str(tmp_path / "old"))
+
+
+def test_kept_results_end_with_their_tables(spark, tmp_path):
+    calls = []
+    kept = shared.kept_until_removal(lambda spark, d, n=1: calls.append(n) or len(calls))
+    spark.range(3).write.parquet(f"{tmp_path}/t/x.parquet")
+    d = f"{tmp_path}/t"
+    assert kept(spark, d) == kept(spark, d) == 1 and kept(spark, d, 2) == 2
+    spark.range(4).write.mode("overwrite").parquet(f"{d}/x.parquet")
+    assert kept(spark, d) == 3
+    shared._kept.clear()
+    assert kept(spark, d) == 4

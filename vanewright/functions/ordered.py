@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: Ranges that a frame is dealt to.
 RANGES = 256
 
@@ -26,3 +28,25 @@ def with_running(frame: DataFrame, key: str, sums: dict[str, Column], descending
     out = rows.join(F.broadcast(starts), "_range")
     out = out.withColumns({n: F.col(f"_start_{n}") + F.coalesce(F.sum(f"_own_{n}").over(within), F.lit(0)) for n in sums})
     return out.drop("_range", *(f"_{k}_{n}" for n in sums for k in ("own", "start")))
+
+
+#: Rows, of all groups together, that a window a group may sort.
+FEW_ROWS = 1_000_000
+
+
+def with_grouped_running(frame: DataFrame, keys: list[str], by: str, sums: dict[str, str], few_rows: int = FEW_ROWS) -> DataFrame:
+    """Adds, for each of `sums` (new name: column), the sum over the rows of a group up to each one in ascending order
+    of `by` (missing ones first). Few rows take a window a group; of many, ranges of (group, value) are summed apart, and
+    each starts with what the group's ranges before it hold, so a large group spreads over many tasks."""
+    way = F.asc_nulls_first(by)
+    within = Window.partitionBy(*keys).orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
+    if frame.count() <= few_rows:
+        return frame.withColumns({n: F.sum(c).over(within) for n, c in sums.items()})
+    ranged = written(frame.repartitionByRange(*keys, by).withColumn("_part", F.spark_partition_id()), "running-ranges")
+    # a row for each group and range
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = ranged.groupBy(*keys, "_part").agg(*(F.sum(c).alias(f"_all_{n}") for n, c in sums.items()))
+    starts = held.select(*keys, "_part", *(F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in sums))
+    own = Window.partitionBy("_part", *keys).orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumns({n: F.sum(c).over(own) for n, c in sums.items()}).join(starts.hint("merge"), [*keys, "_part"])
+    return summed.withColumns({n: F.col(n) + F.col(f"_start_{n}") for n in sums}).drop("_part", *(f"_start_{n}" for n in sums))

@@ -13,15 +13,14 @@ NaN is greater than any number; a group without values, or a null group, has no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .ordered import FEW_ROWS, with_grouped_running
 
 #: Relative accuracy of the sketch is 1 / ACCURACY of a group's rows; bounds lie twice as far from the wanted rank.
 ACCURACY = 5_000
-#: Rows between bounds, of all groups together, that a window a group may sort.
-FEW_ROWS = 1_000_000
 #: Groups that may be sent to all tasks.
 SENT_GROUPS = 50_000
 
@@ -55,19 +54,6 @@ def counted(values: DataFrame, bounds: DataFrame, ps: list[float], by: list[str]
     return rows.groupBy(*keys, "at", "x").agg(F.count("*").alias("c"))
 
 
-def running_counts(counts: DataFrame, keys: list[str], few_rows: int) -> DataFrame:
-    """Adds `upto`, the rows of the group at or below each value."""
-    within = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0)
-    if counts.count() <= few_rows:
-        return counts.withColumn("upto", F.sum("c").over(within))
-    ranged = written(counts.repartitionByRange(*keys, "x").withColumn("_part", F.spark_partition_id()), "quantile-ranges")
-    # a row for each group and range
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy(*keys, "_part").agg(F.sum("c").alias("_s")).select(*keys, "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
-    own = Window.partitionBy("_part", *keys).orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.withColumn("_own", F.sum("c").over(own)).join(starts.hint("merge"), [*keys, "_part"]).withColumn("upto", F.col("_start") + F.col("_own")).drop("_part", "_start", "_own")
-
-
 def quantiles(frame: DataFrame, columns: dict[str, Column | str], ps: list[float], by: list[str] | None = None, few_rows: int = FEW_ROWS) -> DataFrame:
     """(by..., column, n, q array<double>): exact quantiles ps of each column in each group. The input is evaluated once:
     what is needed of it is written to the shared folder."""
@@ -80,7 +66,7 @@ def quantiles(frame: DataFrame, columns: dict[str, Column | str], ps: list[float
     done: list[DataFrame] = []
     while True:
         counts = written(counted(values, bounds, ps, by, few), "quantile-counts")
-        ranked = running_counts(counts, [*keys, "at"], few_rows)
+        ranked = with_grouped_running(counts, [*keys, "at"], "x", {"upto": "c"}, few_rows)
         n = bounds.select(*keys, "n")
         position = (F.col("n") - 1) * places[F.col("at")]
         held = ranked.join(F.broadcast(n) if few else n.hint("merge"), keys).withColumn("h", position)

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import with_running
+from ..functions.ordered import with_grouped_running, with_running
+from ..sources.shared import written
 from ..functions.expressions import holds
 
 #: Costs of outcomes, the grid of thresholds, limits of selection.
@@ -71,11 +72,41 @@ def curve(frame: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 def grouped_pr_auc(frame: DataFrame, *by: str, y: str = "y", p: str = "p") -> DataFrame:
     """A row for each group: pr_auc of all of them in one aggregate."""
-    down = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = score_counts(frame, y, p, by).withColumn("precision", share(F.sum("positives").over(down), F.sum("n").over(down)))
+    return average_precision(with_totals(frame, by, y, p), by)
+
+
+def pr_auc_of_counts(counts: DataFrame, *by: str) -> DataFrame:
+    """As grouped_pr_auc(), from rows (by..., p, positives, n) that may repeat a score."""
+    merged = counts.groupBy(*by, "p").agg(F.sum("positives").alias("positives"), F.sum("n").alias("n"))
+    return average_precision(totals_of(merged, by), by)
+
+
+def average_precision(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    above = lambda upto, own, every: F.col(every) - F.col(upto) + F.col(own)
+    rows = counts.withColumn("precision", share(above("upto_positives", "positives", "all_positives"), above("upto_n", "n", "all_n")))
     return rows.groupBy(*by).agg(share(F.sum(F.col("precision") * F.col("positives")), F.sum("positives")).alias("pr_auc"))
 
 
+def with_totals(frame: DataFrame, by: tuple[str, ...], y: str = "y", p: str = "p") -> DataFrame:
+    """Counts by distinct score in each group, with running and whole sums."""
+    return totals_of(score_counts(frame, y, p, by), by)
+
+
+def totals_of(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    counts = written(counts, "score-counts")
+    totals = counts.groupBy(*by).agg(F.sum("positives").alias("all_positives"), F.sum("n").alias("all_n"))
+    running = with_grouped_running(counts, list(by), "p", {"upto_positives": "positives", "upto_n": "n"})
+    return running.join(F.broadcast(totals), list(by))  # a row for each group: a feature and repeat, or a model and part
+
+
+def grouped_roc_auc(frame: DataFrame, *by: str, y: str = "y", p: str = "p") -> DataFrame:
+    """A row for each group: roc_auc of all of them in one aggregate."""
+    negatives = F.col("n") - F.col("positives")
+    below = F.col("upto_n") - F.col("upto_positives") - negatives
+    pairs = F.sum(F.col("positives") * (below + negatives / 2.0))
+    return with_totals(frame, by, y, p).groupBy(*by).agg(share(pairs, F.sum("positives") * F.sum(negatives)).alias("roc_auc"))
+
+
 def pr_auc(frame: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """One row: average precision; ties are one step."""
     points = curve(frame, y, p)

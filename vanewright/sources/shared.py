@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,36 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_kept: dict[tuple, object] = {}
+
+
+def stamp(spark: SparkSession, path: str) -> int:
+    """Changes whenever files of a path do: a hash of their names, sizes and times."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return 0
+    found, folders = [], [place]
+    while folders:
+        for f in store.listStatus(folders.pop()):
+            if f.isDirectory():
+                folders.append(f.getPath())
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(found)))
+
+
+def kept_until_removal(f: Callable) -> Callable:
+    """Keep what f(spark, sf_dir, *more) returns for later calls of the session, as long as the tables of sf_dir are the
+    same and remove_written() hasn't deleted what the result may read."""
+
+    @wraps(f)
+    def asked(spark: SparkSession, sf_dir: str, *more):
+        key = f.__module__, f.__qualname__, spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir), more
+        if key not in _kept:
+            _kept[key] = f(spark, sf_dir, *more)
+        return _kept[key]
+
+    return asked
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -54,6 +85,7 @@ def bucketed(frame: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
 def remove_written(spark: SparkSession) -> int:
     """Delete the tables that written() has made in this process, and say how many. To be called once results that
     read them are saved."""
+    _kept.clear()
     jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_written)
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
