@@ -10,6 +10,7 @@ from ..functions.expressions import TINY, clip, cyclical, floor_of, one_hot, rat
 from ..sources.telemetry import SENSORS, STATUSES
 from . import drift, rules
 from . import windows as W
+from .slices import SLICE_ROWS, in_slices
 from .regimes import RATED_POWER, REGIMES, producing, reference_power
 
 #: Channels by use, and windows in hours.
@@ -141,12 +142,26 @@ def with_both(frame: DataFrame, block: Block, relative=None) -> tuple[DataFrame,
     return W.with_trailing(out, rest, dealt=True) if rest else out, names
 
 
-def failure_features(frame: DataFrame, blocks=BLOCKS, steps=int) -> tuple[DataFrame, dict[str, list[str]]]:
+def look_back(block: Block, plain: int) -> int:
+    """Rows that a block looks back: its trailing windows', and so many for its plain columns."""
+    return max([plain, *(x.rows for x in block.values() if isinstance(x, W.Trailing))])
+
+
+def with_bounded(frame: DataFrame, block: Block, plain: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """A block whose plain columns look back at most `plain` rows, built in slices of long machines."""
+    return in_slices(frame, look_back(block, plain), lambda f: W.with_columns(f, block), slice_rows)
+
+
+def failure_features(frame: DataFrame, blocks=BLOCKS, steps=int, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, dict[str, list[str]]]:
     """The feature matrix of these blocks and its specification (block -> names in order)."""
     made = {"raw": raw(frame), "lag": lags(steps=steps), "rolling": rollings(steps=steps), "trend": trends(steps=steps), "interaction": interactions(), "time": time_parts()}
     spec: dict[str, list[str]] = {}
     every = {n: x for b in blocks if b != "relative" for n, x in made[b].items()}
-    out, relative = with_both(frame, every, with_relative if "relative" in blocks else None)
+    if "relative" in blocks:
+        out, relative = with_both(frame, every, with_relative)
+    else:
+        # all windows are bounded, so a long machine is built in slices
+        out, relative = in_slices(frame, look_back(every, required_rows(steps=steps)), lambda f: with_both(f, every)[0], slice_rows), []
     for b in blocks:
         spec[b] = relative if b == "relative" else list(made[b])
     return finalise(out, [n for names in spec.values() for n in names]), spec

@@ -55,7 +55,7 @@ _stats = ("mean", "std", "min", "max", "median", "sum", "range")
 @query("e4_rolling", f"WITH {S.EVENTS} SELECT turbine_id, ordinal, {listed({f'{s}_{n}': S.rolling(_v, n, s) for s in _stats for n in (6, 24)})} FROM m")
 def e4(spark, d):
     made = {f"{s}_{n}": W.rolling(_v, n, s) for s in _stats for n in (6, 24)}
-    return shown(keyed_events(spark, d).withColumns(made), made)
+    return shown(X.with_bounded(keyed_events(spark, d), made, 24), made)
 
 
 @query("e5_rolling_slope", f"WITH {S.EVENTS}, {ROWS} SELECT turbine_id, ordinal, {listed({f'slope_{n}': S.slope(_v, n) for n in X.SLOPES})} FROM x")
@@ -205,7 +205,7 @@ _hroll = {f"{c}_{s}_{h}h": S.rolling(c, h, s) for c in X.CONDITION for h in X.HE
 @query("i2_health_rollings", f"WITH {S.MACHINES} SELECT turbine_id, ordinal, {listed(_hroll)} FROM m")
 def i2(spark, d):
     made = X.health_rollings()
-    return shown(W.with_columns(keyed(spark, d), made), made)
+    return shown(X.with_bounded(keyed(spark, d), made, 0), made)
 
 
 _htrend = {f"{c}_slope_{h}h": S.slope(c, h) for c in X.CONDITION for h in X.HEALTH_SLOPES}
@@ -215,7 +215,7 @@ _htrend |= {f"{c}_diff_24h": f"{c} - lag({c}, 24) {S.LAG}" for c in X.CONDITION}
 @query("i3_health_trends", f"WITH {S.MACHINES}, {ROWS} SELECT turbine_id, ordinal, {listed(_htrend)} FROM x")
 def i3(spark, d):
     made = X.health_trends()
-    return shown(W.with_columns(keyed(spark, d), made), made)
+    return shown(X.with_bounded(keyed(spark, d), made, X.HEALTH_DIFF), made)
 
 
 def shape_sql(sensors, n: int = 24) -> str:
