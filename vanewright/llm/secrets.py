@@ -24,6 +24,10 @@ def either_case(word: str) -> str:
 
 KEYWORDS = "|".join(either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 ASSIGN = f"(?:{KEYWORDS})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+#: A key's first line, and then its lines up to the last one (with a few header lines, or line ends as \\n); where that one
+#: is missing, the lines that follow and can be a key's.
+PEM_BODY = "[A-Za-z0-9+/=\\x20\\x09-\\x0D:,\\\\]*"
+PEM = f"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{PEM_BODY}(?:-[A-Za-z0-9]{PEM_BODY}){{0,16}}-----END [A-Z ]*PRIVATE KEY-----|(?:[\\x0A\\x0D]+[A-Za-z0-9+/=]+){{0,200}})"
 #: name, pattern, text that must occur for a match ("": any), least length of the whole match, least length of the
 #: value group. A run of too few characters can't hold a match for `access` and `hex`, so their least length stands
 #: in the pattern; for `assign` it must not, since a short match still uses up its characters.
@@ -31,13 +35,25 @@ RULES = (
     ("assign", ASSIGN, "", 0, 6),
     ("access", "AKIA[A-Z0-9]{16,}", "AKIA", 20, 0),
     ("hex", "[0-9a-f]{24,}", "", 24, 0),
-    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN ", 0, 0),
+    ("pem", PEM, "-----BEGIN ", 0, 0),
     ("jwt", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}", "eyJ", 0, 0),
     ("forge", "gh[opsu]_[A-Za-z0-9]{36,}", "gh", 0, 0),
 )
-RULE_VERSION = "2024-1"
+RULE_VERSION = "2024-2"
 BASE_KINDS = ("assign", "access", "hex")
 FINDING = "array<struct<start:int,kind:int,end:int>>"
+#: Matches that are folded together; arrays grow within such a block alone, so a text's time grows with its matches.
+FOLD = 256
+
+
+def bound(x: Column, use) -> Column:
+    """use(x), with x evaluated once however often it is used."""
+    return F.transform(F.array(x), use)[0]
+
+
+def blocks_of(items: Column) -> Column:
+    """A (not empty) array in blocks of FOLD."""
+    return bound(items, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / FOLD).cast("int")), lambda i: F.slice(s, i * FOLD + 1, F.lit(FOLD))))
 
 
 def matches(text: Column, rule: tuple, kind: int) -> Column:
@@ -57,7 +73,15 @@ def matches(text: Column, rule: tuple, kind: int) -> Column:
         keep = (F.length(x["hit"]) >= whole) & (F.length(x["value"]) >= value)
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    spans = F.when(text.rlike(pattern), F.aggregate(step, start, fold, lambda acc: acc["out"]))
+    # spans within each block, then shifted by the lengths of the blocks before
+    within = F.transform(blocks_of(step), lambda b: F.aggregate(b, start, fold))
+    none = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{FINDING}>)").alias("out"))
+
+    def shifted(acc, x):
+        moved = F.transform(x["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    spans = F.when(text.rlike(pattern), F.aggregate(within, none, shifted, lambda acc: F.flatten(acc["out"])))
     if needs:
         spans = F.when(text.contains(needs), spans)
     return F.coalesce(spans, F.expr(f"cast(array() as {FINDING})"))
@@ -128,13 +152,23 @@ def masked(docs: DataFrame, found: DataFrame, mask: str = "[SECRET]") -> DataFra
     Overlapping spans become one mask. Rows with a null id stay as they are; rows that repeat an id are taken to
     repeat its text."""
     some = found.filter((F.size("findings") > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_found_id"), F.col("findings").alias("_findings")).dropDuplicates(["_found_id"])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # each block of findings, with the place that those before it reach, masks its own part of the text
+    begun = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<struct<at:int,own:{FINDING}>>)").alias("out"))
+    reach = lambda b: F.array_max(F.transform(b, lambda x: x["end"]))
+    placed = F.aggregate(blocks_of(F.col("_findings")), begun, lambda acc, b: F.struct(F.greatest(acc["at"], reach(b)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), b.alias("own")))).alias("out")))
 
-    def fold(acc, x):
-        gap = F.substring(docs["text"], acc["at"] + 1, x["start"] - acc["at"])
-        text = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), text.alias("out"))
+    def part(block):
+        """The block's text from where it begins to its reach, masked."""
+        chunk = F.substring(docs["text"], block["at"] + 1, F.greatest(block["at"], reach(block["own"])) - block["at"])
+        start = F.struct(block["at"].alias("at"), F.lit("").alias("out"))
+
+        def fold(acc, x, text):
+            gap = F.substring(text, acc["at"] - block["at"] + 1, x["start"] - acc["at"])
+            out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+
+        return bound(chunk, lambda text: F.aggregate(block["own"], start, lambda acc, x: fold(acc, x, text), lambda acc: acc["out"]))
 
-    clean = F.aggregate("_findings", start, fold, lambda acc: F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.lit(2147483647))))
+    clean = bound(placed, lambda p: F.concat(F.array_join(F.transform(p["out"], part), ""), F.substring(docs["text"], p["at"] + 1, F.lit(2147483647))))
     joined = docs.join(some.hint("shuffle_hash"), docs["doc_id"] == some["_found_id"], "left")
     return joined.select(*(F.when(F.col("_findings").isNotNull(), clean).otherwise(docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns))

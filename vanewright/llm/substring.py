@@ -15,7 +15,7 @@ Equal texts are found first, by SHA-256; only the one with the smallest id is co
 repeat it throughout.
 
 Defined results: a null or empty text has no words and its kept text is empty; equal ids are one document for
-"smaller"; rows that repeat are each returned; a null id is never smaller than another and loses no words; an empty
+"smaller", but each of their texts loses only what itself repeats; rows that repeat are each returned; a null id is never smaller than another and loses no words; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -75,9 +75,10 @@ def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth: int = sketches.DEPTH, bits: int = sketches.BITS) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth: int = sketches.DEPTH, bits: int = sketches.BITS, text_bits: int = 0) -> DataFrame:
     """(doc_id, starts array<struct<start, n>>): n windows from a word on that also start in a document with a smaller
-    id; start -1 for all windows."""
+    id; start -1 for all windows. Ids name one text each; their last `text_bits` don't count for which one is smaller."""
+    smaller = lambda x, y: F.shiftright(x, text_bits) < F.shiftright(y, text_bits)
     texts = text_of(docs).filter(F.col("doc_id").isNotNull())
     share = texts.sparkSession.sparkContext.broadcast
     chosen = copies.representatives(docs)
@@ -125,18 +126,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, de
                 begin = each - np.repeat(own.first[own.rows(use)], n)
                 yield pa.RecordBatch.from_arrays([pa.array(one[:, 0]), pa.array(one[:, 1]), pa.array(np.repeat(ids, n)), pa.array(begin.astype(np.int32))], ["a", "b", "doc_id", "start"])
 
-    later = repeats_of(rows, groups.filter("least < most"), "n")
+    later = repeats_of(rows, groups.filter(smaller("least", "most")), smaller, "n")
     alone = written(texts.mapInArrow(window_rows, "a long, b long, doc_id long, start int"), "windows-of-distinct-runs")
-    least = written(alone.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"), "repeated-windows")
-    later = later.unionByName(repeats_of(alone.withColumn("n", F.lit(1)), least, "n"))
-    whole = copies.all_copies(docs, chosen).filter("doc_id > kept").select("doc_id", F.lit(-1).alias("start"), F.lit(0).alias("n"))
+    least = written(alone.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter(smaller("least", "most")), "repeated-windows")
+    later = later.unionByName(repeats_of(alone.withColumn("n", F.lit(1)), least, smaller, "n"))
+    whole = copies.all_copies(docs, chosen).filter(smaller("kept", "doc_id")).select("doc_id", F.lit(-1).alias("start"), F.lit(0).alias("n"))
     return later.unionByName(whole).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("starts"))
 
 
-def repeats_of(rows: DataFrame, groups: DataFrame, *also: str) -> DataFrame:
+def repeats_of(rows: DataFrame, groups: DataFrame, smaller, *also: str) -> DataFrame:
     """Rows whose digest a smaller document has. Both sides are written tables, so that adaptive execution can split
     the rows of a digest that very many documents share."""
-    return rows.join(groups.select("a", "b", "least").hint("merge"), ["a", "b"]).filter("doc_id > least").select("doc_id", "start", *also)
+    return rows.join(groups.select("a", "b", "least").hint("merge"), ["a", "b"]).filter(smaller("least", "doc_id")).select("doc_id", "start", *also)
 
 
 def with_starts(docs: DataFrame, starts: DataFrame) -> DataFrame:
@@ -174,7 +175,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         for ids, _, _, kept in _kept(batches, window):
             yield pa.RecordBatch.from_arrays([ids, pa.array([k.decode() for k in kept], pa.string())], ["doc_id", "text"])
 
-    return with_starts(docs, repeated_windows(docs, window, gram)).mapInArrow(run, "doc_id long, text string")
+    work = lambda rows, bits: with_starts(rows, repeated_windows(rows, window, gram, text_bits=bits)).mapInArrow(run, "doc_id long, text string")
+    return copies.by_number(docs, work)
 
 
 def repeat_digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -185,4 +187,5 @@ def repeat_digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             digests = [hashlib.sha256(k).hexdigest() for k in kept]
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_starts(docs, repeated_windows(docs, window, gram)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return copies.by_number(docs, lambda rows, bits: with_starts(rows, repeated_windows(rows, window, gram, text_bits=bits)).mapInArrow(run, schema))

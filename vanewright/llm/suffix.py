@@ -361,7 +361,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tr
         for ids, _, _, _, kept in _kept(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.binary())], ["doc_id", "kept"])
 
-    return with_spans(docs, repeated_spans(docs, length), keep_first).mapInArrow(run, "doc_id long, kept binary")
+    work = lambda rows, _: with_spans(rows, repeated_spans(rows, length), keep_first).mapInArrow(run, "doc_id long, kept binary")
+    return copies.by_number(docs, work)
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
@@ -372,4 +373,5 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
             digests = [hashlib.sha256(k).hexdigest() for k in kept]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (n, gone, runs)), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs, repeated_spans(docs, length), keep_first).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return copies.by_number(docs, lambda rows, _: with_spans(rows, repeated_spans(rows, length), keep_first).mapInArrow(run, schema))
