@@ -11,6 +11,21 @@ from vanewright.functions import quantiles as Q
 PS = [0.0, 0.05, 0.5, 0.95, 1.0]
 
 
+@pytest.fixture(autouse=True)
+def selected(monkeypatch):
+    """Small groups too are selected from."""
+    monkeypatch.setattr(Q, "SMALL_GROUP", 0)
+
+
+def test_small_groups_take_the_aggregate_and_agree(spark, monkeypatch):
+    frame = frame_of(spark, 900).withColumn("g", F.when(F.col("g") != "g2", F.col("g")))
+    found = {}
+    for most in (0, 10_000):
+        monkeypatch.setattr(Q, "SMALL_GROUP", most)
+        found[most] = sorted(map(tuple, Q.quantiles(frame, {c: c for c in ("ties", "wide")}, [0.5], ["g"]).collect()))
+    assert found[0] == found[10_000] and len(found[0]) == 14
+
+
 def same(a, b):
     return all(x == y or (math.isnan(x) and math.isnan(y)) for x, y in zip(a, b, strict=True))
 

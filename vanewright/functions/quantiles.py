@@ -5,7 +5,8 @@ quantiles (a mergeable sketch of bounded size) just below and above each wanted
 rank, and about a 1,250th of all rows. A second pass counts what lies below, as one number, and every distinct value in
 between. Ranks are then found by running sums: by a window a group where these rows are few, else over ranges of the
 values, of which each starts with what the ranges before it hold. Where a sketch should not have enclosed a rank, the pass is
-repeated for that group without bounds. No task holds more than a sketch or a range.
+repeated for that group without bounds. No task holds more than a sketch or a range. Where no group has more than
+SMALL_GROUP values, which is counted first, the exact aggregate itself is bounded and is taken.
 
 Values are interpolated between neighbouring ranks, as SQL's continuous quantiles are. Missing values don't count;
 NaN is greater than any number; a group without values, or a null group, has no row.
@@ -21,6 +22,8 @@ from .ordered import FEW_ROWS, with_grouped_running
 
 #: Relative accuracy of the sketch is 1 / ACCURACY of a group's rows; bounds lie twice as far from the wanted rank.
 ACCURACY = 5_000
+#: Values of a group that one buffer may hold.
+SMALL_GROUP = 50_000
 #: Groups that may be sent to all tasks.
 SENT_GROUPS = 50_000
 
@@ -60,6 +63,9 @@ def quantiles(frame: DataFrame, columns: dict[str, Column | str], ps: list[float
     by = list(by or [])
     keys = [*by, "column"]
     values = written(long_values(frame, columns, by), "quantile-values")
+    largest = values.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= SMALL_GROUP:
+        return values.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("x", F.array(*map(F.lit, ps))).alias("q")).dropna(subset=by)
     bounds = written(bounds_of(values, ps, by), "quantile-bounds")
     few = bounds.count() <= SENT_GROUPS
     places = F.create_map(*(F.lit(v) for i, p in enumerate(ps) for v in (i, p)))
