@@ -1,8 +1,10 @@
-"""Drift: standardised residuals, two-sided CUSUM with restart, EWMA, persistence, calibrated thresholds, penalties."""
+"""Drift: standardised residuals, two-sided CUSUM with restart, EWMA, persistence, multivariate novelty, calibrated
+thresholds that are kept as tables, reports, penalties."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import holds
 from ..functions.quantiles import wide_quantiles
+from . import anomaly
 from . import windows as W
 
 #: Fixed values.
 SENSORS = ("vibration", "gearbox_temperature", "bearing_temperature", "oil_pressure", "generator_temperature")
 SLACK, DECISION, LAMBDA, SIGMAS, WINDOW = 0.5, 5.0, 0.1, 3.0, 168
-LEAST_PAST, NOVELTY_TREES = 72, 200
-WARNING_RATIO, ALARM_RATIO, ALARM_SIGNALS, NOVELTY = 1.0, 1.6, 3.0, 0.62
+LEAST_PAST, LEAST_HEALTHY, HEALTHY_SCORE = 72, 500, 95.0
+NOVELTY_TREES, NOVELTY_TREE_ROWS, LEAST_NOVELTY_ROWS = 200, 4096, 50
+WARNING_RATIO, ALARM_RATIO, ALARM_SIGNALS, NOVELTY, NOVELTY_ALARM = 1.0, 1.6, 3.0, 0.62, 0.775
 WARNING_POINTS, ALARM_POINTS, NOVELTY_POINTS, MOST_POINTS = 2.5, 5.0, 5.0, 15.0
 RANK = {"none": 0, "warning": 1, "alarm": 2}
 
@@ -101,15 +105,50 @@ def drift_statistics(frame: DataFrame, mask: Column, sensors=SENSORS, least: int
     return with_signals(control_charts(residuals(frame, mask, sensors, least)), rows=rows)
 
 
+def complete_residuals(statistics: DataFrame, sensors=SENSORS) -> DataFrame:
+    """(turbine_id, timestamp, ordinal, x): the residuals of rows that have all of them, in the sensors' order."""
+    wide = statistics.groupBy("turbine_id", "timestamp", "ordinal").agg(*(F.max(F.when(F.col("sensor") == s, F.col("z"))).alias(s) for s in sensors))
+    return wide.dropna(subset=list(sensors)).select("turbine_id", "timestamp", "ordinal", F.array(*sensors).alias("x"))
+
+
+@dataclass
+class NoveltyModel:
+    """An isolation forest over residuals; its score as a probability around the median of the rows it was fitted on, so
+    that a score does not depend on what else is scored."""
+
+    forest: anomaly.IsolationForest
+    middle: float
+    spread: float
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.forest.score(x) - self.middle) / self.spread))
+
+
+def fit_novelty(residuals: DataFrame, trees: int = NOVELTY_TREES, tree_rows: int = NOVELTY_TREE_ROWS) -> NoveltyModel | None:
+    """From complete residuals of the training part; None with fewer than LEAST_NOVELTY_ROWS. A tree grows from at most
+    tree_rows rows; the median and spread are those of all rows."""
+    if residuals.limit(LEAST_NOVELTY_ROWS).count() < LEAST_NOVELTY_ROWS:
+        return None
+    forest = anomaly.fit_isolation_forest(residuals, "x", "ordinal", trees, tree_rows)
+    raw = anomaly.score_with(residuals, forest, "x")
+    middle = wide_quantiles(raw, {"q": "novelty"}, [0.5]).first()["q"][0]
+    return NoveltyModel(forest, middle, raw.agg(F.stddev_pop("novelty")).first()[0] or 1.0)
+
+
+def novelty_scores(residuals: DataFrame, model: NoveltyModel) -> DataFrame:
+    """(turbine_id, timestamp, ordinal, novelty) of complete residuals; other rows have no novelty."""
+    return anomaly.score_with(residuals, model, "x").drop("x")
+
+
 class TooFewHealthyRows(ValueError):
     """Not enough rows to calibrate on."""
 
 
 def calibrate(statistics: DataFrame, healthy: DataFrame | None = None, least_rows: int = 0) -> DataFrame:
     """(sensor, signals_warning, signals_alarm, ewma_warning, ewma_alarm) from quantiles of healthy rows, rounded as
-    they are kept."""
-    rows = statistics if healthy is None else statistics.join(healthy, ["turbine_id", "timestamp"], "left_semi")
-    if least_rows and rows.limit(least_rows).count() < least_rows:
+    they are kept. least_rows counts rows of telemetry."""
+    rows = statistics if healthy is None else statistics.join(healthy.hint("merge"), ["turbine_id", "timestamp"], "left_semi")
+    if least_rows and rows.select("turbine_id", "timestamp").distinct().limit(least_rows).count() < least_rows:
         raise TooFewHealthyRows(f"fewer than {least_rows} rows")
     q = wide_quantiles(rows, {"s": "signals", "e": F.abs("ewma")}, [0.95, 0.99], ["sensor"])
     sw, ew = F.greatest(F.col("s")[0], F.lit(1.0)), F.greatest(F.col("e")[0], F.lit(ewma_limit()))
@@ -118,12 +157,62 @@ def calibrate(statistics: DataFrame, healthy: DataFrame | None = None, least_row
     )
 
 
+def calibrate_novelty(novel: DataFrame, healthy: DataFrame | None = None) -> DataFrame:
+    """(novelty_warning, novelty_alarm) from quantiles of healthy rows that have a finite novelty, rounded as they are
+    kept; no row where there is none."""
+    rows = novel if healthy is None else novel.join(healthy.hint("merge"), ["turbine_id", "timestamp"], "left_semi")
+    q = wide_quantiles(rows.filter(F.abs("novelty") < float("inf")), {"q": "novelty"}, [0.95, 0.99])
+    low, high = F.col("q")[0], F.col("q")[1]
+    return q.select(F.bround(low, 6).alias("novelty_warning"), F.bround(F.greatest(low, high), 6).alias("novelty_alarm"))
+
+
+#: The table of a calibration: a row for each sensor, and one for the novelty of all.
+MULTIVARIATE = "multivariate"
+CALIBRATION = "sensor string, signals_warning double, signals_alarm double, ewma_warning double, ewma_alarm double, novelty_warning double, novelty_alarm double"
+
+
+def calibration_table(sensors: DataFrame, novelty: DataFrame | None = None) -> DataFrame:
+    """Limits of sensors and of novelty as one table, a handful of rows."""
+    out = sensors
+    if novelty is not None:
+        out = out.unionByName(novelty.withColumn("sensor", F.lit(MULTIVARIATE)), allowMissingColumns=True)
+    columns = [c.split() for c in CALIBRATION.split(", ")]
+    return out.select(*((F.col(c) if c in out.columns else F.lit(None)).cast(t).alias(c) for c, t in columns))
+
+
+def save_calibration(calibration: DataFrame, path: str, version: int) -> str:
+    """Keep a calibration as a version of its own; a version that is there is never written over."""
+    calibration.coalesce(1).write.mode("errorifexists").parquet(f"{path.rstrip('/')}/version={version}")
+    return path
+
+
+def load_calibration(spark, path: str, version: int | None = None) -> DataFrame:
+    """A kept calibration, the last version unless one is named. What serving judges by: limits as they were rounded."""
+    table = spark.read.schema(f"{CALIBRATION}, version int").parquet(path)
+    version = table.agg(F.max("version")).first()[0] if version is None else version
+    found = table.filter(F.col("version") == version).drop("version")
+    if version is None or found.isEmpty():
+        raise ValueError(f"no calibration of version {version} in {path}")
+    return found
+
+
+def with_novelty_limits(novel: DataFrame, calibration: DataFrame | None) -> DataFrame:
+    """Adds novelty_warning and novelty_alarm; the fixed ones where the calibration has none."""
+    fixed = {"novelty_warning": NOVELTY, "novelty_alarm": NOVELTY_ALARM}
+    if calibration is None or "novelty_warning" not in calibration.columns:
+        return novel.withColumns({c: F.lit(v) for c, v in fixed.items()})
+    one = calibration.filter(F.col("sensor") == MULTIVARIATE).agg(*(F.max(c).alias(c) for c in fixed))  # one row
+    limits = one.select("novelty_warning", F.coalesce("novelty_alarm", "novelty_warning").alias("novelty_alarm"))
+    return novel.join(F.broadcast(limits)).withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fixed.items()})
+
+
 def with_thresholds(statistics: DataFrame, calibration: DataFrame | None) -> DataFrame:
     """Thresholds of each row's sensor; the fixed ones where it has none."""
     fixed = {"signals_warning": 1.0, "signals_alarm": ALARM_SIGNALS, "ewma_warning": ewma_limit() * WARNING_RATIO, "ewma_alarm": ewma_limit() * ALARM_RATIO}
     if calibration is None:
         return statistics.withColumns({c: F.lit(v) for c, v in fixed.items()})
-    joined = statistics.join(F.broadcast(calibration), "sensor", "left")  # one row for each sensor
+    limits = calibration.select("sensor", *fixed)
+    joined = statistics.join(F.broadcast(limits), "sensor", "left")  # one row for each sensor
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fixed.items()})
 
 
@@ -144,9 +233,10 @@ def rank(severity: Column | str) -> Column:
     return F.when(c == "alarm", 2).when(c == "warning", 1).otherwise(0)
 
 
-def drift_report(statistics: DataFrame, calibration: DataFrame | None = None, decision: float = DECISION) -> DataFrame:
+def drift_report(statistics: DataFrame, calibration: DataFrame | None = None, decision: float = DECISION, novel: DataFrame | None = None) -> DataFrame:
     """Signals that fired, per machine and sensor, as of each machine's last row: (turbine_id, sensor, method,
-    severity, direction, statistic, first_detected)."""
+    severity, direction, statistic, first_detected). novel: (turbine_id, timestamp, novelty) of the rows that have one;
+    a machine's last row then reports for the sensor `multivariate` too."""
     rows = graded(statistics, calibration)
     by = rows.groupBy(*KEYS).agg(
         F.max_by("cusum_severity", "timestamp").alias("cs"), F.max_by("ewma_severity", "timestamp").alias("es"), F.max_by("ewma", "timestamp").alias("ewma"), F.max("cusum_up").alias("up"), F.max("cusum_down").alias("down"),
@@ -156,18 +246,32 @@ def drift_report(statistics: DataFrame, calibration: DataFrame | None = None, de
     upward = F.col("up") >= F.col("down")
     cusum = by.filter("cs <> 'none'").select(*KEYS, F.lit("cusum").alias("method"), F.col("cs").alias("severity"), F.when(upward, "upward").otherwise("downward").alias("direction"), F.greatest("up", "down").alias("statistic"), F.when(upward, F.col("up_at")).otherwise(F.col("down_at")).alias("first_detected"))
     ewma = by.filter("es <> 'none'").select(*KEYS, F.lit("ewma").alias("method"), F.col("es").alias("severity"), F.when(F.col("ewma") >= 0, "upward").otherwise("downward").alias("direction"), F.abs("ewma").alias("statistic"), F.col("ewma_at").alias("first_detected"))
-    return cusum.unionByName(ewma)
+    report = cusum.unionByName(ewma)
+    if novel is None:
+        return report
+    last = statistics.groupBy("turbine_id").agg(F.max("timestamp").alias("timestamp"))
+    judged = with_novelty_limits(novel.join(last.hint("merge"), ["turbine_id", "timestamp"]), calibration)
+    judged = judged.groupBy("turbine_id").agg(*(F.max(c).alias(c) for c in ("novelty", "novelty_warning", "novelty_alarm")))
+    fired = judged.filter((F.abs("novelty") < float("inf")) & (F.col("novelty") >= F.col("novelty_warning")))
+    severity = F.when(F.col("novelty") >= F.col("novelty_alarm"), "alarm").otherwise("warning")
+    when = F.lit(None).cast(statistics.schema["timestamp"].dataType)
+    return report.unionByName(fired.select("turbine_id", F.lit(MULTIVARIATE).alias("sensor"), F.lit("isolation_forest").alias("method"), severity.alias("severity"), F.lit("none").alias("direction"), F.bround("novelty", 4).alias("statistic"), when.alias("first_detected")))
+
+
+def in_order(report: DataFrame) -> DataFrame:
+    """Adds place: a machine's signals from 1, alarms first, then larger statistics, then by sensor and method. A machine
+    has at most two signals a sensor and one more."""
+    return report.withColumn("place", F.row_number().over(W.Window.partitionBy("turbine_id").orderBy(rank("severity").desc(), F.desc("statistic"), "sensor", "method")))
 
 
 def points(worst: Column) -> Column:
     return F.when(worst == 2, ALARM_POINTS).when(worst == 1, WARNING_POINTS).otherwise(0.0)
 
 
-def drift_penalty(report: DataFrame, novel: DataFrame | None = None) -> DataFrame:
+def drift_penalty(report: DataFrame) -> DataFrame:
     """(turbine_id, penalty): points for each sensor's worst signal and for novelty, bounded."""
-    by = report.groupBy(*KEYS).agg(F.max(rank("severity")).alias("worst")).groupBy("turbine_id").agg(F.sum(points(F.col("worst"))).alias("p"))
-    if novel is not None:
-        by = by.join(novel.select("turbine_id", "novelty"), "turbine_id", "full_outer").withColumn("p", F.coalesce("p", F.lit(0.0)) + F.when(holds(F.col("novelty") >= NOVELTY), NOVELTY_POINTS).otherwise(0.0))
+    worth = F.when(F.col("sensor") == MULTIVARIATE, NOVELTY_POINTS).otherwise(points(F.col("worst")))
+    by = report.groupBy(*KEYS).agg(F.max(rank("severity")).alias("worst")).groupBy("turbine_id").agg(F.sum(worth).alias("p"))
     return by.select("turbine_id", F.least(F.col("p"), F.lit(MOST_POINTS)).alias("penalty"))
 
 
@@ -178,5 +282,7 @@ def row_penalties(statistics: DataFrame, calibration: DataFrame | None = None, n
     worst = F.greatest(rank("cusum_severity"), rank("ewma_severity"))
     by = rows.groupBy("turbine_id", "timestamp", "ordinal").agg(F.sum(points(worst)).alias("p"))
     if novel is not None:
-        by = by.join(novel.select("turbine_id", "timestamp", "novelty").hint("merge"), ["turbine_id", "timestamp"], "left").withColumn("p", F.col("p") + F.when(holds(F.col("novelty") >= NOVELTY), NOVELTY_POINTS).otherwise(0.0))
+        fired = with_novelty_limits(novel, calibration).filter((F.abs("novelty") < float("inf")) & (F.col("novelty") >= F.col("novelty_warning")))
+        fired = fired.select("turbine_id", "timestamp").distinct().withColumn("_novel", F.lit(NOVELTY_POINTS))
+        by = by.join(fired.hint("merge"), ["turbine_id", "timestamp"], "left").withColumn("p", F.col("p") + F.coalesce("_novel", F.lit(0.0)))
     return by.select("turbine_id", "timestamp", "ordinal", F.least(F.col("p"), F.lit(MOST_POINTS)).alias("penalty"))

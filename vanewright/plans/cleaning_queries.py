@@ -119,7 +119,7 @@ def b13(spark, d):
     return odd.drop("low").join(ranges.select("sensor", "low"), "sensor").select("sensor", "hard_min", "hard_max", "low", "high")
 
 
-_split = f"""b AS (SELECT CAST(trunc(quantile_cont(t, 0.6)) AS BIGINT) AS train_end, CAST(trunc(quantile_cont(t, 0.8)) AS BIGINT) AS valid_end FROM (SELECT DISTINCT epoch_us(timestamp) AS t FROM m)),
+SPLIT = f"""b AS (SELECT CAST(trunc(quantile_cont(t, 0.6)) AS BIGINT) AS train_end, CAST(trunc(quantile_cont(t, 0.8)) AS BIGINT) AS valid_end FROM (SELECT DISTINCT epoch_us(timestamp) AS t FROM m)),
 s AS (SELECT m.*, epoch_us(timestamp) AS t, CASE WHEN epoch_us(timestamp) <= train_end THEN 'train' WHEN epoch_us(timestamp) BETWEEN train_end + {48 * labels.HOUR} AND valid_end THEN 'valid' WHEN epoch_us(timestamp) >= valid_end + {48 * labels.HOUR} THEN 'test' ELSE 'embargo' END AS split FROM m, b)"""
 _target = f"coalesce(max(failure_event) OVER (PARTITION BY turbine_id ORDER BY epoch_us(timestamp) RANGE BETWEEN 1 FOLLOWING AND {48 * labels.HOUR} FOLLOWING), 0)"
 
@@ -128,7 +128,7 @@ def labelled_events(spark, d):
     return labels.failure_target(keyed_events(spark, d))
 
 
-@query("b14_split_labels", f"WITH {S.EVENTS}, {_split}, l AS (SELECT split, {_target} AS target FROM s) SELECT split, count(*) AS rows, CAST(sum(target) AS BIGINT) AS positives, {S.r('avg(target)', 6)} AS rate, sum(target) > 0 AS ok FROM l GROUP BY 1")
+@query("b14_split_labels", f"WITH {S.EVENTS}, {SPLIT}, l AS (SELECT split, {_target} AS target FROM s) SELECT split, count(*) AS rows, CAST(sum(target) AS BIGINT) AS positives, {S.r('avg(target)', 6)} AS rate, sum(target) > 0 AS ok FROM l GROUP BY 1")
 def b14(spark, d):
     rows = labelled_events(spark, d)
     return validation.split_labels(labels.assign_splits(rows, labels.split_bounds(rows)), "target").withColumn("rate", rounded("rate", 6))
@@ -191,25 +191,25 @@ def d6(spark, d):
     return labels.anomaly_truth(keyed(spark, d)).select(*ID, "is_anomalous", "is_healthy")
 
 
-@query("d7_split_bounds", f"WITH {S.MACHINES}, {_split} SELECT train_end, train_end + {48 * labels.HOUR} AS valid_start, valid_end, valid_end + {48 * labels.HOUR} AS test_start FROM b")
+@query("d7_split_bounds", f"WITH {S.MACHINES}, {SPLIT} SELECT train_end, train_end + {48 * labels.HOUR} AS valid_start, valid_end, valid_end + {48 * labels.HOUR} AS test_start FROM b")
 def d7(spark, d):
     return labels.split_bounds(keyed(spark, d))
 
 
-@query("d8_assign_splits", f"WITH {S.MACHINES}, {_split} SELECT turbine_id, ordinal, split FROM s")
+@query("d8_assign_splits", f"WITH {S.MACHINES}, {SPLIT} SELECT turbine_id, ordinal, split FROM s")
 def d8(spark, d):
     rows = keyed(spark, d)
     return labels.assign_splits(rows, labels.split_bounds(rows)).select(*ID, "split")
 
 
-@query("d10_split_gaps", f"WITH {S.MACHINES}, {_split}, g AS (SELECT (min(t) FILTER (split = 'valid') - max(t) FILTER (split = 'train')) / 3.6e9 AS a, (min(t) FILTER (split = 'test') - max(t) FILTER (split = 'valid')) / 3.6e9 AS b FROM s) SELECT {S.r('a')} AS train_valid_hours, {S.r('b')} AS valid_test_hours, a >= 48 AND b >= 48 AS ok FROM g")
+@query("d10_split_gaps", f"WITH {S.MACHINES}, {SPLIT}, g AS (SELECT (min(t) FILTER (split = 'valid') - max(t) FILTER (split = 'train')) / 3.6e9 AS a, (min(t) FILTER (split = 'test') - max(t) FILTER (split = 'valid')) / 3.6e9 AS b FROM s) SELECT {S.r('a')} AS train_valid_hours, {S.r('b')} AS valid_test_hours, a >= 48 AND b >= 48 AS ok FROM g")
 def d10(spark, d):
     rows = keyed(spark, d)
     gaps = labels.split_gaps(labels.assign_splits(rows, labels.split_bounds(rows)))
     return gaps.withColumns({c: rounded(c) for c in ("train_valid_hours", "valid_test_hours")})
 
 
-@query("q19_split_summary", f"WITH {S.MACHINES}, {_split} SELECT split, count(*) AS rows, CAST(sum(failure_event) AS BIGINT) AS positives, {S.r('avg(failure_event)', 6)} AS rate, min(t) AS first, max(t) AS last FROM s GROUP BY 1")
+@query("q19_split_summary", f"WITH {S.MACHINES}, {SPLIT} SELECT split, count(*) AS rows, CAST(sum(failure_event) AS BIGINT) AS positives, {S.r('avg(failure_event)', 6)} AS rate, min(t) AS first, max(t) AS last FROM s GROUP BY 1")
 def q19(spark, d):
     rows = keyed(spark, d)
     return labels.split_summary(labels.assign_splits(rows, labels.split_bounds(rows)), "failure_event").withColumn("rate", rounded("rate", 6))

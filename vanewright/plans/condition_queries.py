@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clip, rounded
-from ..operators import cleaning, drift, health
+from ..operators import cleaning, drift, health, labels
 from ..operators import features as X
 from ..operators import regimes as G
 from ..operators import rules as R
 from ..sources import telemetry as T
+from ..sources.shared import new_path, written
 from . import sql as S
-from .cleaning_queries import ID, keyed, machines
+from .cleaning_queries import ID, SPLIT, keyed, machines
 from .feature_queries import POWER, WITH_REGIME, shown, with_regime
 from .registry import query
 
@@ -156,13 +157,22 @@ def j2b(spark, d):
 
 
 _lim = drift.ewma_limit()
-_cal = f"""c0 AS (SELECT sensor, quantile_cont(signals::DOUBLE, 0.95) AS s95, quantile_cont(signals::DOUBLE, 0.99) AS s99, quantile_cont(abs(ewma), 0.95) AS e95, quantile_cont(abs(ewma), 0.99) AS e99 FROM st GROUP BY 1),
+# healthy rows of the training part: what calibration learns from
+_healthy = f"""{SPLIT}, he AS (SELECT turbine_id, timestamp FROM s WHERE split = 'train' AND 100.0 * (1.0 - coalesce(degradation_level, 0.0)) >= {drift.HEALTHY_SCORE})"""
+_cal = f"""{_healthy}, hs AS (SELECT st.* FROM st SEMI JOIN he USING (turbine_id, timestamp)),
+c0 AS (SELECT sensor, quantile_cont(signals::DOUBLE, 0.95) AS s95, quantile_cont(signals::DOUBLE, 0.99) AS s99, quantile_cont(abs(ewma), 0.95) AS e95, quantile_cont(abs(ewma), 0.99) AS e99 FROM hs GROUP BY 1),
 cal AS (SELECT sensor, round_even(greatest(s95, 1.0), 3) AS signals_warning, round_even(greatest(s99, greatest(s95, 1.0) + 1), 3) AS signals_alarm, round_even(greatest(e95, {_lim}), 4) AS ewma_warning, round_even(greatest(e99, 1.05 * greatest(e95, {_lim})), 4) AS ewma_alarm FROM c0)"""
 
 
+def healthy_rows(spark, d):
+    rows = labels.health_target(keyed(spark, d))
+    return labels.assign_splits(rows, labels.split_bounds(rows)).filter((F.col("split") == "train") & (F.col("health_score") >= drift.HEALTHY_SCORE)).select("turbine_id", "timestamp")
+
+
 @query("j7_calibration", f"WITH {STATS}, {_cal} SELECT * FROM cal")
 def j7(spark, d):
-    return drift.calibrate(statistics(spark, d))
+    """Limits of every sensor from healthy rows of the training part, of which the operator wants 500."""
+    return drift.calibrate(statistics(spark, d), healthy_rows(spark, d), drift.LEAST_HEALTHY)
 
 
 _graded = f"""{STATS}, gr AS (SELECT *, CASE WHEN signals < 1 THEN 'none' WHEN signals >= {drift.ALARM_SIGNALS} THEN 'alarm' ELSE 'warning' END AS cs,
@@ -193,6 +203,46 @@ def j11(spark, d):
     return drift.drift_penalty(drift.drift_report(statistics(spark, d)))
 
 
+# novelty in SQL's reach, in place of the forest's: the largest residual of a row that has all, as a probability
+_novel = f"""nv AS (SELECT turbine_id, timestamp, 1 / (1 + exp(3.0 - max(abs(z)))) AS novelty FROM st GROUP BY 1, 2 HAVING count(z) = {len(drift.SENSORS)}),
+hn AS (SELECT nv.* FROM nv SEMI JOIN he USING (turbine_id, timestamp)), nl AS (SELECT round_even(quantile_cont(novelty, 0.95), 6) AS nw, round_even(greatest(quantile_cont(novelty, 0.95), quantile_cont(novelty, 0.99)), 6) AS na FROM hn)"""
+_calrep = f"""{STATS}, {_cal}, {_novel}, gc AS (SELECT st.*, ewma_warning, CASE WHEN signals < 1 THEN 'none' WHEN signals >= signals_alarm THEN 'alarm' WHEN signals >= signals_warning THEN 'warning' ELSE 'none' END AS cs,
+CASE WHEN coalesce(abs(ewma) >= ewma_alarm, false) THEN 'alarm' WHEN coalesce(abs(ewma) >= ewma_warning, false) THEN 'warning' ELSE 'none' END AS es FROM st JOIN cal USING (sensor)),
+bc AS (SELECT turbine_id, sensor, max_by(cs, timestamp) AS c, max_by(es, timestamp) AS e, max_by(ewma, timestamp) AS w, max(up) AS u, max(down) AS v, min(timestamp) FILTER (up >= 5) AS ut, min(timestamp) FILTER (down >= 5) AS vt, min(timestamp) FILTER (abs(ewma) >= ewma_warning) AS et FROM gc GROUP BY 1, 2),
+la AS (SELECT turbine_id, max(timestamp) AS timestamp FROM st GROUP BY 1),
+rc AS (SELECT turbine_id, sensor, 'cusum' AS method, c AS severity, CASE WHEN u >= v THEN 'upward' ELSE 'downward' END AS direction, greatest(u, v) AS statistic, CASE WHEN u >= v THEN ut ELSE vt END AS first_detected FROM bc WHERE c <> 'none'
+UNION ALL SELECT turbine_id, sensor, 'ewma', e, CASE WHEN w >= 0 THEN 'upward' ELSE 'downward' END, abs(w), et FROM bc WHERE e <> 'none'
+UNION ALL SELECT turbine_id, 'multivariate', 'isolation_forest', CASE WHEN novelty >= na THEN 'alarm' ELSE 'warning' END, 'none', round_even(novelty, 4), NULL FROM nv JOIN la USING (turbine_id, timestamp), nl WHERE novelty >= nw)"""
+
+
+def plain_novelty(stats):
+    rows = drift.complete_residuals(stats)
+    most = F.array_max(F.transform("x", F.abs))
+    return rows.select("turbine_id", "timestamp", (1 / (1 + F.exp(3.0 - most))).alias("novelty"))
+
+
+def report_of_kept_limits(spark, d):
+    """The report by limits, novelty's among them, that were fitted on healthy training rows, kept, and loaded again."""
+    stats = written(statistics(spark, d), "drift-statistics")
+    novel, healthy = plain_novelty(stats), written(healthy_rows(spark, d), "healthy")
+    fitted = drift.calibration_table(drift.calibrate(stats, healthy), drift.calibrate_novelty(novel, healthy))
+    kept = drift.save_calibration(fitted, new_path(spark, "calibration"), 1)
+    return drift.drift_report(stats, drift.load_calibration(spark, kept), novel=novel)
+
+
+@query("j15_report_of_kept_limits", f"WITH {_calrep} SELECT turbine_id, sensor, method, severity, direction, {S.r('statistic', 3)} AS statistic, epoch_us(first_detected) AS first_detected FROM rc")
+def j15(spark, d):
+    return report_of_kept_limits(spark, d).select("turbine_id", "sensor", "method", "severity", "direction", rounded("statistic", 3).alias("statistic"), T.micros("first_detected").alias("first_detected"))
+
+
+_cpts = "CASE WHEN sensor = 'multivariate' THEN 5.0 ELSE CASE max(CASE severity WHEN 'alarm' THEN 2 ELSE 1 END) WHEN 2 THEN 5.0 ELSE 2.5 END END"
+
+
+@query("j15_penalty_of_kept_limits", f"WITH {_calrep}, pc AS (SELECT turbine_id, sensor, {_cpts} AS p FROM rc GROUP BY 1, 2) SELECT turbine_id, CAST(least(sum(p), 15.0) AS DOUBLE) AS penalty FROM pc GROUP BY 1")
+def j15_penalty(spark, d):
+    return drift.drift_penalty(report_of_kept_limits(spark, d))
+
+
 _worst = "CASE greatest(CASE cs WHEN 'alarm' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END, CASE es WHEN 'alarm' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 5.0 WHEN 1 THEN 2.5 ELSE 0.0 END"
 
 
@@ -337,9 +387,9 @@ def q21(spark, d):
 
 @query("q22_calibrated_limits", f"WITH {STATS}, {_cal}, e AS (SELECT sensor, ewma_warning FROM cal WHERE ewma_warning > {_lim}) SELECT coalesce(cal.sensor, e.sensor) AS sensor, cal.signals_alarm, e.ewma_warning FROM cal FULL JOIN e ON cal.sensor = e.sensor")
 def q22(spark, d):
-    cal = drift.calibrate(statistics(spark, d))
+    cal = written(drift.calibrate(statistics(spark, d), healthy_rows(spark, d)), "calibration")
     raised = cal.filter(F.col("ewma_warning") > drift.ewma_limit()).select("sensor", "ewma_warning")
-    return cal.select("sensor", "signals_alarm").join(raised, "sensor", "full_outer")
+    return cal.select("sensor", "signals_alarm").join(raised.hint("merge"), "sensor", "full_outer")
 
 
 @query("h10_quality_document", f"""WITH {FLAGS}, q AS (SELECT turbine_id, timestamp, bool_or(out_of_range OR stuck OR rate) AS bad FROM fl GROUP BY 1, 2), c AS (SELECT sensor, count(*) FILTER (out_of_range) AS out_of_range, count(*) FILTER (warning) AS warning, count(*) FILTER (alarm_flag) AS alarm, count(*) FILTER (stuck) AS stuck, count(*) FILTER (rate) AS rate FROM fl GROUP BY 1),

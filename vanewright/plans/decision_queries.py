@@ -9,7 +9,7 @@ from ..operators import anomaly, explain, fleet, fusion, health, metrics
 from ..operators import features as X
 from ..sources import telemetry as T
 from . import sql as S
-from .cleaning_queries import ID, keyed, keyed_events, labelled_events, _split, _target
+from .cleaning_queries import ID, SPLIT, keyed, keyed_events, labelled_events, _target
 from .condition_queries import CLASS, LATEST, SCORED, latest, scored
 from .feature_queries import INTERACTIONS, POWER
 from .registry import query
@@ -366,7 +366,7 @@ def q25(spark, d):
     return labelled_events(spark, d).filter("target = 1").select(*ID)
 
 
-@query("m18_dataset_summary", f"WITH {S.EVENTS}, {_split}, l AS (SELECT *, {_target} AS target FROM s) SELECT count(*) AS rows, count(DISTINCT turbine_id) AS machines, min(t) AS first, max(t) AS last, {S.r('avg(target)', 6)} AS positive_rate, {', '.join(f'''count(*) FILTER (split = '{x}') AS {x}_rows''' for x in ('train', 'valid', 'test'))} FROM l")
+@query("m18_dataset_summary", f"WITH {S.EVENTS}, {SPLIT}, l AS (SELECT *, {_target} AS target FROM s) SELECT count(*) AS rows, count(DISTINCT turbine_id) AS machines, min(t) AS first, max(t) AS last, {S.r('avg(target)', 6)} AS positive_rate, {', '.join(f'''count(*) FILTER (split = '{x}') AS {x}_rows''' for x in ('train', 'valid', 'test'))} FROM l")
 def m18(spark, d):
     from ..operators import labels
 
