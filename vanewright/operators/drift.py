@@ -10,11 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.expressions import holds
 from ..functions.quantiles import wide_quantiles
+from ..sources.shared import written
 from . import anomaly
 from . import windows as W
+from .slices import SLICE_ROWS
 
 #: Fixed values.
 SENSORS = ("vibration", "gearbox_temperature", "bearing_temperature", "oil_pressure", "generator_temperature")
@@ -56,36 +60,135 @@ def fold(state: tuple, values: np.ndarray, slack: float, decision: float | None,
     return (up, down, mean), out
 
 
-def control_charts(z: DataFrame, slack: float = SLACK, decision: float | None = DECISION, weight: float = LAMBDA) -> DataFrame:
-    """Adds cusum_up, cusum_down and ewma to (turbine_id, timestamp, ordinal, sensor, z). The recursions need each
-    series in order: rows are dealt by series, sorted, and folded as a stream, so a task holds one batch and one state
-    however long a series is."""
+class Meeting:
+    """What holds after a slice of a series whatever state it began with. An arm began in [0, decision): a run from the
+    decision limit that never restarts stays above every such run, so once it is 0 all of them are. The mean began
+    within the values' bound: runs from both ends of it enclose every other, so once they are equal all are."""
+
+    def __init__(self, slack: float, decision: float, weight: float, bound: float):
+        self.slack, self.decision, self.weight = slack, decision, weight
+        self.above, self.arm, self.met, self.low, self.high = [decision, decision], [0.0, 0.0], [False, False], -bound, bound
+
+    def take(self, values: np.ndarray) -> None:
+        w = self.weight
+        for z in values.tolist():
+            if z != z:
+                for i in (0, 1):
+                    self.arm[i] = 0.0 if self.arm[i] >= self.decision else self.arm[i]
+                continue
+            for i, step in ((0, z), (1, -z)):
+                if self.met[i]:
+                    self.arm[i] = max(0.0, (0.0 if self.arm[i] >= self.decision else self.arm[i]) + step - self.slack)
+                else:
+                    self.above[i] = max(0.0, self.above[i] + step - self.slack)
+                    self.met[i] = self.above[i] == 0.0
+            self.low, self.high = w * z + (1 - w) * self.low, w * z + (1 - w) * self.high
+
+    def state(self) -> tuple | None:
+        if not (all(self.met) and self.low == self.high):
+            return None
+        return (*(0.0 if a >= self.decision else a for a in self.arm), self.low)
+
+
+def stretches(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple[tuple, int, int]]:
+    """(key, start, end) of the runs of equal keys in a batch."""
+    keys = list(zip(*(batch.column(n).to_pylist() for n in names)))
+    i = 0
+    while i < len(keys):
+        j = i + 1
+        while j < len(keys) and keys[j] == keys[i]:
+            j += 1
+        yield keys[i], i, j
+        i = j
+
+
+def floats(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(float)
+
+
+def charted(rows: DataFrame, columns: list[str], slack: float, decision: float | None, weight: float, start: bool) -> DataFrame:
+    """Charts of each (series, _chain) in order; `start`: a chain begins with the state in _up, _down, _ewma, else at
+    rest. A task holds one batch and one state however long a chain is."""
+    by = (*KEYS, "_chain") if start else KEYS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         series, state = None, (0.0, 0.0, None)
         for batch in batches:
-            names = list(zip(batch.column("turbine_id").to_pylist(), batch.column("sensor").to_pylist()))
-            values = batch.column("z").to_numpy(zero_copy_only=False).astype(float)
-            made: list = []
-            i = 0
-            while i < len(names):
-                j = i + 1
-                while j < len(names) and names[j] == names[i]:
-                    j += 1
-                if names[i] != series:
-                    series, state = names[i], (0.0, 0.0, None)
+            values, made = floats(batch, "z"), []
+            for key, i, j in stretches(batch, by):
+                if key != series:
+                    series, state = key, tuple(batch.column(c)[i].as_py() for c in ("_up", "_down", "_ewma")) if start else (0.0, 0.0, None)
                 state, out = fold(state, values[i:j], slack, decision, weight)
                 made += out
-                i = j
             up, down, mean = zip(*made) if made else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(up, pa.float64()), pa.array(down, pa.float64()), pa.array(mean, pa.float64())], [*batch.schema.names, "cusum_up", "cusum_down", "ewma"])
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(up, pa.float64()), pa.array(down, pa.float64()), pa.array(mean, pa.float64())], [*columns, "cusum_up", "cusum_down", "ewma"])
 
-    named = z.select("turbine_id", "sensor", "timestamp", "ordinal", F.col("z").cast("double").alias("z"))
-    dealt = named.repartition(*KEYS).sortWithinPartitions(*KEYS, "timestamp", "ordinal")
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in named.schema.fields)}, cusum_up double, cusum_down double, ewma double"
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, "timestamp", "ordinal")
+    schema = f"{', '.join(f'{c} {rows.schema[c].dataType.simpleString()}' for c in columns)}, cusum_up double, cusum_down double, ewma double"
     return dealt.mapInArrow(run, schema)
 
 
+def with_chains(named: DataFrame, slack: float, decision: float, weight: float, slice_rows: int) -> DataFrame:
+    """Adds _chain and the state before it: stretches of a series that can be folded side by side. Rows are dealt to
+    ranges of (series, time); what each range's part of a series ends with is known where it doesn't depend on what
+    came before (see Meeting), and the next part then begins a chain. Parts that don't meet, such as ones with few
+    values, lengthen the chain before them."""
+    ranges = max(1, -(-named.count() // slice_rows))
+    dealt = named.repartitionByRange(ranges, *KEYS, "timestamp", "ordinal").withColumn("_range", F.spark_partition_id())
+    dealt = written(dealt, "ranges-of-series")
+    bound = 2 * (dealt.agg(F.max(F.when(~F.isnan("z"), F.abs("z")))).first()[0] or 0.0)
+    at = ("_range", *KEYS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, state, meeting, out = None, None, None, []
+
+        def close() -> None:
+            if part is not None:
+                known = meeting.state()
+                out.append((*part, known is not None, *(known or (None,) * 3), *state))
+
+        for batch in batches:
+            values = floats(batch, "z")
+            for key, i, j in stretches(batch, at):
+                if key != part:
+                    close()
+                    part, state, meeting = key, (0.0, 0.0, None), Meeting(slack, decision, weight, bound)
+                state, _ = fold(state, values[i:j], slack, decision, weight)
+                meeting.take(values[i:j])
+        close()
+        # a row for each series in the task's ranges
+        yield pa.RecordBatch.from_pylist([dict(zip(ends.names, r)) for r in out], schema=ends)
+
+    types = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in at)
+    schema = f"{types}, met boolean, up double, down double, ewma double, first_up double, first_down double, first_ewma double"
+    ends = to_arrow_schema(StructType.fromDDL(schema))
+    parts = written(dealt.select(*at, "timestamp", "ordinal", "z").repartition("_range").sortWithinPartitions(*at, "timestamp", "ordinal").mapInArrow(run, schema), "ends-of-parts")
+    order = W.Window.partitionBy(*KEYS).orderBy("_range")
+    first = F.row_number().over(order) == 1
+    known = parts.withColumns({"_met": first | F.col("met")} | {f"_{c}": F.when(first, F.col(f"first_{c}")).otherwise(F.col(c)) for c in ("up", "down", "ewma")})
+    begins = F.coalesce(F.lag("_met").over(order), F.lit(True))
+    chains = known.withColumns({"_begins": begins.cast("int")} | {f"{c}0": F.lag(c).over(order) for c in ("_up", "_down", "_ewma")})
+    chains = chains.withColumn("_chain", F.sum("_begins").over(order))
+    same = W.Window.partitionBy(*KEYS, "_chain").orderBy("_range")
+    state = {"_up": F.coalesce(F.first("_up0").over(same), F.lit(0.0)), "_down": F.coalesce(F.first("_down0").over(same), F.lit(0.0)), "_ewma": F.first("_ewma0").over(same)}
+    chains = written(chains.select(*at, "_chain", *(x.alias(c) for c, x in state.items())), "chains")
+    return dealt.join(chains.hint("merge"), list(at))
+
+
+def control_charts(z: DataFrame, slack: float = SLACK, decision: float | None = DECISION, weight: float = LAMBDA, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Adds cusum_up, cusum_down and ewma to (turbine_id, timestamp, ordinal, sensor, z). The recursions need each
+    series in order: rows are dealt by series, sorted, and folded as a stream. A series of more than slice_rows rows is
+    folded in chains side by side, with the same numbers to the last bit; without a decision limit an arm has no bound
+    to begin from, and a series stays one stream (see plain_cusum)."""
+    named = z.select("turbine_id", "sensor", "timestamp", "ordinal", F.col("z").cast("double").alias("z"))
+    columns = named.columns
+    longest = 0 if decision is None else named.groupBy(*KEYS).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= slice_rows:
+        return charted(named, columns, slack, decision, weight, False)
+    return charted(with_chains(named, slack, decision, weight, slice_rows), columns, slack, decision, weight, True)
+
+
 def plain_cusum(z: DataFrame, slack: float = SLACK) -> DataFrame:
     """The form without restart needs no recursion: a running sum less its running minimum."""
     past = W.order(*KEYS).rowsBetween(-(2**31) + 1, 0)
@@ -163,7 +266,7 @@ def calibrate_novelty(novel: DataFrame, healthy: DataFrame | None = None) -> Dat
     rows = novel if healthy is None else novel.join(healthy.hint("merge"), ["turbine_id", "timestamp"], "left_semi")
     q = wide_quantiles(rows.filter(F.abs("novelty") < float("inf")), {"q": "novelty"}, [0.95, 0.99])
     low, high = F.col("q")[0], F.col("q")[1]
-    return q.select(F.bround(low, 6).alias("novelty_warning"), F.bround(F.greatest(low, high), 6).alias("novelty_alarm"))
+    return q.select(F.bround(low, 6).alias("novelty_warning"), F.bround(F.greatest(low, high), 6).alias("novelty_alarm")).dropna()
 
 
 #: The table of a calibration: a row for each sensor, and one for the novelty of all.
