@@ -34,3 +34,24 @@ def test_anomaly_matrix_is_whole(spark):
     sql = sql.sort_values(order)
     assert len(got) == len(sql)
     np.testing.assert_allclose(got[list(want)].to_numpy(float), sql[list(want)].to_numpy(float), rtol=1e-6, atol=1e-6, equal_nan=True)
+
+
+def test_physical_columns_are_unclipped(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{DATA}/lineitem.parquet'")
+    wind = "coalesce(wind_speed, 0.0)"
+    want = {f"{c}_above_ambient": f"{c} - ambient_temperature" for c in ("generator_temperature", "gearbox_temperature", "bearing_temperature", "oil_temperature", "nacelle_temperature", "brake_temperature")}
+    want |= {
+        "power_residual": "power_output - ref",
+        "power_ratio": "CASE WHEN ref > 1 THEN power_output / ref END",
+        "generator_rotor_ratio": f"generator_speed / {S.at_least('abs(rotor_speed)', 0.5)}",
+        "vibration_per_load": f"vibration / ({S.at_least('power_output', 0.0)} / 2000.0 + 0.1)",
+        "oil_pressure_per_temperature": f"oil_pressure / {S.at_least('abs(oil_temperature)', 1.0)}",
+    }
+    ref = f"CASE WHEN {wind} >= 3 AND {wind} < 12.5 THEN 2000 * pow(({wind} - 3) / 9.5, 3) WHEN {wind} >= 12.5 AND {wind} <= 25 THEN 2000.0 ELSE 0.0 END"
+    out = registry.queries()["l1_anomaly_features"](spark, DATA)
+    order = ["turbine_id", "ordinal"]
+    assert len([c for c in out.columns if c not in (*order, "timestamp")]) == 130
+    got = out.select(*order, *want).toPandas().sort_values(order)
+    sql = con.execute(f"WITH {S.MACHINES}, x AS (SELECT *, {ref} AS ref FROM m) SELECT turbine_id, ordinal, {', '.join(f'{e} AS {n}' for n, e in want.items())} FROM x").df().sort_values(order)
+    np.testing.assert_allclose(got[list(want)].to_numpy(float), sql[list(want)].to_numpy(float), rtol=1e-6, atol=1e-6, equal_nan=True)

@@ -130,3 +130,16 @@ def test_report_and_penalties_with_novelty(spark, stats):
     one = drift.drift_penalty(report.filter("sensor = 'multivariate' or sensor = 'vibration'").filter("turbine_id = 'A'")).first()["penalty"]
     alone = drift.drift_penalty(report.filter("sensor = 'vibration' and turbine_id = 'A'")).first()["penalty"]
     assert one == alone + drift.NOVELTY_POINTS
+
+
+def test_every_feature_of_the_matrices_has_a_name_to_read(spark):
+    from vanewright.operators import explain
+    from vanewright.operators import features as X
+
+    names = {*X.lags(), *X.rollings(), *X.trends(), *X.interactions(), *X.health_rollings(), *X.health_trends(), *X.physical(), *X.anomaly_physical()}
+    names |= {f"{c}_{x}" for c in drift.SENSORS for x in ("z", "cusum_up", "cusum_down", "signals", "ewma", "exceedance", "mean_exceedance", "max_exceedance", "regime_z", "robust_z", "off_past", "off_median", "rms", "p2p", "crest", "skew", "kurtosis", "fast", "crossings")}
+    rows = spark.createDataFrame([(n,) for n in sorted(names)], "feature string").withColumn("label", explain.feature_label("feature")).collect()
+    assert not [r["feature"] for r in rows if r["label"] == r["feature"].replace("_", " ")]
+    labels = {r["feature"]: r["label"] for r in rows}
+    assert labels["vibration_range_24h"] == "range of vibration over 24 hours" and labels["vibration_off_mean_168h"] == "vibration against its 168 hour mean"
+    assert labels["power_residual"] == "power against the reference curve" and labels["oil_pressure_max_exceedance"] == "most of how far oil pressure is into its alarm band"

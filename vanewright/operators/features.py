@@ -270,15 +270,29 @@ def health_features(frame: DataFrame, sensors=DYNAMIC, steps=int) -> tuple[DataF
     return finalise(out, [n for names in spec.values() for n in names]), spec
 
 
+def anomaly_physical() -> Block:
+    """Where a reading lies for its operating point, unclipped: a detector is to see how far off it is. Wind that is
+    missing counts as none."""
+    c = F.col
+    power, expected = c("power_output"), reference_power(F.coalesce("wind_speed", F.lit(0.0)))
+    return {f"{x}_above_ambient": c(x) - c("ambient_temperature") for x in (*WARM, "brake_temperature")} | {
+        "power_residual": power - expected,
+        "power_ratio": F.when(expected > 1, power / floor_of(expected, 1.0)),
+        "generator_rotor_ratio": c("generator_speed") / floor_of(F.abs("rotor_speed"), 0.5),
+        "vibration_per_load": c("vibration") / (floor_of(power, 0.0) / RATED_POWER + 0.1),
+        "oil_pressure_per_temperature": c("oil_pressure") / floor_of(F.abs("oil_temperature"), 1.0),
+    }
+
+
 def anomaly_features(frame: DataFrame, sensors=DYNAMIC, steps=int) -> tuple[DataFrame, list[str]]:
-    """Raw channels and regimes, rolling means and deviations, differences, slopes, interactions, and z scores within
-    machine and regime."""
+    """Raw channels and regimes, rolling means and deviations, differences, slopes, readings by operating point, and z
+    scores within machine and regime: 130 features of the nine dynamic sensors."""
     block: Block = {c: F.col(c) for c in SENSORS}
     block |= {f"regime_{r}": c for r, c in zip(REGIMES, one_hot("regime", REGIMES))}
     block |= {f"{c}_{s}_{h}h": W.trailing_of(c, steps(h), s) for c in sensors for h in HEALTH_WINDOWS for s in ("mean", "std")}
     block |= {f"{c}_diff_{h}h": W.diff(c, steps(h)) for c in sensors for h in (6, 24)}
     block |= {f"{c}_slope_{h}h": W.trailing_of(c, steps(h), "slope") for c in sensors for h in HEALTH_SLOPES}
-    block |= interactions()
+    block |= anomaly_physical()
     frame = W.with_masked_z(frame, {c: c for c in sensors}, F.col("regime") != "offline", 24, W.ENTITY, "regime", suffix="_regime_z")
     frame = W.with_columns(frame, block)
     names = [*block, *(f"{c}_regime_z" for c in sensors)]

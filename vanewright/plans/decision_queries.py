@@ -389,14 +389,33 @@ def n2(spark, d):
     return explain.attributions(health.latest_per_machine(rows), weights, explain.background(rows, list(_feat)), list(_feat)).withColumn("impact", rounded("impact"))
 
 
-_case = "CASE WHEN regexp_matches(f, '^(.*)_lag_(\\d+)h$') THEN replace(regexp_extract(f, '^(.*)_lag_(\\d+)h$', 1), '_', ' ') || ' ' || regexp_extract(f, '^(.*)_lag_(\\d+)h$', 2) || ' hours ago' WHEN regexp_matches(f, '^status_(.*)$') THEN 'status ' || replace(regexp_extract(f, '^status_(.*)$', 1), '_', ' ') ELSE replace(f, '_', ' ') END"
+def _named(pattern: str, text: str) -> str:
+    """SQL for the text of a name that fits."""
+    out = "'" + text.replace("'", "''") + "'"
+    for i in (0, 1):
+        out = out.replace(f"{{{i}}}", f"' || replace(regexp_extract(f, '{pattern}', {i + 1}), '_', ' ') || '")
+    return out
 
 
-@query("n4_feature_labels", f"WITH {S.EVENTS}, n AS (SELECT DISTINCT 'status_' || operational_status AS f FROM m UNION SELECT DISTINCT 'vibration_lag_' || (k % 24) || 'h' FROM m) SELECT f AS feature, {_case} AS label FROM n")
+_case = f"CASE {' '.join(f'WHEN f = {chr(39)}{n}{chr(39)} THEN {chr(39)}{t}{chr(39)}' for n, t in explain.NAMED.items())} {' '.join(f'WHEN regexp_matches(f, {chr(39)}{p}{chr(39)}) THEN {_named(p, t)}' for p, t in explain.TEMPLATES)} ELSE replace(f, '_', ' ') END"
+# names of features: statistics over hours, and what has no hours
+_spans = ("lag", "mean", "median", "std", "range", "max", "min", "slope", "rate", "change", "diff", "off_mean")
+_whole = ("off_past", "off_median", "off_normal", "robust_z", "regime_z", "z", "cusum_up", "ewma", "signals", "max_exceedance", "exceedance", "above_ambient", "rms", "crossings", "per_load", "of_no_pattern")
+_fixed = tuple(explain.NAMED)[:6]
+
+
+@query("n4_feature_labels", f"""WITH {S.EVENTS}, n AS (SELECT DISTINCT 'status_' || operational_status AS f FROM m
+UNION SELECT DISTINCT 'vibration_' || s || '_' || (k % 24) || 'h' FROM m, {S.values([(x,) for x in _spans], 's').replace(') t(', ') q(')}
+UNION SELECT DISTINCT 'oil_pressure_' || s FROM m, {S.values([(x,) for x in _whole], 's').replace(') t(', ') q(')} UNION SELECT DISTINCT s FROM m, {S.values([(x,) for x in _fixed], 's').replace(') t(', ') q(')}) SELECT f AS feature, {_case} AS label FROM n""")
 def n4(spark, d):
     rows = keyed_events(spark, d)
-    names = rows.select(F.concat(F.lit("status_"), "operational_status").alias("feature")).union(rows.select(F.concat(F.lit("vibration_lag_"), (F.col("k") % 24).cast("string"), F.lit("h")))).distinct()
-    return names.select("feature", explain.feature_label("feature").alias("label"))
+    each = lambda names, made: F.explode(F.transform(F.array(*map(F.lit, names)), made))
+    names = rows.select(F.concat(F.lit("status_"), "operational_status").alias("feature")).distinct()
+    hours = rows.select((F.col("k") % 24).cast("string").alias("h")).distinct()
+    names = names.union(hours.select(each(_spans, lambda s: F.concat(F.lit("vibration_"), s, F.lit("_"), "h", F.lit("h")))))
+    there = rows.limit(1)
+    names = names.union(there.select(each(_whole, lambda s: F.concat(F.lit("oil_pressure_"), s)))).union(there.select(each(_fixed, lambda s: s)))
+    return names.distinct().select("feature", explain.feature_label("feature").alias("label"))
 
 
 _ = (CLASS, INTERACTIONS, POWER, scored)
