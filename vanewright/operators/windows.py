@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import TINY, clip, col, floor_of, ratio
+from .middles import MEDIAN_ROWS, with_long_medians
 
 ENTITY, TIME = "turbine_id", "timestamp"
 #: Rows whose windows are reduced together.
@@ -193,12 +194,17 @@ def past_medians(values: list, state: tuple[list, list], least: int) -> tuple[li
     return medians, spreads
 
 
-def with_medians(frame: DataFrame, columns: dict[str, Column | str], least: int) -> DataFrame:
+def with_medians(frame: DataFrame, columns: dict[str, Column | str], least: int, slice_rows: int = MEDIAN_ROWS) -> DataFrame:
     """Adds _median_<name> and _mad_<name> over strictly earlier rows. A percentile window sorts its whole frame again
     for every row; here each machine's rows pass once, in order, and go into sorted lists, so a task holds the floats
-    of one machine."""
+    of one machine. Where a machine has more than slice_rows rows, all are built in slices (see middles)."""
     names = list(columns)
     inputs = frame.withColumns({f"_in_{n}": col(x).cast("double") for n, x in columns.items()})
+    longest = frame.groupBy(ENTITY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest > slice_rows:
+        long = with_long_medians(inputs, {n: f"_in_{n}" for n in names}, least, slice_rows)
+        long = long.select(*frame.columns, *(f"_{k}_{n}" for n in names for k in ("median", "mad")))
+        return long.repartition(ENTITY).sortWithinPartitions(ENTITY, TIME)  # dealt as below, which callers rely on
     at = inputs.columns.index
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
