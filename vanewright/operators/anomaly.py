@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +16,61 @@ from ..functions.quantiles import quantiles, wide_quantiles
 from ..sources.shared import written
 
 REFERENCE_ROWS, TREES, TREE_ROWS, NEIGHBOURS = 20_000, 250, 256, 35
+#: Strata whose counts may be sent to all tasks.
+SENT_STRATA = 50_000
 WARNING_RATE, ALARM_RATE, LEAST_CALIBRATION = 0.05, 0.01, 20
 
 
+def level_of(sizes: dict[int, int], most_rows: int) -> int:
+    """The least number of rows a stratum such that all strata, each giving no more than it has, give most_rows; the
+    largest size where they have fewer. sizes: how many strata have so many rows."""
+    left, strata, level = most_rows, sum(sizes.values()), 0
+    for size in sorted(sizes):
+        if (size - level) * strata >= left:
+            return level + -(-left // strata)
+        left -= (size - level) * strata
+        strata -= sizes[size]
+        level = size
+    return level
+
+
+def lowest(frame: DataFrame, strata: tuple[str, ...], key: tuple[str, ...], order: Column, level: int) -> DataFrame:
+    """Rows in the first `level` places of their stratum, with _place."""
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy(order, *key))
+    return frame.withColumn("_place", place).filter(F.col("_place") <= level)
+
+
 def reference_sample(frame: DataFrame, strata: tuple[str, ...], key: tuple[str, ...], most_rows: int = REFERENCE_ROWS, seed: int = 42) -> DataFrame:
     """At most so many rows, balanced over strata: rows take their place in their stratum by a hash of the key, and
-    first places of all strata come before second ones."""
+    first places of all strata come before second ones.
+
+    Strata are counted, which says how many places each can give; then a stratum's rows pass only if their hash is low
+    enough that they may be among these, so what is shuffled and ordered is of the sample's size and not the table's.
+    Strata where that let too few through (one key on many rows, say) are ordered whole."""
     order = F.xxhash64(*key, F.lit(seed))
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(order, *key))
-    return frame.withColumn("_place", place).orderBy("_place", order, *key).limit(most_rows).drop("_place")
+    counts = written(frame.groupBy(*strata).agg(F.count("*").alias("_n")), "strata")
+    size = F.least(F.col("_n"), F.lit(most_rows))  # so that no more sizes than most_rows come back
+    sizes = {r["size"]: r["n"] for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()}
+    level = level_of(sizes, most_rows)
+    share = (level + 8 * level**0.5 + 16) / F.col("_n")
+    small = counts.count() <= SENT_STRATA
+
+    def of_strata(rows: DataFrame, table: DataFrame) -> DataFrame:
+        named = table.select(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)), *(c for c in table.columns if c not in strata))
+        same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(strata)))
+        return rows.join(F.broadcast(named) if small else named.hint("merge"), same).drop(*(f"_s{i}" for i in range(len(strata))))
+
+    low = of_strata(frame, counts.withColumn("_share", share)).filter(order / float(1 << 64) + 0.5 <= F.col("_share")).drop("_share", "_n")
+    places = written(lowest(low, strata, key, order, level), "places")
+    given = places.groupBy(*strata).agg(F.count("*").alias("_given")).unionByName(counts.select(*strata, F.lit(0).cast("long").alias("_given")))
+    given = given.groupBy(*strata).agg(F.sum("_given").alias("_given"))
+    short = written(of_strata(given, counts).filter(F.col("_given") < F.least(F.col("_n"), F.lit(level))).select(*strata, F.lit(True).alias("_short")), "short-strata")
+    if not short.isEmpty():
+        whole = lowest(of_strata(frame, short).drop("_short"), strata, key, order, level)
+        named = short.select(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)))
+        same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(strata)))
+        places = places.join(F.broadcast(named) if small else named.hint("merge"), same, "left_anti").unionByName(whole)
+    return places.orderBy("_place", order, *key).limit(most_rows).drop("_place")
 
 
 def path_constant(n: np.ndarray | float) -> np.ndarray:
