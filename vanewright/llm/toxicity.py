@@ -8,9 +8,12 @@ symbols). They are made in Arrow tasks; trees and calibration are fitted and app
 The model is fitted on a bounded sample of labelled rows: the `most_rows` with the least hash of their ids. Four
 fifths grow the trees, one fifth calibrates them (all rows do, where that fifth has fewer than LEAST_HELD of either
 kind). Rows are taken in order of ids into one partition, so that every run fits the same trees. The learned lexicon
-holds the `MOST_WORDS` words of most toxic texts.
+holds every word that marks toxic texts of the sample. Such a word is in at least LEAST_TEXTS of them and in the share
+LEAST_SHARE of them, so there are at most 1 / LEAST_SHARE times as many (50) as a toxic text has distinct words on
+average: a bound that follows from the sample's texts and not from their number.
 
-Defined results: a null text is an empty one, and empty texts have a score too; without labels of both kinds the score
+Defined results: a null text is an empty one, and empty texts have a score too; very long texts are taken whole, each
+alone in its slice; where hashes of ids tie at the edge of the sample, smaller ids are in it; without labels of both kinds the score
 is the share of toxic labels (0 without any); several labels of one document count as toxic if one is; rows that repeat
 an id are each scored; null ids are scored and never learned from; an empty table gives an empty result; other columns
 are ignored.
@@ -33,7 +36,8 @@ MOST_ROWS, TREES, DEPTH, STEP, SEED = 20_000, 20, 4, 0.3, 7
 LEAST_HELD = 10
 #: A learned word is in so many toxic texts (a number, and a share of them), and its share of toxic ones has this lower bound.
 LEAST_TEXTS, LEAST_SHARE, LEAST_BOUND = 5, 0.02, 0.5
-MOST_WORDS, NEAR = 5000, 5
+#: Words between a hit and a pronoun near it.
+NEAR = 5
 #: Common insults and threats.
 INSULTS = (
     "idiot idiots moron morons stupid dumb dumbass trash garbage scum loser losers clown clowns pathetic worthless disgusting "
@@ -168,15 +172,15 @@ def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def learned_lexicon(sample: DataFrame) -> Lexicon:
-    """Words that mark toxic texts, from (text, toxic) rows; equal texts count once. At most MOST_WORDS come to the
-    driver, as a word has to be in a share of all toxic texts."""
+    """Words that mark toxic texts, from (text, toxic) rows; equal texts count once. What comes to the driver is bounded
+    as said above, since a word has to be in a share of all toxic texts."""
     texts = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
     n, t = texts.agg(F.count("*"), F.sum("toxic")).first()
     t = t or 0
     counts = texts.mapInArrow(distinct_words, "code long, toxic int").groupBy("code").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
     share, z = F.col("t") / F.col("n"), 1.96
     bound = (share + z * z / (2 * F.col("n")) - z * F.sqrt((share * (1 - share) + z * z / (4 * F.col("n"))) / F.col("n"))) / (1 + z * z / F.col("n"))
-    rows = counts.filter((F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * t)) & (bound >= LEAST_BOUND)).orderBy(F.desc("t"), "code").limit(MOST_WORDS).collect()
+    rows = counts.filter((F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * t)) & (bound >= LEAST_BOUND)).orderBy(F.desc("t"), "code").collect()
     code = np.array([r["code"] for r in rows], np.int64).view(np.uint64)
     bad, good = np.array([r["t"] for r in rows], float), np.array([r["n"] - r["t"] for r in rows], float)
     return Lexicon(code, np.log((bad + 0.5) / (t + 1)) - np.log((good + 0.5) / (n - t + 1)))
