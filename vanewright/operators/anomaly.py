@@ -18,6 +18,8 @@ from ..sources.shared import written
 REFERENCE_ROWS, TREES, TREE_ROWS, NEIGHBOURS = 20_000, 250, 256, 35
 #: Strata whose counts may be sent to all tasks.
 SENT_STRATA = 50_000
+#: Components beyond this have squares that overflow; pairs of rows measured at a time.
+LARGEST, MEASURED = 1e150, 1 << 14
 WARNING_RATE, ALARM_RATE, LEAST_CALIBRATION = 0.05, 0.01, 20
 
 
@@ -148,37 +150,114 @@ def fit_isolation_forest(frame: DataFrame, features: str, key: str, trees: int =
     return IsolationForest([list(zip(r.feature, r.cut, r.left, r.right, r.size)) for r in grown], min(tree_rows, n))
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows, summed in one order whatever the shapes, so that equal rows are equally far."""
+    return np.sqrt(((a - b) ** 2).sum(-1))
+
+
+def usable(rows: np.ndarray) -> np.ndarray:
+    """Rows whose squared distances are numbers."""
+    return (np.abs(rows) < LARGEST).all(1)
+
+
+class NearestRows:
+    """Exact nearest neighbours among rows of a bounded number.
+
+    Rows belong to the nearest of about sqrt(n) pivots, each of which lies furthest from those before it, and are
+    sorted in their cell by the distance from it. A row at distance r from a query is, by the triangle inequality, at
+    most r nearer to the pivot or further from it than the query is; with r the distance of the k-th nearest row so far,
+    only that ring of each cell is compared. Comparing uses products of matrices, with a bound of their rounding, and
+    what may be among the k nearest is measured again row by row. Equally far rows come in order of their places."""
+
+    def __init__(self, rows: np.ndarray):
+        home, away, pivots = np.zeros(len(rows), int), np.full(len(rows), np.inf), []
+        while len(pivots) < max(len(rows) ** 0.5, 1) and len(rows) and away.max() > 0:
+            at = int(away.argmax())
+            d = distances(rows, rows[at])
+            home[d < away] = len(pivots)
+            away = np.minimum(away, d)
+            pivots.append(at)
+        self.place = np.lexsort((away, home))
+        self.rows, self.away = np.ascontiguousarray(rows[self.place]), away[self.place]
+        self.first = np.searchsorted(home[self.place], np.arange(len(pivots) + 1))
+        self.pivots = rows[pivots]
+        self.square = (self.rows**2).sum(1)
+        self.compared = 0  # distances taken so far, pivots included
+
+    def nearest(self, rows: np.ndarray, k: int, own: bool = False, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """Places and distances of the k nearest rows, nearest first. own: the rows are the table itself, and none is
+        its own neighbour."""
+        near, distance = np.zeros((len(rows), k), int), np.zeros((len(rows), k))
+        square = (rows**2).sum(1)
+        error = 16 * (rows.shape[1] + 4) * np.finfo(float).eps * (square + self.square.max(initial=0))
+        to = np.sqrt(np.maximum(square[:, None] + (self.pivots**2).sum(1) - 2 * rows @ self.pivots.T, 0))
+        self.compared += to.size
+        home = to.argmin(1)
+        order = np.argsort(home, kind="stable")
+        ends = np.searchsorted(home[order], np.arange(len(self.pivots) + 1))
+        for c in range(len(self.pivots)):
+            for i in range(ends[c], ends[c + 1], block):
+                at = order[i : min(i + block, ends[c + 1])]
+                near[at], distance[at] = self.nearest_of(rows[at], square[at], to[at], error[at], k, at if own else None)
+        return near, distance
+
+    def ring(self, cell: int, low: float, high: float) -> np.ndarray:
+        i, j = self.first[cell], self.first[cell + 1]
+        return np.arange(i + np.searchsorted(self.away[i:j], low), i + np.searchsorted(self.away[i:j], high, "right"))
+
+    def nearest_of(self, q: np.ndarray, square: np.ndarray, to: np.ndarray, error: np.ndarray, k: int, own: np.ndarray | None):
+        least, radius = self.away[self.first[:-1]], self.away[self.first[1:] - 1]
+        best, seen = np.full((len(q), k), np.inf), []
+        cells = np.argsort((to - radius).min(0), kind="stable")
+        # the nearest cell, then the next two, four and so on, each time with the rings that are left
+        for n in (1 << np.arange(len(cells).bit_length())) - 1:
+            step = cells[n : 2 * n + 1]
+            reach = (np.sqrt(best[:, -1] + error) + 2 * np.sqrt(error))[:, None]
+            low, high = to[:, step] - reach, to[:, step] + reach
+            meets = (high >= least[step]) & (low <= radius[step])
+            low, high = np.where(meets, low, np.inf).min(0), np.where(meets, high, -np.inf).max(0)
+            at = [self.ring(c, low[i], high[i]) for i, c in enumerate(step) if low[i] <= high[i]]
+            if not at:
+                continue
+            asks, at = np.flatnonzero(meets.any(1)), np.concatenate(at)
+            d = np.maximum(square[asks, None] + self.square[at] - 2 * q[asks] @ self.rows[at].T, 0)
+            self.compared += d.size
+            if own is not None:
+                d[self.place[at] == own[asks, None]] = np.inf
+            a, b = np.nonzero((d <= best[asks, -1:] + 2 * error[asks, None]) & (d < np.inf))
+            seen.append((asks[a], at[b], d[a, b]))
+            best[asks] = np.partition(np.concatenate((best[asks], d), 1), k - 1, axis=1)[:, :k]
+        a, b, d = (np.concatenate(part) for part in zip(*seen))
+        kept = d <= best[a, -1] + 2 * error[a]
+        a, b = a[kept], b[kept]
+        exact = np.concatenate([distances(q[a[i : i + MEASURED]], self.rows[b[i : i + MEASURED]]) for i in range(0, len(a), MEASURED)])
+        order = np.lexsort((self.place[b], exact, a))
+        taken = order[np.searchsorted(a[order], np.arange(len(q)))[:, None] + np.arange(k)]
+        return self.place[b[taken]], exact[taken]
+
+
 class OutlierFactor:
-    """Local outlier factor against a reference of bounded size."""
+    """Local outlier factor against a reference of bounded size. Rows of it with a component that isn't a number are
+    left out; such rows have no score, and none has one where fewer than two reference rows are left."""
 
     def __init__(self, reference: np.ndarray, k: int = NEIGHBOURS):
-        self.x, self.k = reference, min(k, max(len(reference) - 1, 1))
-        self.near, self.distance = self.neighbours(reference, True)
-        self.reach = self.distance[:, -1]
-        self.density = self.local_density(self.near, self.distance)
-
-    def neighbours(self, rows: np.ndarray, own: bool = False, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        near, distance = [], []
-        square = (self.x**2).sum(1)
-        for i in range(0, len(rows), block):
-            part = rows[i : i + block]
-            d = np.maximum((part**2).sum(1)[:, None] + square - 2 * part @ self.x.T, 0)
-            if own:
-                d[np.arange(len(part)), np.arange(i, i + len(part))] = np.inf
-            at = np.argpartition(d, self.k - 1, axis=1)[:, : self.k]
-            order = np.take_along_axis(d, at, 1).argsort(1, kind="stable")
-            at = np.take_along_axis(at, order, 1)
-            near.append(at)
-            distance.append(np.sqrt(np.take_along_axis(d, at, 1)))
-        return np.concatenate(near), np.concatenate(distance)
+        reference = reference[usable(reference)] if reference.ndim == 2 else reference.reshape(0, 0)
+        self.k, self.index = min(k, len(reference) - 1), NearestRows(reference)
+        if self.k > 0:
+            near, distance = self.index.nearest(reference, self.k, True)
+            self.reach = distance[:, -1]
+            self.density = self.local_density(near, distance)
 
     def local_density(self, near: np.ndarray, distance: np.ndarray) -> np.ndarray:
         return 1 / (np.maximum(distance, self.reach[near]).mean(1) + 1e-10)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Mean density of the neighbours over a row's own; larger is more anomalous."""
-        near, distance = self.neighbours(rows)
-        return self.density[near].mean(1) / self.local_density(near, distance)
+        out, at = np.full(len(rows), np.nan), np.flatnonzero(usable(rows))
+        if self.k > 0 and len(at):
+            near, distance = self.index.nearest(rows[at], self.k)
+            out[at] = self.density[near].mean(1) / self.local_density(near, distance)
+        return out
 
 
 def fit_outlier_factor(sample: DataFrame, features: str, k: int = NEIGHBOURS) -> OutlierFactor:
