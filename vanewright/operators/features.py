@@ -172,6 +172,11 @@ def required_rows(hours=(LAGS, WINDOWS, SLOPES, DIFFS), steps=int) -> int:
     return max(steps(h) for group in hours for h in group)
 
 
+def history_status(frame: DataFrame, required: int) -> DataFrame:
+    """(turbine_id, rows, required, enough): whether each machine has the rows that features look back over."""
+    return frame.groupBy(W.ENTITY).agg(F.count("*").alias("rows")).select(W.ENTITY, "rows", F.lit(required).cast("long").alias("required"), (F.col("rows") >= required).alias("enough"))
+
+
 def health_rollings(sensors=CONDITION, hours=HEALTH_WINDOWS, steps=int) -> Block:
     return {f"{c}_{s}_{h}h": W.trailing_of(c, steps(h), s) for c in sensors for h in hours for s in ("mean", "std", "max")}
 

@@ -27,7 +27,12 @@ def executive_summary(scored: DataFrame) -> DataFrame:
 def fleet_table(scored: DataFrame, factors: DataFrame, levels=("medium", "high"), least_p: float = 0.0) -> DataFrame:
     top = factors.filter("rank = 1").select("turbine_id", F.col("feature").alias("top_factor"))
     rows = scored.withColumn("risk", metrics.risk_level("p")).filter(F.col("risk").isin(*levels) & (F.col("p") >= least_p))
-    return rows.join(top, "turbine_id", "left").select("turbine_id", "p", "risk", "top_factor")
+    return rows.join(top.hint("merge"), "turbine_id", "left").select("turbine_id", "p", "risk", "top_factor")
+
+
+def history_with_features(history: DataFrame, features: DataFrame, columns: list[str], key=("turbine_id", "timestamp", "ordinal")) -> DataFrame:
+    """Rows of a history with columns of the matrix beside them, by key; rows that the matrix lacks have nulls."""
+    return history.join(features.select(*key, *columns).hint("merge"), list(key), "left")
 
 
 def time_slice(frame: DataFrame, machine: str, start, end) -> DataFrame:

@@ -124,6 +124,16 @@ def window_violations(flags: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def rule_records(rules: DataFrame, frame: DataFrame) -> DataFrame:
+    """Every rule as a record, with the readings that it watches and those that its warning limit lies below (or above);
+    a rule whose sensor has no reading keeps its record."""
+    watched = to_long(frame).join(F.broadcast(rules.select("sensor", "direction", "warn")), "sensor")
+    past = holds(sign() * (F.col("value") - F.col("warn")) > 0)
+    counts = watched.groupBy("sensor").agg(F.count("value").alias("readings"), F.count_if(past).alias("past_warning"))
+    # one row a sensor
+    return rules.join(F.broadcast(counts), "sensor", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("readings", "past_warning")})
+
+
 def with_limits(frame: DataFrame, rules: DataFrame) -> DataFrame:
     """Sensor history with its limits beside it."""
     return to_long(frame).join(F.broadcast(rules.select("sensor", "unit", "warn", "alarm", "direction")), "sensor")

@@ -41,6 +41,13 @@ ROUGH = (
 )
 
 
+@query("a3_loaded_table", "SELECT event_type, count(*) AS rows, count(*) AS ordinals FROM events GROUP BY 1")
+def a3(spark, d):
+    """A table loaded by its path with its columns checked; every row has an ordinal of its own."""
+    rows = files.load_telemetry(spark, f"{d}/events.parquet", ("event_id", "user_id", "ts", "event_type", "value"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("rows"), F.count_distinct("ordinal").alias("ordinals"))
+
+
 @query("a4_first_rows", f"WITH {S.EVENTS} SELECT turbine_id, ordinal FROM raw QUALIFY row_number() OVER (PARTITION BY turbine_id ORDER BY timestamp, ordinal) <= greatest(600 // (SELECT count(DISTINCT turbine_id) FROM raw), 1)")
 def a4(spark, d):
     e = T.events(spark, d)
@@ -213,3 +220,17 @@ def d10(spark, d):
 def q19(spark, d):
     rows = keyed(spark, d)
     return labels.split_summary(labels.assign_splits(rows, labels.split_bounds(rows)), "failure_event").withColumn("rate", rounded("rate", 6))
+
+
+@query("a6_prepared_outputs", f"WITH {S.MACHINES}, {SPLIT}, f AS (SELECT turbine_id, timestamp, lag(vibration, 6) {S.LAG} AS x FROM m) SELECT split, count(*) AS rows, CAST(sum(failure_event) AS BIGINT) AS positives, count(x) AS known, {S.r('avg(x)')} AS mean_before FROM s JOIN f USING (turbine_id, timestamp) GROUP BY 1")
+def a6(spark, d):
+    """Labelled rows and features, prepared as tables of one key and joined again, by split."""
+    from ..operators import features, models
+    from ..sources.prepared import write_aligned
+
+    rows = keyed(spark, d)
+    labelled = labels.assign_splits(rows, labels.split_bounds(rows)).select("turbine_id", "timestamp", "split", "failure_event")
+    matrix, _ = features.failure_features(rows, ("lag",))
+    made = write_aligned({"labels": labelled, "features": matrix.select("turbine_id", "timestamp", "vibration_lag_6h")})
+    both = models.with_labels(made["features"], made["labels"], "failure_event")
+    return both.groupBy("split").agg(F.count("*").alias("rows"), F.sum("failure_event").cast("long").alias("positives"), F.count("vibration_lag_6h").alias("known"), rounded(F.avg("vibration_lag_6h")).alias("mean_before"))

@@ -385,6 +385,14 @@ def q21(spark, d):
     return rows.groupBy("sensor", "direction", "warn", "alarm").agg(F.count("value").alias("n"), rounded(F.avg("value")).alias("mean"))
 
 
+_limits = ", ".join(f"{c}::DOUBLE AS {c}" for c in ("hard_min", "hard_max", "warn", "alarm", "max_rate", "stuck_tolerance"))
+
+
+@query("h8_rule_records", f"WITH {S.MACHINES}, long AS (UNPIVOT (SELECT {_sensors} FROM m) ON {_sensors} INTO NAME sensor VALUE value), n AS (SELECT sensor, count(value) AS readings, count(*) FILTER (({SIGN}) * (value - warn) > 0) AS past_warning FROM long JOIN {_rules} USING (sensor) GROUP BY 1) SELECT sensor, component, unit, direction, source, {_limits}, coalesce(readings, 0) AS readings, coalesce(past_warning, 0) AS past_warning FROM {_rules} LEFT JOIN n USING (sensor)")
+def h8(spark, d):
+    return R.rule_records(R.rule_table(spark), keyed(spark, d))
+
+
 @query("q22_calibrated_limits", f"WITH {STATS}, {_cal}, e AS (SELECT sensor, ewma_warning FROM cal WHERE ewma_warning > {_lim}) SELECT coalesce(cal.sensor, e.sensor) AS sensor, cal.signals_alarm, e.ewma_warning FROM cal FULL JOIN e ON cal.sensor = e.sensor")
 def q22(spark, d):
     cal = written(drift.calibrate(statistics(spark, d), healthy_rows(spark, d)), "calibration")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.expressions import rounded
 from ..operators import anomaly, explain, fleet, fusion, health, metrics
 from ..operators import features as X
+from ..operators import windows as W
 from ..sources import telemetry as T
 from . import sql as S
 from .cleaning_queries import ID, SPLIT, keyed, keyed_events, labelled_events, _target
 from .condition_queries import CLASS, LATEST, SCORED, latest, scored
 from .feature_queries import INTERACTIONS, POWER
-from .registry import query
+from .registry import ORACLES, query
 
 # scored labels: toxicity labels against a score that depends on the document's length alone
 SCORES = "sc AS (SELECT l.doc_id, l.toxic AS y, l.quality, (d.n_chars % 997) / 997.0 AS p FROM labels l JOIN documents d USING (doc_id))"
@@ -245,6 +246,16 @@ def p8(spark, d):
     return rounded_all(fusion.coverage_status(modules(spark, d)))
 
 
+_weights = " UNION ALL ".join(f"SELECT 'weight' AS kind, '{m}' AS name, {w}::DOUBLE AS value, count({c}) AS machines FROM e4" for (m, w), c in zip(fusion.WEIGHTS.items(), ("failure_probability", "anomaly_score", "health_score")))
+_steps = " UNION ALL ".join(f"SELECT 'action_hours', '{a}', {h or 'NULL'}::DOUBLE, count(*) FILTER (step = {i}) FROM e4" for i, (a, h) in enumerate(fusion.ACTIONS))
+
+
+@query("p10_policy", f"WITH {_ev} {_weights} UNION ALL {_steps}")
+def p10(spark, d):
+    """The policy's weights and deadlines, with the machines that each concerns."""
+    return fusion.policy_in_use(fusion.policy(spark), assessed(spark, d)).select("kind", "name", "value", "machines")
+
+
 @query("q24_evidence_rows", f"WITH {_ev} SELECT turbine_id, 'failure' AS module, {S.r('failure_probability')} AS value, failure_probability IS NOT NULL AS available FROM e4 UNION ALL SELECT turbine_id, 'anomaly', {S.r('anomaly_score')}, anomaly_score IS NOT NULL FROM e4 UNION ALL SELECT turbine_id, 'health', {S.r('health_score')}, health_score IS NOT NULL FROM e4")
 def q24(spark, d):
     return fusion.evidence_rows(assessed(spark, d)).withColumn("value", rounded("value"))
@@ -286,11 +297,15 @@ def q4(spark, d):
     return fleet.time_slice(T.events(spark, d), "7", ntz("2024-01-10"), ntz("2024-01-20")).select(*ID, rounded("vibration").alias("vibration"))
 
 
-@query("q5_last_history", f"WITH {S.MACHINES} SELECT turbine_id, ordinal, {S.r('power_output')} AS power_output FROM m QUALIFY row_number() OVER (PARTITION BY turbine_id ORDER BY timestamp DESC, ordinal DESC) <= 120")
+@query("q5_last_history", f"WITH {S.MACHINES} SELECT turbine_id, ordinal, {S.r('power_output')} AS power_output, {S.r('lag(power_output, 24) ' + S.LAG)} AS power_output_lag_24h, {S.r(S.rolling('vibration', 24, 'mean'))} AS vibration_mean_24h FROM m QUALIFY row_number() OVER (PARTITION BY turbine_id ORDER BY timestamp DESC, ordinal DESC) <= 1200")
 def q5(spark, d):
+    """The last 1,200 rows of every machine with features beside them."""
     from ..operators import nested
 
-    return nested.last_rows(keyed(spark, d), 120).select(*ID, rounded("power_output").alias("power_output"))
+    rows = keyed(spark, d)
+    made = {"power_output_lag_24h": W.lag("power_output", 24), "vibration_mean_24h": W.rolling("vibration", 24, "mean")}
+    out = fleet.history_with_features(nested.last_rows(rows, 1200), X.with_bounded(rows, made, 24), list(made))
+    return out.select(*ID, *(rounded(c).alias(c) for c in ("power_output", *made)))
 
 
 @query("q7_attention", f"WITH {SCORED}, {LATEST} SELECT count(*) FILTER (health_class <> 'healthy') AS needs_attention, {S.r('avg(raw - score)')} AS mean_deduction, {S.r('avg((raw - score > 1e-6)::INT)', 6)} AS share_deducted FROM lt")
@@ -389,6 +404,15 @@ def n2(spark, d):
     return explain.attributions(health.latest_per_machine(rows), weights, explain.background(rows, list(_feat)), list(_feat)).withColumn("impact", rounded("impact"))
 
 
+@query("q3_fleet_table", f"WITH {_probs}, top AS (SELECT turbine_id, feature FROM ({ORACLES['n2_attributions']}) WHERE rank = 1) SELECT turbine_id, {S.r('p')} AS p, CASE WHEN p < 0.65 THEN 'medium' ELSE 'high' END AS risk, feature AS top_factor FROM sp LEFT JOIN top USING (turbine_id) WHERE p >= 0.4")
+def q3(spark, d):
+    """Machines of medium and high risk from 0.4 on, with the factor that moves each most."""
+    rows = keyed(spark, d)
+    weights = spark.createDataFrame([(c, i + 1.0) for i, c in enumerate(_feat)], "feature string, importance double")
+    factors = explain.attributions(health.latest_per_machine(rows), weights, explain.background(rows, list(_feat)), list(_feat))
+    return fleet.fleet_table(machine_scores(spark, d), factors, least_p=0.4).withColumn("p", rounded("p"))
+
+
 def _named(pattern: str, text: str) -> str:
     """SQL for the text of a name that fits."""
     out = "'" + text.replace("'", "''") + "'"

@@ -29,6 +29,11 @@ def listed(block: dict[str, str], places: int = 4) -> str:
 _v = "vibration"
 
 
+@query("a12_required_history", f"WITH {S.MACHINES} SELECT turbine_id, count(*) AS rows, CAST({X.required_rows()} AS BIGINT) AS required, count(*) >= {X.required_rows()} AS enough FROM m GROUP BY 1")
+def a12(spark, d):
+    return X.history_status(keyed(spark, d), X.required_rows())
+
+
 @query("e1_lag", f"WITH {S.EVENTS} SELECT turbine_id, ordinal, {listed({f'lag_{n}': f'lag({_v}, {n}) {S.LAG}' for n in X.LAGS})} FROM m")
 def e1(spark, d):
     return shown(keyed_events(spark, d).withColumns({f"lag_{n}": W.lag(_v, n) for n in X.LAGS}), [f"lag_{n}" for n in X.LAGS])

@@ -72,13 +72,14 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def bucketed(frame: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+def bucketed(frame: DataFrame, label: str, key: str | tuple[str, ...], buckets: int) -> DataFrame:
     """Like written(), as a table bucketed and sorted by a key: tables bucketed alike join on it without a shuffle. The
     frame should come dealt by that key, so that a task writes few buckets."""
     spark = frame.sparkSession
     path = new_path(spark, label)
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    frame.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    columns = [key] if isinstance(key, str) else list(key)
+    frame.write.bucketBy(buckets, *columns).sortBy(*columns).format("parquet").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
