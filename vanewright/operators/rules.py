@@ -3,8 +3,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,14 +54,16 @@ def to_long(frame: DataFrame, sensors=SENSORS, keys=("turbine_id", "timestamp",
     return frame.select(*keys, *(F.col(c).cast("double").alias(c) for c in sensors)).unpivot(list(keys), list(sensors), "sensor", "value")
 
 
-def sign() -> Column:
-    return F.when(F.col("direction") == "high_is_bad", 1.0).otherwise(-1.0)
+def sign(direction: Column | None = None) -> Column:
+    return F.when((F.col("direction") if direction is None else direction) == "high_is_bad", 1.0).otherwise(-1.0)
 
 
-def exceedance(value: Column | str = "value") -> Column:
-    """0 within the envelope, 1 at the alarm limit, linear past it; missing values exceed nothing."""
+def exceedance(value: Column | str = "value", limits: tuple[Column, Column, Column] | None = None) -> Column:
+    """0 within the envelope, 1 at the alarm limit, linear past it; missing values exceed nothing. limits: (direction,
+    warn, alarm), the columns of the rule unless given."""
     v = F.col(value) if isinstance(value, str) else value
-    past = sign() * (v - F.col("warn")) / F.abs(F.col("alarm") - F.col("warn"))
+    direction, warn, alarm = limits or (F.col("direction"), F.col("warn"), F.col("alarm"))
+    past = sign(direction) * (v - warn) / F.abs(alarm - warn)
     return F.when(past > 0, past).when(v.isNotNull(), 0.0)
 
 
@@ -68,23 +73,80 @@ def severity(value: Column | str = "value") -> Column:
     return F.when(holds(sign() * (v - F.col("alarm")) >= 0), "alarm").when(holds(sign() * (v - F.col("warn")) > 0), "warning").otherwise("none")
 
 
+def moves(frame: DataFrame, sensors=SENSORS, stuck_rows: int = STUCK_HOURS, step_hours: float = 1.0, dealt: bool = False) -> DataFrame:
+    """Adds of each sensor what its flags need of earlier rows: _span_<sensor>, the distance of the last rows where all
+    are there, and _rate_<sensor>. Sensors stay side by side, so a row is shuffled once and narrow. `dealt`: the rows
+    are in order by machine and time already."""
+    at = {c: frame.columns.index(c) for c in sensors}
+    owner_at, lead = frame.columns.index(W.ENTITY), max(stuck_rows, 2) - 1
+    names = [f"_{k}_{c}" for c in sensors for k in ("span", "rate")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, before = None, {}
+        for batch in batches:
+            n, extra = batch.num_rows, []
+            if n == 0:
+                continue
+            owner = batch.column(owner_at)
+            codes = owner.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            first = np.concatenate([[True], np.diff(codes) != 0])
+            starts = np.flatnonzero(first)
+            place = np.arange(n) - np.repeat(starts, np.diff([*starts, n]))
+            if machine is not None and owner[0].as_py() == machine[0]:
+                place[: starts[1] if len(starts) > 1 else n] += machine[1]
+            for c, i in at.items():
+                column = batch.column(i).cast(pa.float64())
+                x, there = column.to_numpy(zero_copy_only=False).astype(float), column.is_valid().to_numpy(zero_copy_only=False)
+                past = before.get(c, (np.zeros(lead), np.zeros(lead, bool)))
+                x, there = np.concatenate([past[0], x]), np.concatenate([past[1], there])
+                before[c] = x[-lead:], there[-lead:]
+                seen = np.lib.stride_tricks.sliding_window_view(x, stuck_rows)[-n:]
+                whole = np.lib.stride_tricks.sliding_window_view(there, stuck_rows)[-n:].all(1) & (place >= stuck_rows - 1)
+                with np.errstate(invalid="ignore"):
+                    span, rate = seen.max(1) - seen.min(1), np.abs(x[lead:] - x[lead - 1 : -1]) / step_hours
+                extra += [pa.array(span, mask=~whole), pa.array(rate, mask=~(there[lead:] & there[lead - 1 : -1] & (place > 0)))]
+            machine = owner[n - 1].as_py(), int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
+
+    rows = frame if dealt else frame.repartition(W.ENTITY).sortWithinPartitions(W.ENTITY, W.TIME)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"`{x}` double" for x in names]
+    return rows.mapInArrow(run, ", ".join(fields))
+
+
+def flags_of(stuck_rows: int = STUCK_HOURS) -> dict[str, Column]:
+    """The flags of a reading `value` with its `_span`, `_rate` and `exceedance` beside the limits of its rule."""
+    return {
+        "out_of_range": holds(~F.col("value").between(F.col("hard_min"), F.col("hard_max"))),
+        "warning": holds(F.col("exceedance") > 0),
+        "alarm": holds(F.col("exceedance") >= 1),
+        "stuck": (F.lit(stuck_rows) > 1) & holds(F.col("_span") <= F.col("stuck_tolerance")),
+        "rate": holds(F.col("_rate") > F.col("max_rate")),
+    }
+
+
 def flagged(frame: DataFrame, rules: DataFrame, stuck_rows: int = STUCK_HOURS, step_hours: float = 1.0) -> DataFrame:
     """Long rows with exceedance, severity and the five flags of each sensor's rule."""
-    long = to_long(frame).join(F.broadcast(rules), "sensor")  # a rule for each sensor at most
-    by = ("turbine_id", "sensor")
-    span = W.trailing(stuck_rows, *by)
-    v = F.col("value")
-    still = F.max(v).over(span) - F.min(v).over(span)
-    rate = F.abs(v - F.lag(v, 1).over(W.order(*by))) / step_hours
-    return long.withColumns({"exceedance": exceedance(), "severity": severity()}).withColumns(
-        {
-            "out_of_range": holds(~v.between(F.col("hard_min"), F.col("hard_max"))),
-            "warning": holds(F.col("exceedance") > 0),
-            "alarm": holds(F.col("exceedance") >= 1),
-            "stuck": (F.lit(stuck_rows) > 1) & (F.count(v).over(span) == stuck_rows) & holds(still <= F.col("stuck_tolerance")),
-            "rate": holds(rate > F.col("max_rate")),
-        }
-    )
+    keys = ("turbine_id", "timestamp", "ordinal")
+    wide = moves(frame.select(*keys, *SENSORS), SENSORS, stuck_rows, step_hours)
+    stacked = F.array(*(F.struct(F.lit(c).alias("sensor"), F.col(c).cast("double").alias("value"), F.col(f"_span_{c}").alias("_span"), F.col(f"_rate_{c}").alias("_rate")) for c in SENSORS))
+    long = wide.select(*keys, F.inline(stacked)).join(F.broadcast(rules), "sensor")  # a rule for each sensor at most
+    return long.withColumns({"exceedance": exceedance(), "severity": severity()}).withColumns(flags_of(stuck_rows)).drop("_span", "_rate")
+
+
+def with_row_flags(frame: DataFrame, rules=RULES, stuck_rows: int = STUCK_HOURS, step_hours: float = 1.0, dealt: bool = False) -> DataFrame:
+    """Adds <sensor>_exceedance of every rule, and warnings, alarms and invalid as row_flags() counts them; rows stay as
+    wide as they are, and nothing is stacked or grouped."""
+    sensors = tuple(r[0] for r in rules)
+    limits = {r[0]: tuple(map(F.lit, (r[5], r[6], r[7]))) for r in rules}
+    out = moves(frame, sensors, stuck_rows, step_hours, dealt).withColumns({f"{c}_exceedance": exceedance(F.col(c).cast("double"), limits[c]) for c in sensors})
+    counts = {"warnings": [], "alarms": [], "invalid": []}
+    for r in rules:
+        c, e = r[0], F.col(f"{r[0]}_exceedance")
+        outside = holds(~F.col(c).cast("double").between(r[3], r[4]))
+        stuck = (F.lit(stuck_rows) > 1) & holds(F.col(f"_span_{c}") <= r[9])
+        for name, flag in (("warnings", holds(e > 0)), ("alarms", holds(e >= 1)), ("invalid", outside | stuck | holds(F.col(f"_rate_{c}") > r[8]))):
+            counts[name].append(flag.cast("double"))
+    return out.withColumns({n: reduce(lambda a, b: a + b, flags) for n, flags in counts.items()}).drop(*(f"_{k}_{c}" for c in sensors for k in ("span", "rate")))
 
 
 def flag_counts(flags: DataFrame) -> DataFrame:
@@ -116,12 +178,14 @@ def window_violations(flags: DataFrame) -> DataFrame:
     """(turbine_id, sensor, kind, share): the last row's severity with the share of rows at that level, and validity
     checks that fired anywhere."""
     by = flags.groupBy("turbine_id", "sensor").agg(
-        F.max_by("severity", "timestamp").alias("severity"), F.count("*").alias("n"), F.count_if("warning").alias("warnings"), F.count_if("alarm").alias("alarms"), *(F.count_if(c).alias(c) for c in ("out_of_range", "stuck", "rate"))
+        F.max_by(F.when(F.col("severity") == "alarm", 2).when(F.col("severity") == "warning", 1).otherwise(0), "timestamp").alias("severity"), F.count("*").alias("n"), F.count_if("warning").alias("warnings"), F.count_if("alarm").alias("alarms"), *(F.count_if(c).alias(c) for c in ("out_of_range", "stuck", "rate"))
     )
+    # a text in an aggregate's buffer would have all rows sorted
+    by = by.withColumn("severity", F.when(F.col("severity") == 2, "alarm").when(F.col("severity") == 1, "warning").otherwise("none"))
     level = F.when(F.col("severity") == "alarm", F.col("alarms")).otherwise(F.col("warnings"))
-    parts = [by.filter("severity <> 'none'").select("turbine_id", "sensor", F.col("severity").alias("kind"), (level / F.col("n")).alias("share"))]
-    parts += [by.filter(F.col(c) > 0).select("turbine_id", "sensor", F.lit(c).alias("kind"), (F.col(c) / F.col("n")).alias("share")) for c in ("out_of_range", "stuck", "rate")]
-    return reduce(DataFrame.unionByName, parts)
+    kinds = [F.struct(F.col("severity").alias("kind"), (level / F.col("n")).alias("share"), (F.col("severity") != "none").alias("_fired"))]
+    kinds += [F.struct(F.lit(c).alias("kind"), (F.col(c) / F.col("n")).alias("share"), (F.col(c) > 0).alias("_fired")) for c in ("out_of_range", "stuck", "rate")]
+    return by.select("turbine_id", "sensor", F.inline(F.array(*kinds))).filter("_fired").drop("_fired")
 
 
 def rule_records(rules: DataFrame, frame: DataFrame) -> DataFrame:
