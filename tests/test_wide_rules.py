@@ -32,3 +32,14 @@ def test_wide_counts_equal_the_long_ones(spark):
     names = ("turbine_id", "ordinal", "warnings", "alarms", "invalid")
     wide = rules.with_row_flags(toy(spark)).select("turbine_id", "ordinal", *(F.col(c).cast("long") for c in names[2:]))
     assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, rules.row_flags(rules.flagged(toy(spark), rules.rule_table(spark))).select(*names).collect()))
+
+
+def test_health_matrix_shuffles_telemetry_and_not_the_matrix(spark):
+    from vanewright.operators import features, regimes
+    from vanewright.sources.telemetry import SENSORS
+
+    frame = toy(spark).withColumns({c: F.lit(5.0) for c in SENSORS if c not in rules.SENSORS}).withColumn("operational_status", F.lit("normal"))
+    matrix, spec = features.health_features(regimes.with_regime(frame))
+    plan = matrix._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert "vibration_mean_exceedance" in spec["rule"] and "vibration_signals" in spec["drift"]
