@@ -64,3 +64,25 @@ def test_trailing_statistics_of_no_rows(spark):
     frame = spark.createDataFrame([], "turbine_id string, timestamp long, x double")
     assert W.with_trailing(frame, {"m": W.trailing_of("x", 3, "mean")}).columns == ["turbine_id", "timestamp", "x", "m"]
     assert W.with_trailing(frame, {"m": W.trailing_of("x", 3, "mean")}).count() == 0
+
+
+def test_work_of_a_value_grows_with_the_logarithm_of_the_window():
+    """A window of a thousand rows over 20,000 values takes some twenty passes, not a thousand."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random(20_000) < 0.2, np.nan, 1e6 + rng.random(20_000))
+    joins, plain = [], W.joined
+    try:
+        W.joined = lambda *a: joins.append(1) or plain(*a)
+        made = dict(W.trailing_moments(x, {1000: {"std", "slope", "mean", "max"}, 24: {"min"}}))
+    finally:
+        W.joined = plain
+    assert len(joins) <= 20 and set(made) == {1000, 24}
+    got = W.trailing_statistics(x, made[1000], {"std", "slope", "mean", "max"})
+    for t in (5, 999, 1000, 12_345, 19_999):
+        seen = x[max(0, t - 999) : t + 1]
+        places = np.flatnonzero(~np.isnan(seen))
+        values = seen[places]
+        assert math.isclose(got["mean"][t], values.mean(), rel_tol=1e-14) and math.isclose(got["std"][t], values.std(ddof=1), rel_tol=1e-9) and got["max"][t] == values.max()
+        assert math.isclose(got["slope"][t], np.polyfit(places - places.mean(), values - values.mean(), 1)[0], rel_tol=1e-6, abs_tol=1e-12)
