@@ -155,6 +155,23 @@ def test_bpe_merges_chunks_until_joins_hold():
         assert b"".join(decoded).decode() == memory.tok.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_encodes_a_word_once_and_as_the_library(docs):
+    memory = bpe.Memory(bpe.vocabulary_path(), most_word_bytes=1000)
+    assert memory.apart
+    asked, by_library = [], memory.tok.encode_batch_fast
+    memory.tok = type("Counted", (), {"encode_batch_fast": lambda self, texts, **more: asked.extend(texts) or by_library(texts, **more), "decode_batch": memory.tok.decode_batch})()
+    odd = ["It's don't, 'tis 'S x'LL", "a<|endoftext|>b <|ENDOFTEXT|> <|endoftext", "J\u030ca J\u030c'\u030c A\u030a!\u0301 \u0301", "\u03a3\u0391\u03a3. \u0130, \u01c5; \u3000 x\u3000\x1cy\x85z", "a\x0bb\x0c!\r\n1,2", "", " \t", "x" * 5000 + "!" * 300]
+    texts = [t.encode() for t in dict.fromkeys([*odd, *(t for _, t in corpus() if t)])]
+    whole = bpe.Memory(bpe.vocabulary_path()).encoded(texts)
+    for _ in range(2):  # the second time from words that are kept, or learnt anew
+        assert memory.encoded_by_words(texts) == whole
+        assert [memory.encoded_by_words([t])[0] for t in texts] == whole
+    memory.forget_words()
+    asked.clear()
+    memory.learn([b"wind turbine, wind", b"turbine wind; wind"])
+    assert sorted(asked) == [",", ";", "turbine", "wind"]  # before, whole chunks were encoded
+
+
 def test_substring_dedup_by_brute_force(docs):
     texts = {i: words(t) for i, t in corpus()}
     first = {}

@@ -3,9 +3,11 @@
 A text is cut into chunks where a rolling hash over its last words meets a condition, so that passages shared by
 documents fall into the same chunks wherever they stand. A worker encodes each distinct chunk once, as a whole, and
 keeps its tokens and decoded text in a memory of bounded size, by the chunk's bytes, over all slices and tasks that it
-runs. Documents are put together from their chunks. At every join the words that meet are encoded together: where that
-differs from what the two chunks give there, the chunks are merged, encoded as one, and the joins of the merged chunk are
-looked at in turn, until all agree (at the latest when the text is one chunk).
+runs. Where the vocabulary never looks over ASCII white space, a new chunk is put together from its distinct words, which
+a second memory keeps; else it is encoded as one text. Documents are put together from their chunks. At every join the
+words that meet are encoded together: where that differs from what the two chunks give there, the chunks are merged,
+encoded as one, and the joins of the merged chunk are looked at in turn, until all agree (at the latest when the text is
+one chunk).
 
 Chunks are cut at ASCII white space. Sharing is within a worker (bounded memory, nothing shuffled): sending tokens of
 chunks between executors would move more bytes than the texts hold.
@@ -18,6 +20,8 @@ result; other columns are ignored. A text of one very long word is one chunk.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +36,14 @@ from .tables import text_of
 #: Words of a chunk on average (a power of two), words that the rolling hash looks at, and bytes kept in memory (each
 #: chunk's text, tokens and decoded text; as many again for joins and words, by number).
 CHUNK_WORDS, HASH_WORDS, MEMORY_BYTES, MEMORY_JOINS = 64, 4, 96 << 20, 400_000
+#: Bytes of words and their tokens that a worker keeps, with what Python needs for each word.
+WORD_BYTES, ENTRY_BYTES = 80 << 20, 160
 VOCABULARY = "word_bpe_49k.json"
+#: The pattern of vocabularies whose parts hold no white space.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER, _MARK = np.zeros((2, 256), bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -52,11 +63,36 @@ def tokenizer(path: str):
     return made
 
 
-class Memory:
-    """Tokens and decoded text of chunks, and what is known of joins; each part starts anew when it is full."""
+def words_apart(made) -> bool:
+    """Whether words between ASCII white space are encoded alike whatever stands around them: parts of text hold no
+    white space, the normalizer changes single characters (or composes them, never with white space), and tokens are
+    decoded with a space between them."""
+    parts = json.loads(made.to_str())
+    steps = (parts.get("normalizer") or {}).get("normalizers", [])
+    known = all(n["type"] in ("NFC", "Lowercase") or n == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} for n in steps)
+    split = {"type": "Split", "pattern": {"Regex": PARTS}, "behavior": "Removed", "invert": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    known = known and parts.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [split, level]}
+    known = known and parts["model"].get("type") == "BPE" and parts["model"].get("dropout") is None and parts.get("decoder") is None and parts.get("post_processor") is None
+    if not known or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] for t in parts.get("added_tokens", ())):
+        return False
+    ids = lambda text: made.encode(text, add_special_tokens=False).ids
+    every = range(made.get_vocab_size())
+    if made.decode(list(every), skip_special_tokens=False) != " ".join(map(made.id_to_token, every)):
+        return False
+    return all(ids(f"{x}{chr(gap)}{x}") == 2 * ids(x) for gap in np.flatnonzero(K.SEPARATORS) for x in ("a", "1", "!", "'"))
+
 
-    def __init__(self, path: str, most_bytes: int = MEMORY_BYTES, most_joins: int = MEMORY_JOINS):
-        self.tok, self.most_bytes, self.most_joins = tokenizer(path), most_bytes, most_joins
+class Memory:
+    """Tokens and decoded text of chunks and of words, and what is known of joins; each part starts anew when it is full."""
+
+    def __init__(self, path: str, most_bytes: int = MEMORY_BYTES, most_joins: int = MEMORY_JOINS, most_word_bytes: int = WORD_BYTES):
+        self.tok, self.most_bytes, self.most_joins, self.most_word_bytes = tokenizer(path), most_bytes, most_joins, most_word_bytes
+        self.apart = words_apart(self.tok)
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        tokens = [f"{self.tok.id_to_token(i)} ".encode() for i in range(self.tok.get_vocab_size())] if self.apart else []
+        self.token_bytes, self.token_ends = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum([0, *map(len, tokens)])
+        self.forget_words()
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
         self.joins: dict[tuple[bytes, bytes, bytes], bytes | None] = {}
@@ -68,12 +104,65 @@ class Memory:
         decoded = self.tok.decode_batch(ids, skip_special_tokens=False)
         return [(np.array(i, "<u4").tobytes(), d.encode()) for i, d in zip(ids, decoded)]
 
+    def forget_words(self) -> None:
+        """Numbers of words; the tokens of word i are ids[ends[i] : ends[i + 1]]."""
+        self.number: dict[bytes, int] = {}
+        self.ids, self.ends, self.word_bytes = np.zeros(0, "<u4"), np.zeros(1, np.int64), 0
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of these distinct words; new ones are encoded."""
+        if self.word_bytes > self.most_word_bytes:
+            self.forget_words()
+        new = [w for w in words if w not in self.number]
+        if new:
+            ids = [x.ids for x in self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.ids = np.concatenate((self.ids, np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(lengths.sum()))))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(lengths)))
+            self.word_bytes += sum(map(len, new)) + 4 * int(lengths.sum()) + ENTRY_BYTES * len(new)
+        return np.fromiter((self.number[w] for w in words), np.int64, len(words))
+
+    def encoded_by_words(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """What encoded() gives, each text put together from its words, which are cut once more where a mark follows a
+        letter. A text with the string of a special token is encoded as one."""
+        data = b"".join(texts)
+        if any(x in data for x in self.special):
+            whole = [t for t in texts if any(x in t for x in self.special)]
+            if whole:
+                found = dict(zip(whole, self.encoded(whole)))
+                rest = [t for t in texts if t not in found]
+                found.update(zip(rest, self.encoded_by_words(rest)))
+                return [found[t] for t in texts]
+        buf = np.frombuffer(data, np.uint8)
+        where = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+        s, e, _ = K.words(buf, where)
+        if not len(s):
+            return [(b"", b"")] * len(texts)
+        cut = np.flatnonzero(_LETTER[buf[:-1]] & _MARK[buf[1:]]) + 1
+        start, end = np.zeros((2, len(buf) + 1), bool)
+        start[s] = start[cut] = end[e] = end[cut] = True
+        s, e = np.flatnonzero(start), np.flatnonzero(end)
+        # words and what is between them lie end to end; every second one is a word
+        bounds = np.stack((s, e), 1).ravel().astype(np.int64)
+        spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        coded = spans.take(pa.array(np.arange(0, len(bounds), 2))).dictionary_encode()
+        word = self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        n = self.ends[word + 1] - self.ends[word]
+        ids = self.ids[K.ragged(self.ends[word], n)]
+        size = self.token_ends[ids + 1] - self.token_ends[ids]
+        decoded = self.token_bytes[K.ragged(self.token_ends[ids], size)].tobytes()
+        at = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(s, where)]
+        to = np.concatenate(([0], np.cumsum(size)))[at].tolist()
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        return [(raw[a:b], decoded[c : max(c, d - 1)]) for a, b, c, d in zip(at, at[1:], to, to[1:])]
+
     def learn(self, texts: list[bytes]) -> None:
         """See to it that all these chunks are kept."""
         new = [t for t in dict.fromkeys(texts) if t not in self.chunks]
-        if self.bytes > self.most_bytes:
+        if new and self.bytes > self.most_bytes:
             self.chunks, self.bytes, new = {}, 0, list(dict.fromkeys(texts))
-        for t, (ids, decoded) in zip(new, self.encoded(new)):
+        for t, (ids, decoded) in zip(new, (self.encoded_by_words if self.apart else self.encoded)(new) if new else ()):
             self.chunks[t] = ids, decoded
             self.bytes += len(t) + len(ids) + len(decoded)
 
@@ -83,6 +172,8 @@ class Memory:
         if len(self.joins) + len(self.words) > self.most_joins:
             self.joins, self.words = {}, {}
         new = [k for k in dict.fromkeys(keys) if k not in self.joins]
+        if not new:
+            return
         words = [w for w in dict.fromkeys(w for a, _, b in new for w in (a, b)) if w not in self.words]
         self.words.update(zip(words, self.encoded(words)))
         for k, (ids, decoded) in zip(new, self.encoded([b"".join(k) for k in new])):
