@@ -112,6 +112,29 @@ def test_limits_come_from_healthy_rows_and_survive_keeping(spark, stats, tmp_pat
         drift.calibrate(stats, healthy, 201)  # 200 rows of telemetry, whatever the number of sensors
 
 
+def test_marked_rows_calibrate_as_a_table_of_keys(spark, monkeypatch):
+    """A mark is carried with the rows, whether machines pass whole or not; charts are made once for count and limits."""
+    rng = random.Random(9)
+    rows = [(t, START + timedelta(hours=i), i, *(rng.gauss(50, 5) for _ in drift.SENSORS), i % 3 == 0) for t in "AB" for i in range(300)]
+    frame = spark.createDataFrame(rows, f"turbine_id string, timestamp timestamp, ordinal long, {', '.join(f'{c} double' for c in drift.SENSORS)}, good boolean")
+    keys = frame.filter("good").select("turbine_id", "timestamp")
+    shown = lambda out: sorted(map(str, out.collect()))
+    want, wanted = None, None
+    for most in (500, 100):
+        made = drift.drift_statistics(frame, F.lit(True), slice_rows=most, carry=("good",))
+        calls = spark.sparkContext.accumulator(0)
+        counted = made.mapInArrow(lambda batches: (calls.add(b.num_rows) or b for b in batches), made.schema)
+        limits = shown(drift.calibrate(counted, "good", 200))
+        assert calls.value == 600 * len(drift.SENSORS)  # made twice before
+        assert limits == shown(drift.calibrate(made, keys, 200)) and limits == (want := want or limits)
+        stats, complete = drift.statistics_and_residuals(frame, F.lit(True), slice_rows=most, carry=("good",))
+        assert shown(stats.select(*made.columns)) == shown(made)
+        assert shown(complete) == shown(drift.complete_residuals(made, carry=("good",))) and len(shown(complete)) > 400
+        assert shown(complete) == (wanted := wanted or shown(complete))
+        with pytest.raises(drift.TooFewHealthyRows):
+            drift.calibrate(made, "good", 201)
+
+
 def test_report_and_penalties_with_novelty(spark, stats):
     last = START + timedelta(hours=199)
     novel = spark.createDataFrame([("A", last, 0.9), ("A", START, 0.99), ("B", last, 0.7), ("B", START, None)], "turbine_id string, timestamp timestamp, novelty double")
