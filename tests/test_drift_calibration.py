@@ -135,6 +135,14 @@ def test_marked_rows_calibrate_as_a_table_of_keys(spark, monkeypatch):
             drift.calibrate(made, "good", 201)
 
 
+def test_the_report_reads_statistics_once(spark, stats):
+    calls = spark.sparkContext.accumulator(0)
+    counted = stats.mapInArrow(lambda batches: (calls.add(b.num_rows) or b for b in batches), stats.schema)
+    novel = spark.createDataFrame([("A", START + timedelta(hours=199), 0.9)], "turbine_id string, timestamp timestamp, novelty double")
+    methods = {r["method"] for r in drift.drift_report(counted, None, novel=novel).collect()}
+    assert methods == {"ewma", "cusum", "isolation_forest"} and calls.value == stats.count()  # three times before
+
+
 def test_report_and_penalties_with_novelty(spark, stats):
     last = START + timedelta(hours=199)
     novel = spark.createDataFrame([("A", last, 0.9), ("A", START, 0.99), ("B", last, 0.7), ("B", START, None)], "turbine_id string, timestamp timestamp, novelty double")
