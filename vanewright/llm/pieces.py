@@ -24,6 +24,9 @@ from .bpe import tokenizer
 
 #: Bytes of pieces and tokens that a worker keeps, with what Python needs for each piece.
 MEMORY_BYTES, ENTRY_BYTES = 128 << 20, 160
+#: Pieces that the library encodes as one text, where each begins with white space and ends with an ASCII mark, letter or
+#: digit: between such pieces parts end, whatever they are.
+JOINED = 64
 #: Bytes of text that are cut into pieces at a time (a longer text is taken alone).
 SLICE_BYTES = 4 << 20
 
@@ -34,6 +37,7 @@ _KIND[[9, 10, 11, 12, 13, 32]] = 1
 _KIND[48:58] = 3
 _KIND[65:91] = _KIND[97:123] = 2
 _KIND[128:] = 5
+_KINDS = _KIND.tobytes()
 
 
 def piece_starts(buf: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -67,6 +71,8 @@ class PieceEncoder:
         self.made, self.most_bytes = tokenizer(path), most_bytes
         self.whole = whole_only(self.made)
         self.special = [t.content.encode() for t in self.made.get_added_tokens_decoder().values()]
+        token = [self.made.id_to_token(i) for i in range(self.made.get_vocab_size())]
+        self.token_bytes = np.array([len(x or "") for x in token], np.int64)  # a byte is a character of a token's name
         self.kept: dict[bytes, bytes] = {}
         self.bytes = 0
 
@@ -77,14 +83,31 @@ class PieceEncoder:
         ends = np.cumsum([4 * len(x) for x in ids]).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
+    def by_joining(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Tokens of distinct pieces, many encoded as one text; alone where their ends shouldn't be ends of tokens."""
+        apart = [p for p in pieces if _KINDS[p[0]] == 1 and 2 <= _KINDS[p[-1]] <= 4]
+        groups = [apart[i : i + JOINED] for i in range(0, len(apart), JOINED)]
+        texts = [b"".join(g) for g in groups]
+        found = {}
+        for group, text, ids in zip(groups, texts, self.by_library(texts)):
+            ends = np.cumsum(self.token_bytes[np.frombuffer(ids, "<u4")])
+            want = list(itertools.accumulate(map(len, group)))
+            at = np.searchsorted(ends, want)
+            if len(ends) and ends[-1] == want[-1] and (ends[at] == want).all() and not any(s in text for s in self.special):
+                to = (4 * at + 4).tolist()
+                found.update(zip(group, (ids[a:b] for a, b in zip([0, *to], to))))
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self.by_library(rest)))
+        return found
+
     def tokens_of(self, pieces: list[bytes]) -> list[bytes]:
         new = [p for p in pieces if p not in self.kept]
         if new:
             if self.bytes > self.most_bytes:
                 self.kept, self.bytes, new = {}, 0, pieces
-            for p, ids in zip(new, self.by_library(new)):
-                self.kept[p] = ids
-                self.bytes += len(p) + len(ids) + ENTRY_BYTES
+            found = self.by_joining(new)
+            self.kept.update(found)
+            self.bytes += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
         return [self.kept[p] for p in pieces]
 
     def encoded(self, buf: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
