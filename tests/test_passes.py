@@ -66,3 +66,12 @@ def test_medians_and_trailing_statistics_in_one_pass(spark, small_batches):
     assert in_python(one) == 1 and in_python(two) == 2 and one.columns == two.columns == cut.columns
     key = lambda f: sorted(map(tuple, f.collect()), key=lambda r: r[:2])
     assert key(one) == key(two) == key(cut)
+
+
+def test_health_matrix_goes_to_python_once(spark, small_batches):
+    """A task of the whole matrix has one Python process, not one for each kind of statistics."""
+    from vanewright.operators import regimes
+
+    matrix, spec = X.health_features(regimes.with_regime(telemetry(spark)))
+    assert in_python(matrix) == 1 and sum(map(len, spec.values())) == 239 and matrix.count() == 180
+    assert not [c for c in matrix.columns if c.startswith("_")]

@@ -240,20 +240,17 @@ def with_signals(charts: DataFrame, decision: float = DECISION, rows: int = WIND
 CHARTS = ("cusum_up", "cusum_down", "ewma", "signals")
 
 
-def with_charts(rows: DataFrame, series: dict[str, str], slack: float = SLACK, decision: float = DECISION, weight: float = LAMBDA, window: int = WINDOW) -> DataFrame:
-    """Adds <name>_cusum_up, _cusum_down, _ewma and _signals for each of `series` (name: column of residuals), as
-    control_charts() and with_signals() have them. Rows come in order by machine and time; all series of a machine pass
-    together, so they are neither stacked nor shuffled again. A task holds one batch and a window."""
-    at = {n: rows.columns.index(c) for n, c in series.items()}
-    owner_at = rows.columns.index(W.ENTITY)
+def charts_pass(series: dict[str, str], slack: float = SLACK, decision: float = DECISION, weight: float = LAMBDA, window: int = WINDOW) -> W.Pass:
+    """<name>_cusum_up, _cusum_down, _ewma and _signals for each of `series` (name: column of residuals), as
+    control_charts() and with_signals() have them. It holds one batch and a window."""
     names = [f"{n}_{c}" for n in series for c in CHARTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, state, past = None, {}, {}
         for batch in batches:
-            owner = batch.column(owner_at)
+            owner = batch.column(W.ENTITY)
             made = {n: ([], [], [], []) for n in series}
-            values = {n: batch.column(i).to_numpy(zero_copy_only=False).astype(float) for n, i in at.items()}
+            values = {n: floats(batch, c) for n, c in series.items()}
             codes = owner.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)] if len(codes) else [0]
             for i, j in zip(cuts[:-1], cuts[1:]):
@@ -267,11 +264,15 @@ def with_charts(rows: DataFrame, series: dict[str, str], slack: float = SLACK, d
                     past[n] = crossed[len(crossed) - window + 1 :]
                     for have, new in zip(made[n], (ups, downs, means, (total[window:] - total[:-window]).tolist())):
                         have += new
-            extra = [pa.array(x, pa.float64()) for n in series for x in made[n]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
+            yield W.with_added(batch, dict(zip(names, (pa.array(x, pa.float64()) for n in series for x in made[n]))))
+
+    return W.Pass(names, run)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"`{n}` double" for n in names]
-    return rows.mapInArrow(run, ", ".join(fields))
+
+def with_charts(rows: DataFrame, series: dict[str, str], slack: float = SLACK, decision: float = DECISION, weight: float = LAMBDA, window: int = WINDOW) -> DataFrame:
+    """Adds what charts_pass() makes. Rows come in order by machine and time; all series of a machine pass together, so
+    they are neither stacked nor shuffled again."""
+    return W.with_passes(rows, [charts_pass(series, slack, decision, weight, window)])
 
 
 def longest_machine(frame: DataFrame) -> int:

@@ -73,12 +73,10 @@ def severity(value: Column | str = "value") -> Column:
     return F.when(holds(sign() * (v - F.col("alarm")) >= 0), "alarm").when(holds(sign() * (v - F.col("warn")) > 0), "warning").otherwise("none")
 
 
-def moves(frame: DataFrame, sensors=SENSORS, stuck_rows: int = STUCK_HOURS, step_hours: float = 1.0, dealt: bool = False) -> DataFrame:
-    """Adds of each sensor what its flags need of earlier rows: _span_<sensor>, the distance of the last rows where all
-    are there, and _rate_<sensor>. Sensors stay side by side, so a row is shuffled once and narrow. `dealt`: the rows
-    are in order by machine and time already."""
-    at = {c: frame.columns.index(c) for c in sensors}
-    owner_at, lead = frame.columns.index(W.ENTITY), max(stuck_rows, 2) - 1
+def moves_pass(sensors=SENSORS, stuck_rows: int = STUCK_HOURS, step_hours: float = 1.0) -> W.Pass:
+    """Of each sensor what its flags need of earlier rows: _span_<sensor>, the distance of the last rows where all are
+    there, and _rate_<sensor>."""
+    lead = max(stuck_rows, 2) - 1
     names = [f"_{k}_{c}" for c in sensors for k in ("span", "rate")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,16 +85,15 @@ def moves(frame: DataFrame, sensors=SENSORS, stuck_rows: int = STUCK_HOURS, step
             n, extra = batch.num_rows, []
             if n == 0:
                 continue
-            owner = batch.column(owner_at)
+            owner = batch.column(W.ENTITY)
             codes = owner.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
             first = np.concatenate([[True], np.diff(codes) != 0])
             starts = np.flatnonzero(first)
             place = np.arange(n) - np.repeat(starts, np.diff([*starts, n]))
             if machine is not None and owner[0].as_py() == machine[0]:
                 place[: starts[1] if len(starts) > 1 else n] += machine[1]
-            for c, i in at.items():
-                column = batch.column(i).cast(pa.float64())
-                x, there = column.to_numpy(zero_copy_only=False).astype(float), column.is_valid().to_numpy(zero_copy_only=False)
+            for c in sensors:
+                x, there = W.floats(batch, c), batch.column(c).is_valid().to_numpy(zero_copy_only=False)
                 past = before.get(c, (np.zeros(lead), np.zeros(lead, bool)))
                 x, there = np.concatenate([past[0], x]), np.concatenate([past[1], there])
                 before[c] = x[-lead:], there[-lead:]
@@ -106,11 +103,16 @@ def moves(frame: DataFrame, sensors=SENSORS, stuck_rows: int = STUCK_HOURS, step
                     span, rate = seen.max(1) - seen.min(1), np.abs(x[lead:] - x[lead - 1 : -1]) / step_hours
                 extra += [pa.array(span, mask=~whole), pa.array(rate, mask=~(there[lead:] & there[lead - 1 : -1] & (place > 0)))]
             machine = owner[n - 1].as_py(), int(place[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
+            yield W.with_added(batch, dict(zip(names, extra)))
+
+    return W.Pass(names, run)
 
+
+def moves(frame: DataFrame, sensors=SENSORS, stuck_rows: int = STUCK_HOURS, step_hours: float = 1.0, dealt: bool = False) -> DataFrame:
+    """Adds what moves_pass() makes. Sensors stay side by side, so a row is shuffled once and narrow. `dealt`: the rows
+    are in order by machine and time already."""
     rows = frame if dealt else frame.repartition(W.ENTITY).sortWithinPartitions(W.ENTITY, W.TIME)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"`{x}` double" for x in names]
-    return rows.mapInArrow(run, ", ".join(fields))
+    return W.with_passes(rows, [moves_pass(sensors, stuck_rows, step_hours)])
 
 
 def flags_of(stuck_rows: int = STUCK_HOURS) -> dict[str, Column]:
@@ -133,20 +135,38 @@ def flagged(frame: DataFrame, rules: DataFrame, stuck_rows: int = STUCK_HOURS, s
     return long.withColumns({"exceedance": exceedance(), "severity": severity()}).withColumns(flags_of(stuck_rows)).drop("_span", "_rate")
 
 
+def with_exceedances(frame: DataFrame, rules=RULES) -> DataFrame:
+    """Adds <sensor>_exceedance of every rule, and warnings and alarms as row_flags() counts them."""
+    limits = {r[0]: tuple(map(F.lit, (r[5], r[6], r[7]))) for r in rules}
+    out = frame.withColumns({f"{c}_exceedance": exceedance(F.col(c).cast("double"), x) for c, x in limits.items()})
+    count = lambda least: reduce(lambda a, b: a + b, (holds(least(F.col(f"{c}_exceedance"))).cast("double") for c in limits))
+    return out.withColumns({"warnings": count(lambda e: e > 0), "alarms": count(lambda e: e >= 1)})
+
+
+def invalid_pass(rules=RULES, stuck_rows: int = STUCK_HOURS) -> W.Pass:
+    """invalid, as row_flags() counts it, of rows with what moves_pass() adds. NaN lies outside any limits and is above
+    any rate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.zeros(batch.num_rows)
+            for r in rules:
+                x, span, rate = (W.floats(batch, n) for n in (r[0], f"_span_{r[0]}", f"_rate_{r[0]}"))
+                there, moved = (batch.column(n).is_valid().to_numpy(zero_copy_only=False) for n in (r[0], f"_rate_{r[0]}"))
+                with np.errstate(invalid="ignore"):
+                    total += (there & ~((x >= r[3]) & (x <= r[4]))) | ((stuck_rows > 1) & (span <= r[9])) | (moved & ~(rate <= r[8]))
+            yield W.with_added(batch, {"invalid": pa.array(total)})
+
+    return W.Pass(["invalid"], run)
+
+
 def with_row_flags(frame: DataFrame, rules=RULES, stuck_rows: int = STUCK_HOURS, step_hours: float = 1.0, dealt: bool = False) -> DataFrame:
-    """Adds <sensor>_exceedance of every rule, and warnings, alarms and invalid as row_flags() counts them; rows stay as
-    wide as they are, and nothing is stacked or grouped."""
+    """Adds what with_exceedances() and invalid_pass() make; rows stay as wide as they are, and nothing is stacked or
+    grouped. `dealt`: the rows are in order by machine and time already."""
     sensors = tuple(r[0] for r in rules)
-    limits = {r[0]: tuple(map(F.lit, (r[5], r[6], r[7]))) for r in rules}
-    out = moves(frame, sensors, stuck_rows, step_hours, dealt).withColumns({f"{c}_exceedance": exceedance(F.col(c).cast("double"), limits[c]) for c in sensors})
-    counts = {"warnings": [], "alarms": [], "invalid": []}
-    for r in rules:
-        c, e = r[0], F.col(f"{r[0]}_exceedance")
-        outside = holds(~F.col(c).cast("double").between(r[3], r[4]))
-        stuck = (F.lit(stuck_rows) > 1) & holds(F.col(f"_span_{c}") <= r[9])
-        for name, flag in (("warnings", holds(e > 0)), ("alarms", holds(e >= 1)), ("invalid", outside | stuck | holds(F.col(f"_rate_{c}") > r[8]))):
-            counts[name].append(flag.cast("double"))
-    return out.withColumns({n: reduce(lambda a, b: a + b, flags) for n, flags in counts.items()}).drop(*(f"_{k}_{c}" for c in sensors for k in ("span", "rate")))
+    rows = frame if dealt else frame.repartition(W.ENTITY).sortWithinPartitions(W.ENTITY, W.TIME)
+    moved = moves_pass(sensors, stuck_rows, step_hours)
+    return W.with_passes(with_exceedances(rows, rules), [moved, invalid_pass(rules, stuck_rows)], moved.added)
 
 
 def flag_counts(flags: DataFrame) -> DataFrame:
