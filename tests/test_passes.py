@@ -75,3 +75,27 @@ def test_health_matrix_goes_to_python_once(spark, small_batches):
     matrix, spec = X.health_features(regimes.with_regime(telemetry(spark)))
     assert in_python(matrix) == 1 and sum(map(len, spec.values())) == 239 and matrix.count() == 180
     assert not [c for c in matrix.columns if c.startswith("_")]
+
+
+def test_rule_features_stay_where_flags_are(spark, small_batches):
+    """Trailing statistics of each sensor without another shuffle, as windows by machine and sensor have them."""
+    from vanewright.operators import rules
+
+    flags = rules.flagged(telemetry(spark, missing=0.3).withColumns({c: W.F.col(c) * 9 for c in rules.SENSORS}), rules.rule_table(spark)).drop("alarm")
+    made = rules.rule_features(flags, 6)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    span, x = W.trailing(6, "turbine_id", "sensor"), W.F.col("exceedance")
+    want = flags.select("turbine_id", "timestamp", "ordinal", "sensor", "exceedance", *(W.F.when(W.F.count(x).over(span) >= 3, f(x).over(span)) for f in (W.F.avg, W.F.max)))
+    near = lambda f: {tuple(r[:4]): [v if v is None else pytest.approx(v, abs=1e-9) for v in r[4:]] for r in f.collect()}
+    assert near(made) == {k: [v if v is None else v.expected for v in r] for k, r in near(want).items()} and made.count() == 1800
+
+
+def test_windows_of_lanes_across_batches(spark, small_batches):
+    rng = random.Random(2)
+    rows = [(m, t, lane, rng.choice((None, rng.random()))) for m, n in (("a", 25), ("b", 2), ("c", 9)) for t in range(n) for lane in ("x", "y", "z") if lane != "y" or rng.random() < 0.4]
+    frame = spark.createDataFrame(rows, "turbine_id string, timestamp long, lane string, v double").repartition("turbine_id").sortWithinPartitions("turbine_id", "timestamp")
+    got = W.with_passes(frame, [W.trailing_pass({"m": W.trailing_of("v", 4, "mean", 1), "l": W.end_of("v", 1, "lag")}, "lane")])
+    span, one = W.trailing(4, "turbine_id", "lane"), W.order("turbine_id", "lane")
+    want = frame.withColumns({"m": W.F.avg("v").over(span), "l": W.F.lag("v", 1).over(one)})
+    plain = lambda f: sorted((tuple(None if v is None else round(v, 12) if isinstance(v, float) else v for v in r) for r in f.collect()), key=str)
+    assert plain(got) == plain(want)

@@ -187,11 +187,11 @@ def data_quality(flags: DataFrame) -> DataFrame:
 
 
 def rule_features(flags: DataFrame, rows: int = 24) -> DataFrame:
-    """(key, sensor, exceedance, its trailing mean and maximum)."""
-    span = W.trailing(rows, "turbine_id", "sensor")
+    """(key, sensor, exceedance, its trailing mean and maximum), of rows as flagged() gives them: in order by machine and
+    time, a row's sensors together. They stay where they are."""
     least = max(rows // 2, 1)
-    gate = lambda f: F.when(F.count("exceedance").over(span) >= least, f("exceedance").over(span))
-    return flags.select("turbine_id", "timestamp", "ordinal", "sensor", "exceedance", gate(F.avg).alias("mean_exceedance"), gate(F.max).alias("max_exceedance"))
+    block = {f"{s}_exceedance": W.trailing_of("exceedance", rows, s, least) for s in ("mean", "max")}
+    return W.with_passes(flags.select("turbine_id", "timestamp", "ordinal", "sensor", "exceedance"), [W.trailing_pass(block, "sensor")])
 
 
 def window_violations(flags: DataFrame) -> DataFrame:
