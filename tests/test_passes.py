@@ -99,3 +99,13 @@ def test_windows_of_lanes_across_batches(spark, small_batches):
     want = frame.withColumns({"m": W.F.avg("v").over(span), "l": W.F.lag("v", 1).over(one)})
     plain = lambda f: sorted((tuple(None if v is None else round(v, 12) if isinstance(v, float) else v for v in r) for r in f.collect()), key=str)
     assert plain(got) == plain(want)
+
+
+def test_anomaly_matrix_deals_what_it_reads_and_goes_to_python_once(spark):
+    from vanewright.operators import regimes
+
+    frame = regimes.with_regime(telemetry(spark).withColumn("degradation_level", W.F.rand(1)))
+    out, names = X.anomaly_features(frame)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert in_python(out) == 1 and "lag(" not in plan and "degradation_level" not in plan.split("RepartitionByExpression")[1].splitlines()[1]
+    assert len(names) == 130 and out.count() == 180
