@@ -109,3 +109,9 @@ def test_anomaly_matrix_deals_what_it_reads_and_goes_to_python_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert in_python(out) == 1 and "lag(" not in plan and "degradation_level" not in plan.split("RepartitionByExpression")[1].splitlines()[1]
     assert len(names) == 130 and out.count() == 180
+
+
+def test_signal_shape_goes_to_python_once(spark, small_batches):
+    frame = telemetry(spark).select("turbine_id", "timestamp", *X.SHAPED)
+    out, names = X.with_shape(frame)
+    assert in_python(out) == 1 and out.columns == [*frame.columns, *names] and out.count() == 180

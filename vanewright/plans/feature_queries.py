@@ -244,7 +244,7 @@ def shape_sql(sensors, n: int = 24) -> str:
 
 @query("i4_signal_shape", f"WITH {S.MACHINES}, {shape_sql(X.SHAPED)}")
 def i4(spark, d):
-    frame, names = X.with_shape(keyed(spark, d))
+    frame, names = X.with_shape(keyed(spark, d).select(*ID, "timestamp", *X.SHAPED))
     return shown(frame.withColumns({c: F.col(c) * F.pi() for c in names}), names)  # by pi: ratios of few values have decimal ties
 
 
